@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellmark.llm import substrings
+from tellmark.llm import packing, substrings
 
-_MODULES = (substrings,)
+_MODULES = (packing, substrings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
