@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellmark.llm import mixing, packing, substrings
+from tellmark.llm import mixing, packing, quality, substrings
 
-_MODULES = (mixing, packing, substrings)
+_MODULES = (mixing, packing, quality, substrings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
