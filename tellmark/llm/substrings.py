@@ -77,27 +77,67 @@ def _windows_out(size: int, groups: int):
     return run
 
 
-def _repeated(part: pa.Table) -> pa.Table:
-    """Of one group: for every document, the windows that a document with a smaller id has too."""
-    read = lambda name, kind: np.concatenate(
-        [np.frombuffer(x, kind) for x in part.column(name).to_pylist()] or [np.zeros(0, kind)]
-    )
-    hashes, counts, docs = read("hashes", np.uint64), read("counts", np.uint32), read("docs", np.int64)
-    doc = np.repeat(docs, counts)
-    order = np.argsort(hashes, kind="stable")
-    hashes, doc = hashes[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, int)
-    least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc)))) if len(first) else doc
-    late = doc > least
-    hashes, doc = hashes[late], doc[late]
-    order = np.argsort(doc, kind="stable")
-    hashes, doc = hashes[order], doc[order]
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-    bounds = np.append(cuts, len(doc))
+def _read(part: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in part.column(name).to_pylist()] or [np.zeros(0, kind)])
+
+
+def _first_of_runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of rows that agree in all columns starts."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    fresh = np.zeros(len(columns[0]) - 1, bool)
+    for x in columns:
+        fresh |= x[1:] != x[:-1]
+    return np.flatnonzero(np.concatenate([[True], fresh]))
+
+
+def _repeated(shards: int):
+    def run(part: pa.Table) -> pa.Table:
+        """Of one group: for every document, the windows that a document with a smaller id has too, packed by shard of ids."""
+        hashes = _read(part, "hashes", np.uint64)
+        doc = np.repeat(_read(part, "docs", np.int64), _read(part, "counts", np.uint32))
+        order = np.argsort(hashes, kind="stable")
+        hashes, doc = hashes[order], doc[order]
+        first = _first_of_runs(hashes)
+        if len(first):
+            late = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
+            hashes, doc = hashes[late], doc[late]
+        shard = (mix(doc.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((doc, shard))
+        hashes, doc, shard = hashes[order], doc[order], shard[order]
+        runs = _first_of_runs(doc)
+        counts = np.diff(np.append(runs, len(doc))).astype(np.uint32)
+        docs, of = doc[runs], shard[runs]
+        cuts = _first_of_runs(of)
+        bounds, rows = np.append(cuts, len(of)), np.append(runs, len(doc))
+        pairs = list(zip(bounds, bounds[1:]))
+        return pa.table(
+            {
+                "shard": pa.array(of[cuts], pa.int64()),
+                "docs": pa.array([docs[a:b].tobytes() for a, b in pairs], pa.binary()),
+                "counts": pa.array([counts[a:b].tobytes() for a, b in pairs], pa.binary()),
+                "hashes": pa.array([hashes[rows[a] : rows[b]].tobytes() for a, b in pairs], pa.binary()),
+            }
+        )
+
+    return run
+
+
+def _by_document(part: pa.Table) -> pa.Table:
+    """Of one shard: a row per document with all its repeated windows."""
+    docs, counts = _read(part, "docs", np.int64), _read(part, "counts", np.uint32).astype(np.int64)
+    hashes = _read(part, "hashes", np.uint64)
+    starts = np.cumsum(counts) - counts
+    order = np.argsort(docs, kind="stable")
+    hashes = hashes[spans(starts[order], counts[order])]
+    docs, ends = docs[order], np.cumsum(counts[order])
+    first = _first_of_runs(docs)
+    before = np.append(0, ends)[first]
+    after = ends[np.append(first[1:], len(docs)) - 1] if len(first) else ends
     return pa.table(
         {
-            "id": pa.array(doc[cuts], pa.int64()),
-            "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
+            "k": pa.array(docs[first], pa.int64()),
+            "flags": pa.array([hashes[a:b].tobytes() for a, b in zip(before, after)], pa.binary()),
         }
     )
 
@@ -118,7 +158,7 @@ def _removed(size: int):
                     bound = np.searchsorted(own, np.arange(len(hit) + 1))
                     first = np.searchsorted(owner, np.arange(len(hit) + 1))
                     for k, i in enumerate(hit):
-                        mine = np.concatenate([np.frombuffer(x, np.uint64) for x in flags[i]])
+                        mine = np.frombuffer(flags[i], np.uint64)
                         found = at[bound[k] : bound[k + 1]][np.isin(hashes[bound[k] : bound[k + 1]], mine)] - first[k]
                         if not len(found):
                             continue
@@ -162,16 +202,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(16, math.ceil(total / 6 / WINDOWS_PER_GROUP))
     dealt = slim.mapInArrow(_windows_out(size, groups), "grp long, docs binary, counts binary, hashes binary")
+    shards = max(16, groups // 4)
     flags = (
         dealt.groupBy("grp")
-        .applyInArrow(_repeated, "id long, hashes binary")
-        .groupBy("id")
-        .agg(F.collect_list("hashes").alias("flags"))
+        .applyInArrow(_repeated(shards), "shard long, docs binary, counts binary, hashes binary")
+        .groupBy("shard")
+        .applyInArrow(_by_document, "k long, flags binary")
     )
     key = F.coalesce(F.col("id"), F.lit(int(_NO_ID)))
     joined = (
         slim.withColumn("k", key)
-        .join(flags.withColumnRenamed("id", "k"), "k", "left")
+        .join(flags, "k", "left")
         .select("id", "text", "flags")
     )
     out = joined.mapInArrow(
