@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellmark.llm import lines, mixing, packing, quality, substrings
+from tellmark.llm import lines, mixing, near_copies, packing, quality, substrings
 
-_MODULES = (lines, mixing, packing, quality, substrings)
+_MODULES = (lines, mixing, near_copies, packing, quality, substrings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
