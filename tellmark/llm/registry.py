@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tellmark.llm import lines, mixing, near_copies, packing, quality, substrings
 
 _MODULES = (lines, mixing, near_copies, packing, quality, substrings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+    found = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
+    found = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

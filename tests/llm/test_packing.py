@@ -81,3 +81,22 @@ def test_ties_repeats_and_clashing_names(spark):
     assert len(rows) == 500 and out.columns == ["length", "_share", "n", "sequence_id", "offset"]
     check_packed(rows, 7)
     assert pack(df.limit(0), capacity=7).count() == 0
+
+
+def test_ids_of_remembered_words_match_whole_texts(monkeypatch):
+    import pyarrow as pa
+
+    from tellmark.llm import packing
+    from tellmark.llm.ragged import Texts
+
+    rng = random.Random(1)
+    letters = "aBéßΣσİǅ中 \n\t.,;:!?'sS’“1२٣́가ᄀ\x1c\x85\xa0…–_-"
+    texts = ["".join(rng.choice(letters) for _ in range(30)) for _ in range(1500)]
+    tokenizer = Tokenizer.from_file(word_bpe_path())
+    words = packing._Words(word_bpe_path(), 1)
+    monkeypatch.setattr(packing, "REMEMBERED", 500)
+    for k in range(0, len(texts), 300):
+        flat, counts = words.ids(Texts(pa.array(texts[k : k + 300])))
+        ends = np.cumsum(counts)
+        for text, a, b in zip(texts[k : k + 300], ends - counts, ends, strict=True):
+            assert flat[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
