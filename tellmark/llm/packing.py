@@ -41,45 +41,124 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Marks that are tokens of their own behind a letter.
+_TAILS = ("", ".", ",", ";", ":", "!", "?")
+
+
 class _Words:
-    """Ids of blank-separated words. This vocabulary's tokens never cross a blank, so a text's ids are its words' ids."""
+    """Ids of texts, by way of their blank-separated words where the vocabulary allows it.
+
+    If its tokens carry a mark for the end of a word, no token crosses a blank
+    and a text's ids are its words' ids, which are remembered. A word of letters
+    only is one run of tokens up to such a mark, whatever stands around it, so
+    that many new words are encoded as one text. Other vocabularies get whole texts.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.by_word = bool(self.last.any())
+        self.tails = np.array([self._encode([t])[0][0] if t else 0 for t in _TAILS], np.uint32) if self.by_word else None
         self.clear()
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def clear(self) -> None:
         self.codes: dict[bytes | None, int] = {None: 0}
-        self.flat, self.starts, self.lengths, self.used = (
-            np.full(1 << 16, self.end_id, np.uint32),
-            np.zeros(1 << 16, np.int64),
-            np.ones(1 << 16, np.int64),
-            1,
-        )
+        self.stems: dict[str, int] = {}
+        self.flat, self.used = np.full(1 << 20, self.end_id, np.uint32), 1
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
+        self.stem_starts, self.stem_lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Append ids to the pool; where each run starts."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        starts = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        return starts
+
+    @staticmethod
+    def _put(array: np.ndarray, first: int, values: np.ndarray) -> np.ndarray:
+        while first + len(values) > len(array):
+            array = np.concatenate([array, np.zeros_like(array)])
+        array[first : first + len(values)] = values
+        return array
+
+    def _runs(self, words: list[str], size: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, and how many each has."""
+        parts = [words[k : k + size] for k in range(0, len(words), size)]
+        ids, lengths = [], []
+        for some in parts:
+            found = np.array(self._encode([" ".join(some)])[0], np.uint32)
+            ends = np.flatnonzero(self.last[found])
+            if len(ends) == len(some):
+                ids.append(found)
+                lengths.append(np.diff(np.append(-1, ends)))
+            else:  # a letter that the vocabulary's rules take for something else
+                each = self._encode(some)
+                ids.append(np.array([i for x in each for i in x], np.uint32))
+                lengths.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def _learn(self, words: list[bytes]) -> None:
-        for k in range(0, len(words), 20_000):
-            some = words[k : k + 20_000]
-            texts = [w.decode() for w in some]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            first, total = len(self.codes), int(lengths.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while first + len(some) > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-            self.starts[first : first + len(some)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[first : first + len(some)] = lengths
-            self.used += total
-            self.codes.update(zip(some, range(first, first + len(some)), strict=True))
+        stems, known, get = {}, self.stems, self.stems.get
+        plain, of, tail, odd = [], [], [], []
+        tails = {t: i for i, t in enumerate(_TAILS) if t}
+        for w in words:
+            text = w.decode()
+            stem = text.lower()
+            end = tails.get(stem[-1], 0)
+            if end:
+                stem = stem[:-1]
+            if not stem.isalpha() or "\u03a3" in text:  # a capital sigma's lower case hangs on its place
+                odd.append(w)
+                continue
+            code = get(stem)
+            if code is None:
+                code = stems.get(stem)
+                if code is None:
+                    code = stems[stem] = len(known) + len(stems)
+            plain.append(w)
+            of.append(code)
+            tail.append(end)
+        if stems:
+            ids, lengths = self._runs(list(stems))
+            self.stem_starts = self._put(self.stem_starts, len(known), self._store(ids, lengths))
+            self.stem_lengths = self._put(self.stem_lengths, len(known), lengths)
+            known.update(stems)
+        of, tail = np.array(of, np.int64), np.array(tail, np.int64)
+        starts, lengths = self.stem_starts[of], self.stem_lengths[of].copy()
+        marked = np.flatnonzero(tail)
+        if len(marked):
+            size = lengths[marked]
+            copy = np.zeros(int(size.sum()) + len(marked), np.uint32)
+            begin = np.cumsum(size + 1) - size - 1
+            copy[spans(begin, size)] = self.flat[spans(starts[marked], size)]
+            copy[begin + size] = self.tails[tail[marked]]
+            starts[marked] = self._store(copy, size + 1)
+            lengths[marked] += 1
+        if odd:
+            each = self._encode([w.decode() for w in odd])
+            more = np.array([len(x) for x in each], np.int64)
+            starts = np.append(starts, self._store(np.array([i for x in each for i in x], np.uint32), more))
+            lengths = np.append(lengths, more)
+        first = len(self.codes)
+        self.starts, self.lengths = self._put(self.starts, first, starts), self._put(self.lengths, first, lengths)
+        self.codes.update(zip([*plain, *odd], range(first, first + len(starts)), strict=True))
 
     def ids(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text, and each text's number of ids."""
+        if not self.by_word:
+            each = [[*x, self.end_id] for x in self._encode([texts.raw(i).decode() for i in range(len(texts))])]
+            return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
         words: list[bytes | None] = []
         counts = np.zeros(len(texts), np.int64)
         for i in range(len(texts)):
@@ -90,11 +169,12 @@ class _Words:
         if len(self.codes) > REMEMBERED:
             self.clear()
         get = self.codes.get
-        codes = [get(w, -1) for w in words]
-        if -1 in codes:
-            self._learn(list({w for w, c in zip(words, codes, strict=True) if c < 0}))
-            codes = [get(w) for w in words]
-        at = np.array(codes, np.int64)
+        at = np.array([get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            unseen = [words[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(unseen)))
+            at[new] = [get(w) for w in unseen]
         lengths = self.lengths[at]
         flat = self.flat[spans(self.starts[at], lengths)]
         return flat, np.add.reduceat(lengths, np.cumsum(counts) - counts)
