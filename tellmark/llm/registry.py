@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tellmark.llm import lines, mixing, near_copies, packing, quality, substrings, warc
+from tellmark.llm import chat, lines, mixing, near_copies, packing, quality, substrings, warc
 
-_MODULES = (lines, mixing, near_copies, packing, quality, substrings, warc)
+_MODULES = (chat, lines, mixing, near_copies, packing, quality, substrings, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
