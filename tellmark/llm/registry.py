@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tellmark.llm import chat, lines, mixing, near_copies, packing, quality, substrings, topk, warc
+from tellmark.llm import chat, lines, mixing, near_copies, packing, private, quality, substrings, topk, warc
 
-_MODULES = (chat, lines, mixing, near_copies, packing, quality, substrings, topk, warc)
+_MODULES = (chat, lines, mixing, near_copies, packing, private, quality, substrings, topk, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
