@@ -5,20 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tellmark.session import table
+from tellmark.plans import catalogue
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders per customer segment and status."""
-    orders = table(spark, sf_dir, "orders")
-    return orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+flagship = catalogue.flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(catalogue.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalogue.ORACLES)
