@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tellmark.functions.scalars import finite_point
+from tellmark.session import cut
+
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, take: list[str], tolerance: Column | None = None) -> DataFrame:
     """For each left row the last right row of equal ``by`` at or before ``at``, as right_<at> and right_<c>.
@@ -58,10 +61,7 @@ def grid_cells(df: DataFrame, axes: list[str], grid: float, label: str, by: list
     Rows with a null or blank label or a coordinate that is no finite number don't
     count. Floors, so that negative coordinates fall below.
     """
-    inf = F.lit(float("inf"))
-    sound = F.trim(label) != ""
-    for a in axes:
-        sound = sound & ~F.isnan(F.col(a).cast("double")) & (F.abs(F.col(a).cast("double")) < inf)
+    sound = (F.trim(label) != "") & finite_point(*(F.col(a) for a in axes))
     cells = [F.floor(F.col(a).cast("double") / grid).cast("int").alias(f"cell_{a}") for a in axes]
     each = df.where(sound).groupBy(*by, *cells, label).agg(F.count("*").alias("_n"))
     keys = [*by, *(f"cell_{a}" for a in axes)]
@@ -70,42 +70,46 @@ def grid_cells(df: DataFrame, axes: list[str], grid: float, label: str, by: list
     )
 
 
+#: Cells that are sent whole to every task for the points that have none near.
+MAX_BROADCAST_CELLS = 50_000
+
+
 def nearest_cell(points: DataFrame, cells: DataFrame, key: str, grid: float, label: str, z_weight: float, z_tolerance: float, limit: float, rounds: int = 24) -> DataFrame:
     """key, label and distance of each point's nearest cell centre; the label only within ``limit``.
 
     Heights within the tolerance are free, beyond it weighted. Ties go to the
-    smaller label. Points are joined to cells of their own and the eight
-    neighbouring squares; a hit within a square's width is exact, the others go
-    on with squares twice as wide, so that no point is compared with all cells.
-    Points with a coordinate that is null or not finite, and all points of an
-    empty cloud, come back with nulls.
+    smaller label. Points are joined to the cells of their own and the eight
+    neighbouring squares as wide as ``limit``; a hit within that width is exact.
+    Only the points without one meet all cells, if those are few (counted
+    first), else squares twice as wide, and so on. Points with a coordinate that
+    is null or not finite, and all points of an empty cloud, come back with nulls.
     """
     centre = [((F.col(f"cell_{a}") + 0.5) * grid).alias(f"_{a}") for a in "xyz"]
     cloud = cells.select(*centre, F.col(label).alias("_label"))
-    inf = F.lit(float("inf"))
-    sound = F.lit(True)
-    for a in "xyz":
-        sound = sound & F.coalesce(~F.isnan(F.col(a).cast("double")) & (F.abs(F.col(a).cast("double")) < inf), F.lit(False))
-    left = points.where(sound).select(key, *(F.col(a).cast("double").alias(a) for a in "xyz"))
+    left = points.where(finite_point(*(F.col(a) for a in "xyz"))).select(key, *(F.col(a).cast("double").alias(a) for a in "xyz"))
     dz = F.greatest(F.lit(0.0), F.abs(F.col("z") - F.col("_z")) - z_tolerance) * z_weight
     distance = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) + F.pow(dz, 2))
-    width, found = max(limit, grid), None
-    empty = cloud.isEmpty()
-    for _ in range(0 if empty else rounds):
-        here = lambda c, w=width: F.floor(F.col(c) / w)
-        near = [F.explode(F.array(*(F.lit(d) for d in (-1, 0, 1)))).alias("_d")]
-        wide = left.select("*", *near).withColumn("_bx", here("x") + F.col("_d")).drop("_d")
-        wide = wide.select("*", *near).withColumn("_by", here("y") + F.col("_d")).drop("_d")
-        met = wide.join(cloud.withColumn("_cx", here("_x")).withColumn("_cy", here("_y")), (F.col("_bx") == F.col("_cx")) & (F.col("_by") == F.col("_cy")))
-        best = met.groupBy(key).agg(F.min(F.struct(distance.alias("distance"), F.col("_label").alias("label"))).alias("_m"))
-        best = best.where(F.col("_m.distance") <= width).select(key, "_m.distance", "_m.label")
-        found = best if found is None else found.unionByName(best)
+    least = F.min(F.struct(distance.alias("distance"), F.col("_label").alias("label"))).alias("_m")
+    n = cloud.count()
+    width, found = max(limit, grid), points.limit(0).select(key, F.lit(0.0).alias("distance"), F.lit("").alias("label"))
+    for k in range(rounds if n else 0):
+        if k and n <= MAX_BROADCAST_CELLS:
+            best = left.join(F.broadcast(cloud)).groupBy(key).agg(least).select(key, "_m.distance", "_m.label")
+            found = found.unionByName(best)
+            break
+        square = lambda c, w=width: F.floor(F.col(c) / w)
+        around = [F.explode(F.sequence(square(c) - 1, square(c) + 1)).alias(f"_b{c}") for c in "xy"]
+        wide = left.select("*", around[0]).select("*", around[1])
+        near = cloud.withColumn("_cx", square("_x")).withColumn("_cy", square("_y"))
+        met = wide.join(near, (F.col("_bx") == F.col("_cx")) & (F.col("_by") == F.col("_cy")))
+        best = met.groupBy(key).agg(least).where(F.col("_m.distance") <= width).select(key, "_m.distance", "_m.label")
+        found = found.unionByName(best)
         left = left.join(best, key, "left_anti")
+        if n > MAX_BROADCAST_CELLS:
+            left = cut(left)
         width *= 2
-        if left.isEmpty():
+        if n > MAX_BROADCAST_CELLS and left.isEmpty():
             break
-    if found is None:
-        return points.select(key, F.lit(None).cast("string").alias(label), F.lit(None).cast("double").alias("distance"))
     out = points.select(key).join(found, key, "left")
     return out.select(key, F.when(F.col("distance") <= limit, F.col("label")).alias(label), "distance")
 

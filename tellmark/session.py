@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,12 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; a lazy, column-pruned Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in spark.checkpoint.dir; a local folder stands in only where none is set."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(shared or f"file://{tempfile.mkdtemp(prefix='shared-')}")
+    return df.checkpoint(eager=True)
