@@ -96,13 +96,17 @@ def write_archive(
     known.select(
         "id", F.encode(header, "UTF-8").alias("warc_header"), F.encode("http", "UTF-8").alias("http_header"), "digest"
     ).write.option("compression", "zstd").parquet(f"{path}/headers")
-    # the digest names the payload, the page that holds it is found by its number: hot digests don't gather rows
-    holders = first.select(F.col("digest").alias("d"), F.col("first"))
+    # the digest names the payload, the page that holds it is found by its number: hot digests don't gather
+    # rows, and the copies of a repeated page meet where the join has brought them
+    last = F.lit((1 << 63) - 1)
+    holders = first.select(F.col("digest").alias("d"), F.coalesce("first", last).alias("n"))
     kept = (
-        rows.join(holders, F.col("id").eqNullSafe(F.col("first")))
-        .where(F.sha2("payload", 256) == F.col("d"))
-        .groupBy(F.col("d").alias("digest"))
+        rows.select(F.coalesce("id", last).alias("n"), "payload", F.sha2("payload", 256).alias("digest"))
+        .join(holders, "n")
+        .where("digest = d")
+        .groupBy("n", "digest")
         .agg(F.max("payload").alias("payload"))
+        .drop("n")
     )
     kept.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
