@@ -102,7 +102,8 @@ def nearest_cell(points: DataFrame, cells: DataFrame, key: str, grid: float, lab
         wide = left.select("*", around[0]).select("*", around[1])
         near = cloud.withColumn("_cx", square("_x")).withColumn("_cy", square("_y"))
         met = wide.join(near, (F.col("_bx") == F.col("_cx")) & (F.col("_by") == F.col("_cy")))
-        best = met.groupBy(key).agg(least).where(F.col("_m.distance") <= width).select(key, "_m.distance", "_m.label")
+        # used twice: for the result and to tell who goes on
+        best = cut(met.groupBy(key).agg(least).where(F.col("_m.distance") <= width).select(key, "_m.distance", "_m.label"))
         found = found.unionByName(best)
         left = left.join(best, key, "left_anti")
         if n > MAX_BROADCAST_CELLS:
