@@ -104,3 +104,63 @@ def nested(leaves: DataFrame, bars: DataFrame) -> DataFrame:
     leaf = leaves.where("level = 0").join(own, LEVELS, "left")
     sides = leaf.groupBy("map_name", "side").agg(F.array_sort(F.collect_list(F.struct("round_type", "rounds", "matches", "bars"))).alias("round_types"))
     return sides.groupBy("map_name").agg(F.array_sort(F.collect_list(F.struct("side", "round_types"))).alias("sides"))
+
+
+def newest_match(matches: DataFrame) -> DataFrame:
+    """One row: the match of least rank; null if any of several matches has no rank."""
+    only = F.when(F.count("*") == 1, F.min("match_id"))
+    ranked = F.when(F.count_if(F.col("rank").isNull()) == 0, F.min_by("match_id", "rank"))
+    return matches.select("match_id", "rank").distinct().agg(F.coalesce(only, ranked).alias("match_id"))
+
+
+def used_thresholds(classified: DataFrame, inputs: str, names: list[str]) -> DataFrame:
+    """(name, value, values): what each threshold was when rounds were classified; value is null if rounds differ."""
+    flat = classified.select(*(F.col(f"{inputs}.{n}").cast("long").alias(n) for n in names))
+    long = flat.unpivot([], names, "name", "value").where("value IS NOT NULL")
+    return long.groupBy("name").agg(
+        F.when(F.countDistinct("value") == 1, F.min("value")).alias("value"), F.countDistinct("value").alias("values")
+    )
+
+
+def weakest_source(rows: DataFrame, by: list[str], source: str, order: list[str]) -> DataFrame:
+    """The least trustworthy source per ``by``; ``order`` names them from strong to weak, unknown ones are weakest."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(source))
+    rank = F.when(place > 0, place).otherwise(len(order) + 1)
+    return rows.groupBy(*by).agg(F.max_by(source, F.struct(rank, F.col(source))).alias(source))
+
+
+def anomaly_rows(hits: DataFrame, rounds: DataFrame, unit: list[str], denominator: Column) -> DataFrame:
+    """Hits by map, side and area: rounds n with their sample points nested, matches, and m rounds that the rule applies to."""
+    leaf = rounds.where("round_type IS NOT NULL")
+    m = leaf.where(denominator).groupBy("map_name", "side").agg(F.count("*").alias("m"))
+    found = hits.join(leaf.select(*unit, "round_no", "map_name", "side", "round_type", "match_id"), [*unit, "round_no"])
+    per = found.groupBy("map_name", "side", "area", *unit, "round_no", "round_type", "match_id").agg(
+        F.array_sort(F.collect_list(F.struct("sample_t_s", "players"))).alias("points")
+    )
+    grouped = per.groupBy("map_name", "side", "area").agg(
+        F.count("*").alias("n"),
+        F.countDistinct("match_id").alias("matches"),
+        F.array_sort(F.collect_set("round_type")).alias("round_types"),
+        F.array_sort(F.collect_list(F.struct(*unit, "round_no", "points"))).alias("rounds"),
+    )
+    return grouped.join(m, ["map_name", "side"])
+
+
+def repeated(rows: DataFrame, block: list[str], n: str, m: str, threshold: int, k: int) -> DataFrame:
+    """Lines of a block that repeat often enough for it, the k most frequent with ties."""
+    return top_with_ties(rows.where(F.col(n) >= least_rounds(threshold, F.col(m))), block, n, k)
+
+
+def unsaturated(rows: DataFrame, block: list[str], value: str) -> DataFrame:
+    """Rows of blocks whose value isn't the same everywhere; a block of one row stays, as does the first row of any block."""
+    w = Window.partitionBy(*block)
+    varied = (F.min(value).over(w) != F.max(value).over(w)) | (F.count("*").over(w) == 1)
+    first = F.row_number().over(w.orderBy(value)) == 1
+    return rows.withColumn("_keep", F.coalesce(varied, F.lit(True)) | first).where("_keep").drop("_keep")
+
+
+def not_covered(presence: DataFrame, shown: DataFrame, keys: list[str]) -> DataFrame:
+    """Presence rows that no shown position covers; unknown areas compare as areas."""
+    names = {c: f"_s_{c}" for c in keys}
+    seen = shown.select(*(F.col(c).alias(n) for c, n in names.items())).distinct()
+    return presence.join(seen, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()], "left_anti")

@@ -131,3 +131,22 @@ def test_streams_give_what_tables_give(spark, tmp_path):
         got = {tuple(r) for r in spark.table(f"out{k}").collect()}
         want = {tuple(r) for r in make(rows).collect()}
         assert got and (got == want if k else got <= want)
+
+
+def test_selection_and_thresholds(spark):
+    m = lambda rows: P.newest_match(spark.createDataFrame(rows, "match_id string, rank int")).first()[0]
+    assert (m([("a", 2), ("b", 1), ("b", 1)]), m([("a", None)]), m([("a", None), ("b", 1)]), m([])) == ("b", "a", None, None)
+    done = spark.createDataFrame([((4000, 1500),), ((4000, 1600),)], "inputs struct<full: int, force: int>")
+    assert {tuple(r) for r in P.used_thresholds(done, "inputs", ["full", "force"]).collect()} == {("full", 4000, 1), ("force", None, 2)}
+    src = spark.createDataFrame([("x", "header"), ("x", "id"), ("y", "header"), ("z", "odd"), ("z", "id")], "k string, s string")
+    assert {r.k: r.s for r in P.weakest_source(src, ["k"], "s", ["header", "pool", "id"]).collect()} == {"x": "id", "y": "header", "z": "odd"}
+    hits = spark.createDataFrame([("d", 1, 6.0, "Pit", 2), ("d", 1, 9.0, "Pit", 1), ("d", 2, 6.0, "Pit", 1), ("d", 3, 6.0, "Pit", 1)], "demo string, round_no int, sample_t_s double, area string, players int")
+    rounds = spark.createDataFrame([("d", 1, "nuke", "CT", "eco", "m1"), ("d", 2, "nuke", "CT", "half", "m1"), ("d", 3, "nuke", "CT", None, "m1"), ("d", 4, "nuke", "CT", "full", "m2")], "demo string, round_no int, map_name string, side string, round_type string, match_id string")
+    row = P.anomaly_rows(hits, rounds, ["demo"], F.col("round_type") != "full").first()
+    assert (row.n, row.matches, row.m, row.round_types, [len(r.points) for r in row.rounds]) == (2, 1, 2, ["eco", "half"], [2, 1])
+    lines = spark.createDataFrame([("b", "x", 5, 9), ("b", "y", 5, 9), ("b", "z", 4, 9), ("b", "q", 2, 9), ("c", "x", 1, 1)], "block string, what string, n int, m int")
+    assert {(r.block, r.what) for r in P.repeated(lines, ["block"], "n", "m", 3, 1).collect()} == {("b", "x"), ("b", "y"), ("c", "x")}
+    flat = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2), ("c", 7)], "block string, v int")
+    assert sorted(tuple(r) for r in P.unsaturated(flat, ["block"], "v").collect()) == [("a", 1), ("b", 1), ("b", 2), ("c", 7)]
+    seen = spark.createDataFrame([("Pit",), (None,), ("Ramp",)], "area string")
+    assert [r.area for r in P.not_covered(seen, seen.where("area IS NULL OR area = 'Pit'"), ["area"]).collect()] == ["Ramp"]
