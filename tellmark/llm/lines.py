@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellmark.llm.common import stored
-from tellmark.llm.ragged import Texts, mix, slices, stream
+from tellmark.llm.ragged import SLICE_BYTES, Texts, mix, slices, stream
 from tellmark.session import table
 
 EDITS = 2
@@ -35,7 +35,7 @@ _NO_ID = np.iinfo(np.int64).max
 
 
 class Lines:
-    """The lines of a batch with a word and enough code points: owner, number, byte span without blanks around, characters."""
+    """The lines of a batch with a word and enough code points: owner, number, byte span without blanks around, hash."""
 
     def __init__(self, texts: Texts, min_chars: int):
         starts, ends, owner = texts.lines()
@@ -43,33 +43,47 @@ class Lines:
         w_start, w_end, _ = texts.words()
         first, after = np.searchsorted(w_start, starts), np.searchsorted(w_start, ends)
         full = after > first
-        self.owner, self.number = owner[full], number[full]
-        self.start, self.end = w_start[first[full]], w_end[after[full] - 1]
-        data = texts.bytes
-        lead = (data & 0xC0) != 0x80
-        index = np.concatenate([[0], np.cumsum(lead, dtype=np.int64)])
-        self.c_start, self.size = index[self.start], index[self.end] - index[self.start]
-        long = self.size >= min_chars
-        for name in ("owner", "number", "start", "end", "c_start", "size"):
-            setattr(self, name, getattr(self, name)[long])
-        at = np.flatnonzero(lead)
-        length = np.diff(np.append(at, len(data)))
-        self.chars = data[at].astype(np.uint32)
-        for k in (1, 2, 3):
-            more = np.flatnonzero(length > k)
-            self.chars[more] |= data[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+        owner, number, start, end = owner[full], number[full], w_start[first[full]], w_end[after[full] - 1]
+        self.texts = texts
+        self.lead = (texts.bytes & 0xC0) != 0x80
+        index = np.concatenate([[0], np.cumsum(self.lead, dtype=np.int64)])
+        size = index[end] - index[start]
+        long = size >= min_chars
+        self.owner, self.number, self.start, self.end, self.size = (x[long] for x in (owner, number, start, end, size))
+        self.c_start = index[self.start]
         self.h = texts.hashes(self.start, self.end, 5).view(np.int64)
-        self.check = texts.hashes(self.start, self.end, 9).view(np.int64)
+
+    def check(self) -> np.ndarray:
+        """A second hash of each line."""
+        return self.texts.hashes(self.start, self.end, 9).view(np.int64)
 
     def prefixes(self) -> tuple[np.ndarray, np.ndarray]:
         """Prefix sums of a polynomial over all characters, and the inverse powers that bring a difference to place 0."""
-        n = len(self.chars)
-        power = np.ones(n + 1, np.uint64)
-        power[1:] = np.cumprod(np.full(n, _BASE, np.uint64))
-        inverse = np.ones(n + 1, np.uint64)
-        inverse[1:] = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))
-        values = mix(self.chars.astype(np.uint64) + np.uint64(1))
-        return np.concatenate([[np.uint64(0)], np.cumsum(values * power[:-1], dtype=np.uint64)]), inverse
+        data, at = self.texts.bytes, np.flatnonzero(self.lead)
+        length = np.diff(np.append(at, len(data)))
+        chars = data[at].astype(np.uint64)
+        for k in (1, 2, 3):
+            more = np.flatnonzero(length > k)
+            chars[more] |= data[at[more] + k].astype(np.uint64) << np.uint64(8 * k)
+        n = len(chars)
+        power = _powers(_BASE, n)
+        values = mix(chars + np.uint64(1))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(values * power[:n], dtype=np.uint64)])
+        return sums, _powers(pow(_BASE, -1, 1 << 64), n)
+
+
+_KNOWN: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n of base modulo 2 to the 64; a worker keeps those of usual slices."""
+    known = _KNOWN.get(base)
+    if known is None or len(known) <= n:
+        known = np.ones(max(n, SLICE_BYTES) + 1, np.uint64)
+        known[1:] = np.cumprod(np.full(len(known) - 1, base, np.uint64))
+        if n <= 2 * SLICE_BYTES:
+            _KNOWN[base] = known
+    return known
 
 
 def segments(size: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +127,7 @@ def _lines_out(min_chars: int):
                         part.column("id").take(pa.array(lines.owner)),
                         pa.array(lines.number.astype(np.int32)),
                         pa.array(lines.h),
-                        pa.array(lines.check),
+                        pa.array(lines.check()),
                     ],
                     ["id", "no", "h", "h2"],
                 )

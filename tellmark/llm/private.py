@@ -6,7 +6,8 @@ seeds are patterns. Patterns and what follows them form a bipartite graph: a
 pattern's confidence is the score of what follows it over how often it occurs in
 the corpus at all, an instance's score is the chance that one of its patterns is
 right, seeds stay certain. After a few rounds, identifier-like words that
-confident patterns point at become spans of the pattern's kind.
+confident patterns point at become spans of the pattern's kind. Only patterns
+that some such word follows are scored, as the others could add nothing.
 
 A text is scanned once for spans and candidates, and once more to count the
 contexts that became patterns; texts are never shuffled.
@@ -180,15 +181,17 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("other", F.filter("other", lambda s: ~_overlaps(F.col("base"), s)))
     )
     seeds = seen.where(F.size("base") > 0).select("h", F.explode("base").alias("s")).select("h", "s.kind", "s.value", "s.context").where("context IS NOT NULL")
-    patterns = cut(
+    known = (
         seeds.groupBy("kind", "context")
         .agg(F.countDistinct("value").alias("seeds"), F.countDistinct("h").alias("texts"))
         .where((F.col("seeds") >= support) & (F.col("texts") >= support))
         .select("kind", "context")
     )
-    totals = cut(context_counts(texts, patterns))
     words = seen.where(F.size("other") > 0).select("id", "h", F.explode("other").alias("s")).select("id", "h", "s.start", "s.end", "s.value", "s.context")
-    near = cut(words.join(patterns, "context"))
+    near = stored(words.join(known, "context"))
+    # a pattern without a candidate can add no span; the others go to a file, whose size tells the planner how to join
+    patterns = stored(near.select("kind", "context").distinct())
+    totals = cut(context_counts(texts, patterns))
     both = seeds.join(patterns, ["kind", "context"], "left_semi").select("kind", "context", "value", F.lit(True).alias("seed")).unionByName(
         near.select("kind", "context", "value", F.lit(False).alias("seed"))
     )

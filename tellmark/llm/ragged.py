@@ -90,17 +90,23 @@ class Texts:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
         """A 64-bit hash of each span: byte values times position multipliers, summed and mixed."""
+        return self.several_hashes(starts, ends, seed)[0]
+
+    def several_hashes(self, starts: np.ndarray, ends: np.ndarray, *seeds: int) -> list[np.ndarray]:
+        """Independent hashes of each span, one for each seed."""
         lengths = ends - starts
-        out = np.zeros(len(starts), np.uint64)
         full = np.flatnonzero(lengths > 0)
+        out = [np.zeros(len(starts), np.uint64) for _ in seeds]
         if len(full):
             s, k = starts[full], lengths[full]
             where = spans(s, k)
             before = np.cumsum(k) - k
-            place = np.arange(len(where)) - np.repeat(before, k)
-            values = stream(256, seed)[self.bytes[where]] * (stream(int(k.max()), seed + 1) | np.uint64(1))[place]
-            out[full] = np.add.reduceat(values, before)
-        return mix(out + lengths.astype(np.uint64) * _GOLD)
+            place = where - np.repeat(s, k)
+            data = self.bytes[where]
+            for one, seed in zip(out, seeds, strict=True):
+                values = stream(256, seed)[data] * (stream(int(k.max()), seed + 1) | np.uint64(1))[place]
+                one[full] = np.add.reduceat(values, before)
+        return [mix(one + lengths.astype(np.uint64) * _GOLD) for one in out]
 
 
 def windows(codes: np.ndarray, owner: np.ndarray, size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
