@@ -7,10 +7,13 @@ pattern's confidence is the score of what follows it over how often it occurs in
 the corpus at all, an instance's score is the chance that one of its patterns is
 right, seeds stay certain. After a few rounds, identifier-like words that
 confident patterns point at become spans of the pattern's kind. Only patterns
-that some such word follows are scored, as the others could add nothing.
+that some such word follows are scored, and only those that occur so seldom that
+they could reach the confidence at all: the others could add nothing.
 
 A text is scanned once for spans and candidates, and once more to count the
-contexts that became patterns; texts are never shuffled.
+contexts that became patterns; texts are never shuffled. Common contexts are
+found out in the few texts with an at sign, so that the count over all texts
+meets only contexts that are about as rare as the identifiers behind them.
 """
 
 from __future__ import annotations
@@ -141,6 +144,13 @@ def context_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return contexts.join(patterns.select("context").distinct(), "context", "left_semi").groupBy("context").agg(F.count("*").alias("total"))
 
 
+def reachable(edges: DataFrame, totals: DataFrame, confidence: float) -> DataFrame:
+    """(kind, context) of the patterns that reach the confidence if all that follows them is right; no total counts as 0."""
+    most = edges.groupBy("kind", "context").agg(F.sum("n").alias("most"))
+    total = F.coalesce("total", F.lit(0)) + 1
+    return most.join(totals, "context", "left").where(F.col("most") >= confidence * total).select("kind", "context")
+
+
 def score(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Confidence of patterns (kind, context) and scores of instances (kind, value) after some rounds.
 
@@ -191,11 +201,15 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = stored(words.join(known, "context"))
     # a pattern without a candidate can add no span; the others go to a file, whose size tells the planner how to join
     patterns = stored(near.select("kind", "context").distinct())
-    totals = cut(context_counts(texts, patterns))
     both = seeds.join(patterns, ["kind", "context"], "left_semi").select("kind", "context", "value", F.lit(True).alias("seed")).unionByName(
         near.select("kind", "context", "value", F.lit(False).alias("seed"))
     )
     edges = cut(both.groupBy("kind", "context", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+    # a total over some texts is a lower bound: what it rules out, the total over all texts would rule out too
+    some = context_counts(texts.where(F.contains("text", F.lit("@"))), patterns)
+    hopeful = stored(reachable(edges, some, confidence))
+    totals = cut(context_counts(texts, hopeful))
+    edges = cut(edges.join(reachable(edges, totals, confidence), ["kind", "context"], "left_semi"))
     trust, scores = score(edges, totals)
     chosen = (
         near.join(trust.where(F.col("confidence") >= confidence), ["kind", "context"])
