@@ -6,6 +6,9 @@ segment, and probes, for its own and each slightly shorter length, the buckets
 that a partner could be in. Buckets that two different lines reach get the
 texts, and a banded bit-parallel edit distance verifies every pair in them.
 
+Lines of at most ``edits`` code points have no segments, as any two of them are
+within the limit: for them equality alone decides.
+
 Equal lines are one class before the join, so copies cost nothing there. A hot
 bucket is split into blocks and block pairs are compared, in tasks of their own;
 what leaves a task is one row per line with its number of links and the earliest
@@ -26,8 +29,8 @@ from tellmark.llm.ragged import SLICE_BYTES, Texts, mix, slices, stream
 from tellmark.session import table
 
 EDITS = 2
-#: Lines of fewer code points, without blanks around, are left alone.
-MIN_CHARS = 32
+#: Lines of fewer code points, without blanks around, are left alone; every line with a word is considered.
+MIN_CHARS = 1
 #: Lines of a bucket that are compared in one task.
 BLOCK = 256
 _BASE = 0x9FB21C651E98DF25
@@ -109,7 +112,7 @@ def bucket_keys(lines: Lines, edits: int) -> Iterator[tuple[np.ndarray, np.ndarr
         for i in range(edits + 1):
             for shift in shifts(i, delta, edits):
                 begin = starts[i] + shift
-                fits = np.flatnonzero((begin >= 0) & (begin + lengths[i] <= lines.size) & (lengths[i] > 0))
+                fits = np.flatnonzero((begin >= 0) & (begin + lengths[i] <= lines.size) & (size > edits))
                 a = lines.c_start[fits] + begin[fits]
                 b = a + lengths[i][fits]
                 content = (sums[b] - sums[a]) * inverse[a]
@@ -326,8 +329,9 @@ def line_verdicts(
     """One row per considered line: id (null as the largest long), no (from 0), h, n_links and removed.
 
     ``n_links`` is the number of different lines of the whole table within
-    ``edits`` edits of it; ``removed`` says that an equal or linked line stands
-    earlier, by (id, no). Blanks around a line don't count.
+    ``edits`` edits of it, where both have more than ``edits`` code points;
+    ``removed`` says that an equal or linked line stands earlier, by (id, no).
+    Blanks around a line don't count.
     """
     slim = _slim(docs, id_col, text_col)
     lines = stored(slim.mapInArrow(_lines_out(min_chars), "id long, no int, h long, h2 long"))
@@ -407,8 +411,9 @@ def dedup_lines(
 ) -> DataFrame:
     """The rows of ``docs`` with the text less the removed lines, and n_lines, n_removed and n_links at the end.
 
-    ``n_lines`` counts the considered lines, those of at least ``min_chars`` code
-    points; all others stay. Order is by (id, line number), null ids last. Null
+    ``n_lines`` counts the considered lines, those with a word and at least
+    ``min_chars`` code points; all others stay. Lines of at most ``edits`` code
+    points go as equal lines only. Order is by (id, line number), null ids last. Null
     texts stay null, a document may end up empty but stays a row. Rows that share
     an id count as one document: none of them loses a line to a line at the same
     or a later place of another. Ids must be integers or castable to long; other

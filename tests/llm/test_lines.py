@@ -112,3 +112,20 @@ def test_query_matches_brute_force_on_the_whole_table(spark):
                 break
             pairs += L.near(a, b, 2)
     assert pairs == 0 or linked
+
+
+def test_short_lines_are_compared_too(spark):
+    rng = random.Random(5)
+    rows = [(i, "\n".join("".join(rng.choice("abcdé") for _ in range(rng.randint(0, 9))) for _ in range(4))) for i in range(40)]
+    rows += [(50, "All rights reserved.\nab\nx"), (51, "All rights reserved.\n ab\ny"), (52, "All right reserved\nabcd\n \nx")]
+    flat = [(d, no, x.strip(BLANKS)) for d, text in rows for no, x in enumerate(text.split("\n")) if x.strip(BLANKS)]
+    texts = {s for *_, s in flat}
+    least = {s: min((d, n) for d, n, t in flat if t == s) for s in texts}
+    near = {s: [t for t in texts if t != s and min(len(s), len(t)) > 2 and distance(s, t) <= 2] for s in texts}
+    want = {d: [0, 0, 0] for d, _ in rows}
+    for d, no, s in flat:
+        gone = min([least[s], *(least[t] for t in near[s])]) < (d, no)
+        want[d] = [a + b for a, b in zip(want[d], (1, gone, len(near[s])), strict=True)]
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [r.n_lines, r.n_removed, r.n_links] for r in got} == want
+    assert want[51][1] >= 2 and want[52][1] >= 2
