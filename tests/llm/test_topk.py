@@ -62,3 +62,26 @@ def test_query_equals_its_sql(spark):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     want = con.execute(K.ORACLES["op2_exact_top_k"]).fetchall()
     assert sorted(map(tuple, K.op2_exact_top_k(spark, sf).collect())) == sorted(want)
+
+
+def test_large_components_keep_their_scores(spark):
+    rng = np.random.default_rng(8)
+    sizes = [1.0, 5e3, 1e6]
+    rows = [(i, np.float32(rng.normal(size=3) * sizes[i % 3]).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, K.top_k(df, F.col("vec_id") % 10 == 0, 7).collect())) == brute(rows, lambda i: i % 10 == 0, 7)
+    far = np.array([[2.0**40, 1 - 2.0**40], [3.0, 4.0]])
+    assert K.exact_scores(far, np.array([[2.0**40, 2.0**40], [2.0**60, 1.0]])[:1]).tolist() == [[2**40], [7 * 2**40]]
+    with pytest.raises(OverflowError):
+        K.exact_scores(far, far * 2.0**30)
+
+
+def test_query_equals_its_sql_with_repeated_ids_and_large_vectors(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(i % 250, np.float32(rng.normal(size=4) * (9000 if i == 333 else 1)).tolist()) for i in range(400)]
+    rows += [(200, rows[5][1])] * 2
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(K.ORACLES["op2_exact_top_k"]).fetchall()
+    assert sorted(map(tuple, K.op2_exact_top_k(spark, str(tmp_path)).collect())) == sorted(want)
