@@ -6,7 +6,8 @@ seeds are patterns. Patterns and what follows them form a bipartite graph: a
 pattern's confidence is the score of what follows it over how often it occurs in
 the corpus at all, an instance's score is the chance that one of its patterns is
 right, seeds stay certain. After a few rounds, identifier-like words that
-confident patterns point at become spans of the pattern's kind. Only patterns
+confident patterns point at become instances of the pattern's kind. Instances
+join the seeds, and patterns are made anew, until no new one comes. Only patterns
 that some such word follows are scored, and only those that occur so seldom that
 they could reach the confidence at all: the others could add nothing.
 
@@ -32,13 +33,18 @@ _CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: A word with a digit or an at sign.
 _CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*?[0-9@][^\x20\x09-\x0D]*+"
-_CONTEXT = r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$"
+#: Numbers of several words, and names and hosts around a bracketed at.
+_SPACED = r"(?<![^\x20\x09-\x0D])[(+]{0,2}+[0-9][0-9().,:/_\[\]-]*+(?:\x20[(\[]?+[0-9][0-9().,:/_\[\]-]*+)++(?![^\x20\x09-\x0D])"
+_AT = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++\x20?+[(\[{<]\x20?+(?i:at)\x20?+[)\]}>]\x20?+[\p{L}0-9][\p{L}0-9.-]*+"
+_FOUR = r"^[^\p{L}\p{N}]*+[0-9]{1,3}(?:[^\p{L}\p{N}]{1,3}[0-9]{1,3}){3}[^\p{L}\p{N}]*+$"
+#: The two words before the word that ends here or begins here.
+_CONTEXT = r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[^\x20\x09-\x0D]*+$"
 _SPANS = "array<struct<kind: int, start: int, end: int, value: string, context: bigint>>"
 #: Different seeds, in different documents, that make a context a pattern.
 SUPPORT = 3
 CONFIDENCE = 0.5
 ROUNDS = 3
-#: Code points before a span in which its context is looked for.
+#: Code points before a span in which its context is looked for first; one that isn't whole there is taken from the whole text.
 REACH = 100
 
 
@@ -79,11 +85,14 @@ def _is_ip(value: Column) -> Column:
 
 
 def _context(text: Column, start: Column) -> Column:
-    """A hash of the two lower-case words before a place, null if there aren't two close by."""
-    before = F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
-    two = F.regexp_extract(before, _CONTEXT, 2) != ""
-    words = [F.lower(F.regexp_extract(before, _CONTEXT, k)) for k in (1, 2)]
-    return F.when(two, F.xxhash64(*words))
+    """A hash of the two lower-case words before the word that holds a place, null if there aren't two."""
+
+    def two(before: Column, lead: str) -> Column:
+        words = [F.lower(F.regexp_extract(before, lead + _CONTEXT, k)) for k in (1, 2)]
+        return F.when(words[1] != "", F.xxhash64(*words))
+
+    close = F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
+    return F.coalesce(two(close, r"[\x20\x09-\x0D]"), two(F.substring(text, F.lit(1), start), r"(?:^|[\x20\x09-\x0D])"))
 
 
 def _spans(text: Column, kind: int, pattern: str, worth: Column, good) -> Column:
@@ -112,13 +121,26 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Words with six digits or an at sign, without marks around them, as spans of kind -1."""
+    """What is like an identifier, without marks around it, as spans of kind -1.
+
+    These are words with six digits, an at sign or four short numbers, and runs of
+    words: numbers with six digits in all, and names and hosts around a bracketed at.
+    """
     lead = lambda v: F.length(v) - F.length(F.regexp_replace(v, r"^[^\p{L}\p{N}+]+", ""))
     trail = lambda v: F.length(v) - F.length(F.regexp_replace(v, r"[^\p{L}\p{N}]+$", ""))
-    like = lambda s: F.contains(s["value"], F.lit("@")) | (F.length(_digits(s["value"])) >= 6)
-    found = F.filter(_found(text, _CANDIDATE), like)
+    many = lambda s: F.length(_digits(s["value"])) >= 6
+    like = lambda s: F.contains(s["value"], F.lit("@")) | many(s) | s["value"].rlike(_FOUR)
+    none = F.expr("CAST(array() AS array<struct<start: int, end: int, value: string>>)")
+
+    def where(worth: Column, pattern: str, good) -> Column:
+        return F.when(worth, F.filter(_found(text, pattern), good)).otherwise(none)
+
+    ats = where(text.rlike(r"(?i)[(\[{<]\x20?at\x20?[)\]}>]"), _AT, lambda s: F.lit(True))
+    spaced = where(text.rlike(r"[0-9][().,:/_\[\]-]*\x20[(\[]?[0-9]"), _SPACED, many)
+    words = where(text.rlike("@|[0-9][^\\x20\\x09-\\x0D]*[0-9]"), _CANDIDATE, like)
+    runs = F.concat(ats, F.filter(spaced, lambda s: ~_overlaps(ats, s)))
     full = F.transform(
-        found,
+        F.concat(runs, F.filter(words, lambda s: ~_overlaps(runs, s))),
         lambda s: F.struct(
             F.lit(-1).alias("kind"),
             (s["start"] + lead(s["value"])).alias("start"),
@@ -127,9 +149,7 @@ def candidates(text: Column) -> Column:
             _context(text, s["start"]).alias("context"),
         ),
     )
-    worth = text.rlike("@|[0-9][^\\x20\\x09-\\x0D]*[0-9]")
-    usable = F.filter(full, lambda s: s["context"].isNotNull() & (s["end"] > s["start"]))
-    return F.when(worth, usable).otherwise(F.expr(f"CAST(array() AS {_SPANS})"))
+    return F.filter(full, lambda s: s["context"].isNotNull() & (s["end"] > s["start"]))
 
 
 def _overlaps(base: Column, one: Column) -> Column:
@@ -191,32 +211,46 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("other", F.filter("other", lambda s: ~_overlaps(F.col("base"), s)))
     )
     seeds = seen.where(F.size("base") > 0).select("h", F.explode("base").alias("s")).select("h", "s.kind", "s.value", "s.context").where("context IS NOT NULL")
-    known = (
-        seeds.groupBy("kind", "context")
-        .agg(F.countDistinct("value").alias("seeds"), F.countDistinct("h").alias("texts"))
-        .where((F.col("seeds") >= support) & (F.col("texts") >= support))
-        .select("kind", "context")
-    )
     words = seen.where(F.size("other") > 0).select("id", "h", F.explode("other").alias("s")).select("id", "h", "s.start", "s.end", "s.value", "s.context")
-    near = stored(words.join(known, "context"))
-    # a pattern without a candidate can add no span; the others go to a file, whose size tells the planner how to join
-    patterns = stored(near.select("kind", "context").distinct())
-    both = seeds.join(patterns, ["kind", "context"], "left_semi").select("kind", "context", "value", F.lit(True).alias("seed")).unionByName(
-        near.select("kind", "context", "value", F.lit(False).alias("seed"))
-    )
-    edges = cut(both.groupBy("kind", "context", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
-    # a total over some texts is a lower bound: what it rules out, the total over all texts would rule out too
-    some = context_counts(texts.where(F.contains("text", F.lit("@"))), patterns)
-    hopeful = stored(reachable(edges, some, confidence))
-    totals = cut(context_counts(texts, hopeful))
-    edges = cut(edges.join(reachable(edges, totals, confidence), ["kind", "context"], "left_semi"))
-    trust, scores = score(edges, totals)
-    chosen = (
-        near.join(trust.where(F.col("confidence") >= confidence), ["kind", "context"])
-        .join(scores.where(F.col("score") >= confidence), ["kind", "value"])
-        .groupBy("id", "h", "start", "end")
-        .agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    )
+
+    def induced(seeds: DataFrame) -> DataFrame:
+        return stored(
+            seeds.groupBy("kind", "context")
+            .agg(F.countDistinct("value").alias("seeds"), F.countDistinct("h").alias("texts"))
+            .where((F.col("seeds") >= support) & (F.col("texts") >= support))
+            .select("kind", "context")
+        )
+
+    known, instances = induced(seeds), None
+    while True:
+        near = stored(words.join(known, "context"))
+        # a pattern without a candidate can add no span; the others go to a file, whose size tells the planner how to join
+        patterns = stored(near.select("kind", "context").distinct())
+        both = seeds.join(patterns, ["kind", "context"], "left_semi").select("kind", "context", "value", F.lit(True).alias("seed")).unionByName(
+            near.select("kind", "context", "value", F.lit(False).alias("seed"))
+        )
+        edges = cut(both.groupBy("kind", "context", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+        # a total over some texts is a lower bound: what it rules out, the total over all texts would rule out too
+        some = context_counts(texts.where(F.contains("text", F.lit("@"))), patterns)
+        hopeful = stored(reachable(edges, some, confidence))
+        totals = cut(context_counts(texts, hopeful))
+        edges = cut(edges.join(reachable(edges, totals, confidence), ["kind", "context"], "left_semi"))
+        trust, scores = score(edges, totals)
+        sure = stored(
+            near.join(trust.where(F.col("confidence") >= confidence), ["kind", "context"]).join(
+                scores.where(F.col("score") >= confidence), ["kind", "value"]
+            )
+        )
+        found = sure.select("kind", "value").distinct()
+        instances = stored(found if instances is None else found.unionByName(instances).distinct())
+        if instances.isEmpty():
+            break
+        # instances join the seeds wherever they stand; they never leave, so the patterns grow until none is new
+        more = induced(seeds.unionByName(words.join(instances, "value").select("h", "kind", "value", "context")))
+        if more.count() == known.count():
+            break
+        known = more
+    chosen = sure.groupBy("id", "h", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     per = chosen.groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(
         F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added")
     )

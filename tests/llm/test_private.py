@@ -67,3 +67,24 @@ def test_learned_contexts_find_unseen_identifiers(spark):
     at = texts[7].index("odd")
     assert got == sorted([(6, [(0, 28, 51)]), (7, [(0, at, at + 12)]), (7, [(0, at, at + 12)]), (None, [(0, at, at + 12)])], key=str)
     assert find_private(df.limit(0)).count() == 0
+
+
+def added(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.added] for r in find_private(df).collect() if r.added}
+
+
+def test_instances_become_seeds_of_further_contexts(spark):
+    texts = [f"Contact mail: user{k}@host{k}.org today" for k in range(8)]
+    hidden = [f"name{k}(at)host.org" for k in range(4)]
+    texts += [f"Contact mail: {x} today" for x in hidden] + [f"Kindly reach {x} instead" for x in hidden]
+    texts += ["Kindly reach odd (at) place.net instead"]
+    assert added(spark, texts) == {8 + k: [hidden[k % 4]] for k in range(8)} | {16: ["odd (at) place.net"]}
+
+
+def test_contexts_behind_marks_and_long_words_and_all_shapes(spark):
+    long = "w" * 150
+    texts = [f"the {long} <mailto:user{k}@host{k}.org> today" for k in range(6)] + [f"the {long} someone [at] host.org today"]
+    texts += [f"my phone Tel:+4915112345{k:02} ok" for k in range(6)] + ["my phone 0151 234 567 ok"]
+    texts += [f"server address: 10.0.0.{k} up" for k in range(6)] + ["server address: 10-0-0-7 up"]
+    assert added(spark, texts) == {6: ["someone [at] host.org"], 13: ["0151 234 567"], 20: ["10-0-0-7"]}
