@@ -43,7 +43,13 @@ def test_round_trip_nulls_repeats_and_clashing_names(spark, tmp_path):
         (5, "ü" * 70000, "response", None), (5, "ü" * 70000, "response", None), (None, "same", "revisit", first), (None, "alone", "response", None),
     ]
     assert sorted(got, key=str) == sorted(want, key=str)
+    whole = {(r.id, bytes(r.record)) for r in found}
+    records = W.read_records(spark, path).collect()
+    assert {(r.id, bytes(r.record)) for r in records} == whole and len(records) == len(rows) and all(r.verified for r in records)
+    plan = W.read_records(spark, path)._jdf.queryExecution().toString()
+    assert "SelectedBucketsCount" in plan
     W.write_archive(df.limit(0), path + "0")
+    assert W.read_records(spark, path + "0").count() == 0
     assert W.read_archive(spark, path + "0").count() == 0
     W.write_archive(df, path + "5", min_revisit=5)
     kinds = W.read_archive(spark, path + "5").select("id", W.field("WARC-Type")).collect()
