@@ -46,7 +46,9 @@ def test_round_trip_nulls_repeats_and_clashing_names(spark, tmp_path):
     whole = {(r.id, bytes(r.record)) for r in found}
     records = W.read_records(spark, path).collect()
     assert {(r.id, bytes(r.record)) for r in records} == whole and len(records) == len(rows) and all(r.verified for r in records)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     plan = W.read_records(spark, path)._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SelectedBucketsCount" in plan
     W.write_archive(df.limit(0), path + "0")
     assert W.read_records(spark, path + "0").count() == 0
