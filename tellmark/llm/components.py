@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from tellmark.llm.common import cut
 
+#: Tasks that the neighbours of one node are dealt over.
+SHARES = 32
+
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """Hang the neighbours of every node on the least of them: the larger ones, or the smaller ones and the node."""
     if large:
         pairs = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = pairs.join(least, "u")
+    # a root has as many neighbours as its component has nodes: its least one goes to shares of them
+    share = F.pmod(F.xxhash64("v"), F.lit(SHARES)).alias("share")
+    parts = pairs.groupBy("u", share).agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+    shares = parts.select("u", "share").join(least, "u")
+    joined = pairs.withColumn("share", share).join(shares, ["u", "share"])
     out = joined.where("v > u" if large else "v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = out.unionByName(least.select("u", F.col("m").alias("v")))

@@ -7,6 +7,9 @@ posterior probability that its similarity reaches the threshold is below a
 tolerance. What is left connects texts into candidate groups, whose shingle sets
 are fetched once, and every pair inside a group is verified exactly.
 
+A text's name is a 64-bit hash of its words; a second one tells whether two texts
+share a name, and such texts get another name made of both hashes.
+
 No step emits the pairs of a group: tasks give one row per text, with its number
 of links and the root of its tree of links. Large buckets and groups are split
 into blocks, and each pair of blocks is a task's work.
@@ -21,7 +24,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellmark.llm.common import cut, stored
@@ -37,7 +40,6 @@ BAND_ROWS, BANDS = 5, 32
 STEP, TOLERANCE = 32, 1e-6
 BLOCK = 256
 _BASE = 0x9E6C63D0876A9A35
-_NO_ID = np.iinfo(np.int64).max
 
 
 def shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,14 +73,14 @@ def _texts_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             _, _, t, t2 = shingles(Texts(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(t), pa.array(t2)], ["id", "t", "t2"])
+            yield pa.RecordBatch.from_arrays([part.column("k"), part.column("nul"), pa.array(t), pa.array(t2)], ["k", "nul", "t", "t2"])
 
 
 def _sketches_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factors = stream(BAND_ROWS * BANDS, 31) | np.uint64(1)
     for batch in batches:
         for part in slices(batch, "text"):
-            hashes, own, t, _ = shingles(Texts(part.column("text")))
+            hashes, own, t, t2 = shingles(Texts(part.column("text")))
             who, first, count = np.unique(own, return_index=True, return_counts=True)
             signature = np.zeros((len(who), len(factors)), np.uint32)
             if len(who):
@@ -87,12 +89,14 @@ def _sketches_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     signature[:, k] = np.minimum.reduceat(hashes * factor, first) >> np.uint64(32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("id").take(pa.array(who)),
+                    part.column("k").take(pa.array(who)),
+                    part.column("nul").take(pa.array(who)),
                     pa.array(t[who]),
+                    pa.array(t2[who]),
                     pa.array(count.astype(np.int32)),
                     pa.array([row.tobytes() for row in signature], pa.binary()),
                 ],
-                ["id", "t", "size", "signature"],
+                ["k", "nul", "t", "t2", "size", "signature"],
             )
 
 
@@ -243,12 +247,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            hashes, own, t, _ = shingles(Texts(part.column("text")))
-            wanted = part.column("wanted").to_pylist()
-            bounds = np.searchsorted(own, np.arange(len(wanted) + 1))
-            at = [i for i, some in enumerate(wanted) if int(t[i]) in some]
-            sets = [hashes[bounds[i] : bounds[i + 1]].tobytes() for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array(t[at], pa.int64()), pa.array(sets, pa.binary())], ["t", "shingles"])
+            hashes, own, t, t2 = shingles(Texts(part.column("text")))
+            bounds = np.searchsorted(own, np.arange(len(t) + 1))
+            sets = [hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(t2), pa.array(sets, pa.binary())], ["t", "t2", "shingles"])
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
@@ -267,27 +269,27 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
 
-def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID))).alias("id"), F.col(text_col).cast("string").alias("text")
-    )
+def _key(id_col: Column, text: Column) -> list[Column]:
+    """A document's key: its id, or a hash of its text and that it has no id."""
+    number = id_col.cast("long")
+    return [F.coalesce(number, F.xxhash64(text.cast("string"))).alias("k"), number.isNull().alias("nul")]
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, t, class_id, n_copies and n_links.
+def _named(df: DataFrame, clashing: list[int]) -> DataFrame:
+    """t replaced where several texts have it; almost always none do."""
+    return df.withColumn("t", F.when(F.col("t").isin(clashing), F.xxhash64("t", "t2")).otherwise(F.col("t"))) if clashing else df
 
-    ``t`` is a hash of the text's words; ``n_copies`` counts the rows with the
-    same words, ``n_links`` the different texts of similarity 0.8 or more.
-    ``class_id`` is the least id of all rows that copies and links connect. Texts
-    of fewer than five words, null and empty ones included, have no shingles and
-    only copies. Ids must be castable to long; a null id counts as the largest
-    and comes back as null. Other columns are not carried. Empty in, empty out.
-    """
-    slim = _slim(docs, id_col, text_col)
-    texts = stored(slim.mapInArrow(_texts_out, "id long, t long, t2 long"))
-    first = texts.groupBy("t").agg(F.min("id").alias("id"))
-    sketches = slim.mapInArrow(_sketches_out, "id long, t long, size int, signature binary")
-    sketches = stored(sketches.join(first, ["t", "id"], "left_semi"))
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: k, nul, t, t2 (raw hashes), least (nul, k of its class), n_copies and n_links."""
+    text = F.col(text_col).cast("string")
+    slim = docs.select(*_key(F.col(id_col), text), text.alias("text"))
+    raw = stored(slim.mapInArrow(_texts_out, "k long, nul boolean, t long, t2 long"))
+    clashing = [r.t for r in raw.groupBy("t").agg(F.min("t2").alias("a"), F.max("t2").alias("b")).where("a <> b").select("t").collect()]
+    texts = _named(raw.withColumns({"h": F.col("t"), "h2": F.col("t2")}), clashing)
+    first = texts.groupBy("t").agg(F.min(F.struct("nul", "k")).alias("f")).select("t", "f.nul", "f.k")
+    sketches = _named(slim.mapInArrow(_sketches_out, "k long, nul boolean, t long, t2 long, size int, signature binary"), clashing)
+    sketches = stored(sketches.join(first, ["t", "nul", "k"], "left_semi").select("t", "size", "signature"))
     bands = sketches.select("t", "signature").mapInArrow(_bands_out, "key long, t long")
     buckets = (
         bands.groupBy("key")
@@ -297,35 +299,43 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .agg(F.min("key").alias("key"))
         .select("key", "n")
     )
-    candidates = in_blocks(bands.join(buckets, "key")).join(sketches.select("t", "size", "signature"), "t")
+    candidates = in_blocks(bands.join(buckets, "key")).join(sketches, "t")
     edges = _dealt(candidates).mapInArrow(_edges_out, "u long, v long")
     groups = components(edges).select(F.col("node").alias("t"), F.col("label").alias("key"))
     members = cut(groups.join(groups.groupBy("key").agg(F.count("*").alias("n")), "key"))
-    wanted = members.join(first, "t").groupBy("id").agg(F.collect_set("t").alias("wanted"))
-    sets = slim.join(wanted, "id").select("text", "wanted").mapInArrow(_shingles_of, "t long, shingles binary")
+    wanted = members.join(first, "t").select("k", "nul").distinct()
+    sets = _named(slim.join(wanted, ["k", "nul"], "left_semi").select("text").mapInArrow(_shingles_of, "t long, t2 long, shingles binary"), clashing)
     sets = sets.groupBy("t").agg(F.max("shingles").alias("shingles"))
     links = cut(
         _dealt(in_blocks(members).join(sets, "t")).mapInArrow(_links_out, "t long, n_links long, root long, crosses boolean")
     )
     counts = links.groupBy("t").agg(F.sum("n_links").alias("n_links"))
     labels = components(links.select(F.col("t").alias("u"), F.col("root").alias("v")))
-    copies = texts.groupBy("t", "t2").agg(F.count("*").alias("n_copies"))
-    per = (
-        texts.join(copies, ["t", "t2"])
-        .join(labels.withColumnRenamed("node", "t"), "t", "left")
+    # one row per text: copies of a hot text meet no one else's
+    copies = texts.groupBy("t").agg(F.count("*").alias("n_copies"))
+    known = (
+        copies.join(labels.withColumnRenamed("node", "t"), "t", "left")
         .join(counts, "t", "left")
-        .select(
-            "id",
-            "t",
-            "n_copies",
-            F.coalesce("label", "t").alias("label"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        )
+        .join(first, "t")
+        .select("t", "n_copies", F.coalesce("label", "t").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "nul", "k")
     )
-    classes = per.groupBy("label").agg(F.min("id").alias("class_id"))
-    known = lambda c: F.when(F.col(c) < int(_NO_ID), F.col(c)).alias
-    return per.join(classes, "label").select(
-        known("id")(id_col), "t", known("class_id")("class_id"), "n_copies", "n_links"
+    least = known.groupBy("label").agg(F.min(F.struct("nul", "k")).alias("least"))
+    return texts.join(known.join(least, "label").select("t", "least", "n_copies", "n_links"), "t")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, t, class_id, n_copies and n_links.
+
+    ``t`` is a hash of the text's words; ``n_copies`` counts the rows with the
+    same words, ``n_links`` the different texts of similarity 0.8 or more.
+    ``class_id`` is the least id of all rows that copies and links connect, null
+    if none of them has an id. Texts of fewer than five words, null and empty ones
+    included, have no shingles and only copies. Ids must be castable to long; a
+    null id counts as the largest. Other columns are not carried. Empty in, empty out.
+    """
+    known = lambda nul, k, name: F.when(~F.col(nul), F.col(k)).alias(name)
+    return _classes(docs, id_col, text_col).select(
+        known("nul", "k", id_col), "t", known("least.nul", "least.k", "class_id"), "n_copies", "n_links"
     )
 
 
@@ -336,9 +346,9 @@ def _unwanted(text: str):
                 stay = [x is None for x in part.column("_t").to_pylist()]
                 hit = [i for i, ok in enumerate(stay) if not ok]
                 if hit:
-                    _, _, t, _ = shingles(Texts(part.column(text).take(pa.array(hit))))
-                    for i, mine in zip(hit, t.tolist(), strict=True):
-                        stay[i] = mine not in part.column("_t")[i].as_py()
+                    _, _, t, t2 = shingles(Texts(part.column(text).take(pa.array(hit))))
+                    for i, *mine in zip(hit, t.tolist(), t2.tolist(), strict=True):
+                        stay[i] = mine not in [[x["h"], x["h2"]] for x in part.column("_t")[i].as_py()]
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1]).filter(pa.array(stay, pa.bool_()))
 
     return run
@@ -346,23 +356,20 @@ def _unwanted(text: str):
 
 def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the least of their class, with all their columns; repeated rows of that id stay."""
-    found = near_copies(docs, id_col, text_col)
-    late = F.coalesce(id_col, F.lit(int(_NO_ID)))
-    losers = (
-        found.where(F.col("class_id").isNotNull() & (late > F.col("class_id")))
-        .groupBy(late.alias("_id"))
-        .agg(F.collect_set("t").alias("_t"))
-    )
+    found = _classes(docs, id_col, text_col)
+    later = ~F.col("least.nul") & (F.col("nul") | (F.col("k") > F.col("least.k")))
+    losers = found.where(later).groupBy(F.col("k").alias("_k"), F.col("nul").alias("_nul")).agg(F.collect_set(F.struct("h", "h2")).alias("_t"))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names).withColumn(
-        "_id", F.coalesce(F.col(names[docs.columns.index(id_col)]).cast("long"), F.lit(int(_NO_ID)))
-    )
+    plain = docs.toDF(*names)
+    key, none = _key(*(F.col(names[docs.columns.index(c)]) for c in (id_col, text_col)))
+    plain = plain.withColumn("_k", key).withColumn("_nul", none)
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    joined = plain.join(losers, "_id", "left").select(*names, "_t")
+    joined = plain.join(losers, ["_k", "_nul"], "left").select(*names, "_t")
     return joined.mapInArrow(_unwanted(names[docs.columns.index(text_col)]), schema).toDF(*docs.columns)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, copies and links of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_copies(docs).select("doc_id", "class_id", "n_copies", "n_links")
 
