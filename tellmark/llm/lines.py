@@ -9,7 +9,8 @@ texts, and a banded bit-parallel edit distance verifies every pair in them.
 Lines of at most ``edits`` code points have no segments, as any two of them are
 within the limit: for them equality alone decides.
 
-Equal lines are one class before the join, so copies cost nothing there. A hot
+A task sends the keys of a line once, as long as it remembers the line; a second
+hash and the texts themselves tell lines of equal hash apart. A hot
 bucket is split into blocks and block pairs are compared, in tasks of their own;
 what leaves a task is one row per line with its number of links and the earliest
 partner, never the pairs.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellmark.llm.common import stored
@@ -33,6 +34,8 @@ EDITS = 2
 MIN_CHARS = 1
 #: Lines of a bucket that are compared in one task.
 BLOCK = 256
+#: Lines whose keys a task remembers to have sent; forgetting one costs rows, nothing else.
+REMEMBERED = 1 << 20
 _BASE = 0x9FB21C651E98DF25
 _NO_ID = np.iinfo(np.int64).max
 
@@ -128,11 +131,12 @@ def _lines_out(min_chars: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").take(pa.array(lines.owner)),
+                        part.column("sub").take(pa.array(lines.owner)),
                         pa.array(lines.number.astype(np.int32)),
                         pa.array(lines.h),
                         pa.array(lines.check()),
                     ],
-                    ["id", "no", "h", "h2"],
+                    ["id", "sub", "no", "h", "h2"],
                 )
 
     return run
@@ -140,10 +144,13 @@ def _lines_out(min_chars: int):
 
 def _keys_out(min_chars: int, edits: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 lines = Lines(Texts(part.column("text")), min_chars)
-                _, once = np.unique(lines.h, return_index=True)
+                h, once = np.unique(lines.h, return_index=True)
+                once = once[~np.isin(h, sent)]
+                sent = np.union1d(sent, h) if len(sent) + len(h) <= REMEMBERED else h
                 for name in ("c_start", "size", "h"):
                     setattr(lines, name, getattr(lines, name)[once])
                 found = list(bucket_keys(lines, edits))
@@ -194,7 +201,7 @@ def _wanted_lines(min_chars: int):
                 at = np.flatnonzero(np.isin(lines.h, wanted))
                 line = [texts.bytes[a:b].tobytes() for a, b in zip(lines.start[at], lines.end[at])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.h[at]), pa.array(line, pa.binary()).cast(pa.string())], ["h", "line"]
+                    [pa.array(lines.h[at]), pa.array(lines.check()[at]), pa.array(line, pa.binary()).cast(pa.string())], ["h", "h2", "line"]
                 )
 
     return run
@@ -204,22 +211,18 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     """Edit distance of a and b, or limit + 1 if it is larger.
 
     Set ``reach[e]`` has a bit for each diagonal of the band of 2 * limit + 1
-    that e edits lead to; one step moves all diagonals at once.
+    that e edits lead to; one step moves all diagonals at once. The places of every
+    character of a are the bits of one number, of which a step sees the band.
     """
     if abs(len(a) - len(b)) > limit:
         return limit + 1
-    width = 2 * limit + 1
-    full = (1 << width) - 1
+    full = (1 << (2 * limit + 1)) - 1
     reach = [sum(1 << (limit + d) for d in range(e + 1)) for e in range(limit + 1)]
-    pad = "\0" * limit
-    band = pad + a + pad
-    n = len(a)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << (limit + i)
     for j, c in enumerate(b):
-        same = 0
-        for d in range(width):
-            at = j + d - limit
-            if 0 <= at < n and band[j + d] == c:
-                same |= 1 << d
+        same = (places.get(c, 0) >> j) & full
         moved, before = [], 0
         for e, old in enumerate(reach):
             new = old & same
@@ -266,7 +269,7 @@ def first_segment(x: str, y: str, edits: int) -> int:
 
 
 def bucket_links(rows: list[tuple], edits: int, found: dict[int, list]) -> None:
-    """Verify the pairs of one block pair: rows of (h, role, side, other side or -1, least of its class, line).
+    """Verify the pairs of one block pair: rows of (hashes, role, side, other side or -1, least of its class, line).
 
     Of a pair the shorter line, or that of smaller hash, is the segmented one;
     the pair counts in the bucket of the first segment that the other one holds.
@@ -293,66 +296,73 @@ def _links_out(edits: int):
             found.clear()
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([h for h, _ in items], pa.int64()),
+                    pa.array([h for (h, _), _ in items], pa.int64()),
+                    pa.array([h2 for (_, h2), _ in items], pa.int64()),
                     pa.array([n for _, (n, _) in items], pa.int64()),
                     pa.array([x[0] for _, (_, x) in items], pa.int64()),
-                    pa.array([x[1] for _, (_, x) in items], pa.int32()),
+                    pa.array([x[1] for _, (_, x) in items], pa.bool_()),
+                    pa.array([x[2] for _, (_, x) in items], pa.int32()),
                 ],
-                ["h", "n_links", "id", "no"],
+                ["h", "h2", "n_links", "id", "nul", "no"],
             )
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "h", "role", "side", "other", "id", "no", "line")]
-            for key, low, high, h, role, side, other, d, no, line in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "h", "h2", "role", "side", "other", "id", "nul", "no", "line")]
+            for key, low, high, h, h2, role, side, other, d, nul, no, line in zip(*columns, strict=True):
                 if (key, low, high) != bucket:
                     bucket_links(rows, edits, found)
                     bucket, rows = (key, low, high), []
                     if len(found) > 10_000:
                         yield out()
-                rows.append((h, role, side, other, (d, no), line))
+                rows.append(((h, h2), role, side, other, (d, nul, no), line))
         bucket_links(rows, edits, found)
         yield out()
 
     return run
 
 
-def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Document ids with null as the largest number, and texts."""
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID))).alias("id"), F.col(text_col).cast("string").alias("text")
-    )
+def _key(id_col: Column, text: Column) -> list[Column]:
+    """A document's number, null ids the largest, and 0 or, without an id, a hash of its text, which deals such documents out."""
+    number, sub = id_col.cast("long"), F.xxhash64(text.cast("string"))
+    return [
+        F.coalesce(number, F.lit(int(_NO_ID))).alias("id"),
+        F.when(number.isNotNull(), 0).otherwise(F.when(sub == 0, 1).otherwise(sub)).cast("long").alias("sub"),
+    ]
 
 
 def line_verdicts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS
 ) -> DataFrame:
-    """One row per considered line: id (null as the largest long), no (from 0), h, n_links and removed.
+    """One row per considered line: id (null as the largest long), sub (not 0 without an id), no (from 0), h, n_links and removed.
 
     ``n_links`` is the number of different lines of the whole table within
     ``edits`` edits of it, where both have more than ``edits`` code points;
     ``removed`` says that an equal or linked line stands earlier, by (id, no).
     Blanks around a line don't count.
     """
-    slim = _slim(docs, id_col, text_col)
-    lines = stored(slim.mapInArrow(_lines_out(min_chars), "id long, no int, h long, h2 long"))
-    classes = lines.groupBy("h", "h2").agg(F.min(F.struct("id", "no")).alias("least"))
+    slim = docs.select(*_key(F.col(id_col), F.col(text_col)), F.col(text_col).cast("string").alias("text"))
+    lines = stored(slim.mapInArrow(_lines_out(min_chars), "id long, sub long, no int, h long, h2 long"))
+    place = F.struct("id", (F.col("sub") != 0).alias("nul"), "no")
+    classes = lines.groupBy("h", "h2").agg(F.min(F.struct(place.alias("at"), "sub")).alias("least"))
+    classes = classes.select("h", "h2", "least.at", "least.sub")
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(16, -(-total // 20_000_000))
     members = stored(
-        slim.mapInArrow(_keys_out(min_chars, edits, groups), "grp long, keys binary, lines binary, roles binary")
+        slim.select("text").mapInArrow(_keys_out(min_chars, edits, groups), "grp long, keys binary, lines binary, roles binary")
         .groupBy("grp")
         .applyInArrow(_shared_buckets, "key long, h long, role int, n long")
     )
-    least = members.select("h").distinct().join(classes, "h").groupBy("h").agg(F.min("least").alias("least"))
-    wanted = least.groupBy(F.col("least.id").alias("id")).agg(F.collect_list("h").alias("wanted"))
+    # all classes of a hash, if there should be several: their texts are compared
+    least = members.select("h").distinct().join(classes, "h")
+    wanted = least.groupBy(F.col("at.id").alias("id"), "sub").agg(F.collect_set("h").alias("wanted"))
     texts = (
-        slim.join(wanted, "id")
+        slim.join(wanted, ["id", "sub"])
         .select("text", "wanted")
-        .mapInArrow(_wanted_lines(min_chars), "h long, line string")
-        .groupBy("h")
+        .mapInArrow(_wanted_lines(min_chars), "h long, h2 long, line string")
+        .groupBy("h", "h2")
         .agg(F.first("line").alias("line"))
     )
-    known = stored(texts.join(least, "h").select("h", "line", "least.id", "least.no"))
+    known = stored(texts.join(least, ["h", "h2"]).select("h", "h2", "line", "at.*"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
         members.withColumn("side", F.pmod(F.xxhash64("h"), blocks).cast("int"))
@@ -363,21 +373,20 @@ def line_verdicts(
     )
     links = (
         dealt.join(known, "h")
-        .select("key", "low", "high", "h", "role", "side", "other", "id", "no", "line")
+        .select("key", "low", "high", "h", "h2", "role", "side", "other", "id", "nul", "no", "line")
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
-        .mapInArrow(_links_out(edits), "h long, n_links long, id long, no int")
-        .groupBy("h")
-        .agg(F.sum("n_links").alias("n_links"), F.min(F.struct("id", "no")).alias("partner"))
+        .mapInArrow(_links_out(edits), "h long, h2 long, n_links long, id long, nul boolean, no int")
+        .groupBy("h", "h2")
+        .agg(F.sum("n_links").alias("n_links"), F.min(F.struct("id", "nul", "no")).alias("partner"))
     )
-    decided = classes.join(links, "h", "left").select(
+    decided = classes.join(links, ["h", "h2"], "left").select(
         "h",
         "h2",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.least(F.col("least"), F.coalesce("partner", "least")).alias("first"),
+        F.least(F.col("at"), F.coalesce("partner", "at")).alias("first"),
     )
-    earlier = F.struct("id", "no") > F.col("first")
-    return lines.join(decided, ["h", "h2"]).select("id", "no", "h", "n_links", earlier.alias("removed"))
+    return lines.join(decided, ["h", "h2"]).select("id", "sub", "no", "h", "n_links", (place > F.col("first")).alias("removed"))
 
 
 def _cleaned(text: str, min_chars: int):
@@ -421,18 +430,18 @@ def dedup_lines(
     """
     docs = docs.drop("n_lines", "n_removed", "n_links")
     verdicts = line_verdicts(docs, id_col, text_col, edits, min_chars)
-    per = verdicts.groupBy(F.col("id").alias("_id")).agg(
+    per = verdicts.groupBy(F.col("id").alias("_id"), F.col("sub").alias("_sub")).agg(
         F.count("*").alias("n_lines"),
         F.count_if("removed").alias("n_removed"),
         F.sum("n_links").alias("n_links"),
         F.collect_set(F.when(F.col("removed"), F.struct("no", "h"))).alias("_gone"),
     )
     names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names).withColumn(
-        "_id", F.coalesce(F.col(names[docs.columns.index(id_col)]).cast("long"), F.lit(int(_NO_ID)))
-    )
+    plain = docs.toDF(*names)
+    number, sub = _key(*(F.col(names[docs.columns.index(c)]) for c in (id_col, text_col)))
+    plain = plain.withColumn("_id", number).withColumn("_sub", sub)
     counts = ["n_lines", "n_removed", "n_links"]
-    joined = plain.join(per, "_id", "left").select(
+    joined = plain.join(per, ["_id", "_sub"], "left").select(
         *names, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), "_gone"
     )
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
@@ -442,6 +451,7 @@ def dedup_lines(
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines counted, removed and linked, and what is left, of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
         "doc_id",
