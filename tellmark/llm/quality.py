@@ -3,8 +3,11 @@
 A document fails outright if it is very short or mostly repeats itself. Of the
 others a Viterbi decoding of its lines decides: a document is kept if enough of
 its words stand in content lines. The CRF is fitted on at most ``SAMPLE``
-labelled documents (all lines of a good document count as content, all of a bad
-one as boilerplate); only line features of that sample reach the driver.
+labelled documents of at most ``SAMPLE_LINES`` lines; only line features of that
+sample reach the driver. Labels are of documents, states of lines: a line starts
+with its document's label, lines that a model without neighbours is sure of
+otherwise change theirs, and lines of bad documents set into good ones (and the
+other way round) show the chain how content and boilerplate follow each other.
 Everything runs in one pass over whole texts without a shuffle.
 """
 
@@ -23,6 +26,10 @@ from tellmark.session import table
 
 #: Most labelled documents that the model is fitted on.
 SAMPLE = 2000
+#: Lines of a document of the sample; longer ones are judged like all others, but not fitted on.
+SAMPLE_LINES = 500
+#: Log odds at which a line's own features outvote its document's label.
+SURE = 3.0
 MIN_WORDS = 10
 REPEAT_WINDOW = 5
 MAX_REPEAT_PERCENT = 20
@@ -217,21 +224,42 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             page = Pages(Texts(part.column("text")))
             bounds = np.searchsorted(page.owner, np.arange(len(part.column("text")) + 1))
+            some = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) <= SAMPLE_LINES))
+            features = [page.features[bounds[i] : bounds[i + 1]].astype("<f4").tobytes() for i in some]
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("good"),
-                    part.column("key"),
-                    pa.array([page.features[a:b].astype("<f4").tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
-                ],
+                [part.column("good").take(pa.array(some)), part.column("key").take(pa.array(some)), pa.array(features, pa.binary())],
                 ["good", "key", "features"],
             )
 
 
+def line_states(lines: list[np.ndarray], good: np.ndarray) -> list[np.ndarray]:
+    """A state for every line: its document's label, unless a model of single lines is sure of the other one."""
+    every = np.concatenate(lines)
+    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    alone = fit(every, np.arange(len(every)), good[owner])
+    odds = every.astype(float) @ (alone.emit[:, 1] - alone.emit[:, 0]) + alone.start[1] - alone.start[0]
+    states = np.where(odds > SURE, 1, np.where(odds < -SURE, 0, good[owner]))
+    return np.split(states, np.cumsum([len(x) for x in lines])[:-1])
+
+
+def spliced(lines: list[np.ndarray], states: list[np.ndarray], good: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The documents, and as many mixed ones as the rarer label has: one to three lines of one within another, in turns."""
+    of = [np.flatnonzero(good == k) for k in (0, 1)]
+    docs = [(lines[i], states[i]) for i in range(len(lines))]
+    for n, pair in enumerate(zip(*of)):
+        outer, inner = pair if n % 2 else pair[::-1]
+        at, some = n % (len(lines[outer]) + 1), 1 + n % 3
+        docs.append(tuple(np.concatenate([x[outer][:at], x[inner][:some], x[outer][at:]]) for x in (lines, states)))
+    return [x for x, _ in docs], [s for _, s in docs]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineModel:
     """Fit the chain on at most ``sample`` labelled documents, those of least hash of their id.
 
-    ``labels`` has doc_id and quality (1 good, 0 bad; others are left out).
-    Without any labelled line every line counts as content.
+    ``labels`` has doc_id and quality (1 good, 0 bad; others, null ids and
+    documents without text are left out). Of several labels of an id the worst
+    counts, of several rows of an id one. Without any labelled line every line
+    counts as content. The fit is the same in every run.
     """
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
@@ -243,13 +271,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineModel
     )
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("good", "key", "text")  # at most ``sample`` rows
-    rows = joined.mapInArrow(_line_rows, "good int, key long, features binary").collect()
-    rows = [r for r in sorted(map(tuple, rows), key=lambda r: (r[1], r[2])) if r[2]]
+    found = joined.mapInArrow(_line_rows, "good int, key long, features binary").groupBy("key").agg(
+        F.min("good").alias("good"), F.min("features").alias("features")
+    )
+    rows = sorted((r.key, r.good, bytes(r.features)) for r in found.collect())
     if not rows:
         return LineModel(np.zeros((_FEATURES, 2)), np.array([0.0, 1.0]), np.zeros((2, 2)))
-    lines = [np.frombuffer(r[2], "<f4").reshape(-1, _FEATURES) for r in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in lines])
-    return fit(np.concatenate(lines), owner, np.array([r[0] for r in rows])[owner])
+    lines = [np.frombuffer(x, "<f4").reshape(-1, _FEATURES) for *_, x in rows]
+    good = np.array([g for _, g, _ in rows])
+    lines, states = spliced(lines, line_states(lines, good), good)
+    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    return fit(np.concatenate(lines), owner, np.concatenate(states))
 
 
 def verdicts(model: LineModel, page: Pages, min_content: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -306,7 +338,10 @@ def _kept_rows(model: LineModel, text: str, min_content: float):
 
 
 def keep_good(docs: DataFrame, model: LineModel, text_col: str = "text", min_content: float = MIN_CONTENT) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns, whatever they are called."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, whatever they are called.
+
+    Null, empty and blank texts go. Repeated rows stay or go alike, each on its own. Empty in, empty out.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
     text = names[docs.columns.index(text_col)]
@@ -314,6 +349,7 @@ def keep_good(docs: DataFrame, model: LineModel, text_col: str = "text", min_con
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document, by a model fitted on labelled documents of the same table."""
     docs = table(spark, sf_dir, "documents")
     return judge(docs, train(docs, table(spark, sf_dir, "labels")))
 

@@ -3,9 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row
 
-from tellmark.llm.quality import LineModel, fit, judge, keep_good, op10_quality_rules, train, viterbi
+from tellmark.llm.quality import LineModel, Pages, fit, judge, keep_good, op10_quality_rules, train, verdicts, viterbi
+from tellmark.llm.ragged import Texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -51,6 +53,26 @@ def test_held_out_accuracy(spark):
     assert sum(not r.kept for r in bad) >= 0.8 * len(bad)
 
 
+def test_mixed_documents_are_told_line_by_line(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = train(docs, labels.where("doc_id % 2 = 0"), 1500)
+    rows = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").orderBy("doc_id").collect()
+    wordy = lambda q: [[x for x in r.text.split("\n") if len(x) > 60] for r in rows if r.quality == q]
+    marked = lambda x: all(re.search(r"[|#$%&*]{1}", line) for line in x)
+    good = [x for x in wordy(1) if 1 < len(x) < 30][:100]
+    bad = [x for x in wordy(0) if 1 < len(x) < 30 and marked(x)][:100]  # other bad ones repeat good-looking lines
+    mixed = [b[:1] + g + b[1:] for g, b in zip(good, bad)]
+    truth = [[0] + [1] * len(g) + [0] * (len(b) - 1) for g, b in zip(good, bad)]
+    page = Pages(Texts(pa.array(["\n".join(x) for x in mixed])))
+    right = viterbi(model, page.features, page.owner) == np.concatenate(truth)
+    share = verdicts(model, page, 0.5)[1]
+    print(len(mixed), right.mean(), ((share > 0) & (share < 1)).mean())
+    assert len(mixed) >= 50 and right.mean() >= 0.9 and ((share > 0) & (share < 1)).mean() >= 0.7
+    heads = np.flatnonzero(np.concatenate([[True], page.owner[1:] != page.owner[:-1]]))
+    assert right[heads].mean() >= 0.7
+
+
 def test_viterbi_is_the_best_path_and_fit_is_deterministic():
     rng = np.random.default_rng(2)
     model = LineModel(rng.normal(size=(3, 2)), rng.normal(size=2), rng.normal(size=(2, 2)))
