@@ -1,15 +1,18 @@
 """Personal data: fixed patterns, and contexts learned from them that point out identifiers no pattern knows.
 
 Everything is DataFrame expressions. The fixed patterns give base spans, which
-are the seeds. The two words before a seed are its context; contexts of several
-seeds are patterns. Patterns and what follows them form a bipartite graph: a
-pattern's confidence is the score of what follows it over how often it occurs in
+are the seeds. A seed has two contexts: the two words before it, and the words
+before and after it, in lower case and with every digit as 0. Contexts of several
+seeds are patterns. Patterns and what stands in them form a bipartite graph: a
+pattern's confidence is the score of what stands in it over how often it occurs in
 the corpus at all, an instance's score is the chance that one of its patterns is
 right, seeds stay certain. After a few rounds, identifier-like words that
 confident patterns point at become instances of the pattern's kind. Instances
-join the seeds, and patterns are made anew, until no new one comes. Only patterns
-that some such word follows are scored, and only those that occur so seldom that
-they could reach the confidence at all: the others could add nothing.
+join the seeds, and patterns are made anew, until no new one comes.
+
+A context is a pattern only if something identifier-like stands in it, and if it
+could reach the confidence should all of that be right. Others are everyday words
+around an identifier; they take no part in the graph, so they lend no score either.
 
 A text is scanned once for spans and candidates, and once more to count the
 contexts that became patterns; texts are never shuffled. Common contexts are
@@ -37,9 +40,10 @@ _CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*?[0-9@][^\x20\x09-\x0D]*+"
 _SPACED = r"(?<![^\x20\x09-\x0D])[(+]{0,2}+[0-9][0-9().,:/_\[\]-]*+(?:\x20[(\[]?+[0-9][0-9().,:/_\[\]-]*+)++(?![^\x20\x09-\x0D])"
 _AT = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++\x20?+[(\[{<]\x20?+(?i:at)\x20?+[)\]}>]\x20?+[\p{L}0-9][\p{L}0-9.-]*+"
 _FOUR = r"^[^\p{L}\p{N}]*+[0-9]{1,3}(?:[^\p{L}\p{N}]{1,3}[0-9]{1,3}){3}[^\p{L}\p{N}]*+$"
-#: The two words before the word that ends here or begins here.
+#: The two words before the word that ends here or begins here, and the word after it.
 _CONTEXT = r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[^\x20\x09-\x0D]*+$"
-_SPANS = "array<struct<kind: int, start: int, end: int, value: string, context: bigint>>"
+_AFTER = r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)"
+_SPANS = "array<struct<kind: int, start: int, end: int, value: string, contexts: array<bigint>>>"
 #: Different seeds, in different documents, that make a context a pattern.
 SUPPORT = 3
 CONFIDENCE = 0.5
@@ -84,15 +88,36 @@ def _is_ip(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), lambda part: number(part) <= 255)
 
 
-def _context(text: Column, start: Column) -> Column:
-    """A hash of the two lower-case words before the word that holds a place, null if there aren't two."""
+def _plain(word: Column) -> Column:
+    """A context's word: lower case, every digit a 0."""
+    return F.regexp_replace(F.lower(word), "[0-9]", "0")
+
+
+def _two_before(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
 
-    def two(before: Column, lead: str) -> Column:
-        words = [F.lower(F.regexp_extract(before, lead + _CONTEXT, k)) for k in (1, 2)]
-        return F.when(words[1] != "", F.xxhash64(*words))
+def _around(a: Column, b: Column) -> Column:
+    return F.xxhash64(F.lit("around"), a, b)
+
+
+def _contexts(text: Column, span: Column) -> Column:
+    """Hashes of a span's contexts: the two words before the word it starts in, and the words around it; those there are."""
+    start, end = span["start"], span["end"]
+
+    def before(part: Column, lead: str) -> Column:
+        words = [_plain(F.regexp_extract(part, lead + _CONTEXT, k)) for k in (1, 2)]
+        return F.when(words[1] != "", F.struct(words[0].alias("a"), words[1].alias("b")))
 
     close = F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
-    return F.coalesce(two(close, r"[\x20\x09-\x0D]"), two(F.substring(text, F.lit(1), start), r"(?:^|[\x20\x09-\x0D])"))
+    two = F.coalesce(before(close, r"[\x20\x09-\x0D]"), before(F.substring(text, F.lit(1), start), r"(?:^|[\x20\x09-\x0D])"))
+    soon = F.regexp_extract(F.substring(text, end + 1, F.lit(REACH)), _AFTER + r"[\x20\x09-\x0D]", 1)
+    after = _plain(F.when(soon != "", soon).otherwise(F.regexp_extract(F.substring(text, end + 1, F.length(text)), _AFTER, 1)))
+    inside = ~F.contains(span["value"], F.lit(" "))
+    both = F.array(
+        F.when(two.isNotNull(), _two_before(two["a"], two["b"])), F.when(two.isNotNull() & (after != "") & inside, _around(two["b"], after))
+    )
+    return F.filter(both, lambda h: h.isNotNull())
 
 
 def _spans(text: Column, kind: int, pattern: str, worth: Column, good) -> Column:
@@ -100,7 +125,7 @@ def _spans(text: Column, kind: int, pattern: str, worth: Column, good) -> Column
     full = F.transform(
         found,
         lambda s: F.struct(
-            F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _context(text, s["start"]).alias("context")
+            F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _contexts(text, s).alias("contexts")
         ),
     )
     return F.when(worth, full).otherwise(F.expr(f"CAST(array() AS {_SPANS})"))
@@ -146,10 +171,10 @@ def candidates(text: Column) -> Column:
             (s["start"] + lead(s["value"])).alias("start"),
             (s["end"] - trail(s["value"])).alias("end"),
             F.regexp_replace(F.regexp_replace(s["value"], r"^[^\p{L}\p{N}+]+", ""), r"[^\p{L}\p{N}]+$", "").alias("value"),
-            _context(text, s["start"]).alias("context"),
+            _contexts(text, s).alias("contexts"),
         ),
     )
-    return F.filter(full, lambda s: s["context"].isNotNull() & (s["end"] > s["start"]))
+    return F.filter(full, lambda s: (F.size(s["contexts"]) > 0) & (s["end"] > s["start"]))
 
 
 def _overlaps(base: Column, one: Column) -> Column:
@@ -157,10 +182,12 @@ def _overlaps(base: Column, one: Column) -> Column:
 
 
 def context_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(context, total): how often each pattern's two words are followed by a word, over all texts."""
-    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    contexts = texts.select(words.alias("w")).select(F.explode(pairs).alias("context"))
+    """(context, total): how often each pattern occurs around a word, over all texts."""
+    words = F.filter(F.split(_plain(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rest = F.greatest(F.size("w") - 2, F.lit(0))
+    first, second, third = (F.slice("w", k, rest) for k in (1, 2, 3))
+    found = F.concat(F.zip_with(first, second, _two_before), F.zip_with(first, third, _around))
+    contexts = texts.select(words.alias("w")).select(F.explode(found).alias("context"))
     return contexts.join(patterns.select("context").distinct(), "context", "left_semi").groupBy("context").agg(F.count("*").alias("total"))
 
 
@@ -210,8 +237,8 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts.select("id", F.xxhash64("text").alias("h"), base.alias("base"), candidates(F.col("text")).alias("other"))
         .withColumn("other", F.filter("other", lambda s: ~_overlaps(F.col("base"), s)))
     )
-    seeds = seen.where(F.size("base") > 0).select("h", F.explode("base").alias("s")).select("h", "s.kind", "s.value", "s.context").where("context IS NOT NULL")
-    words = seen.where(F.size("other") > 0).select("id", "h", F.explode("other").alias("s")).select("id", "h", "s.start", "s.end", "s.value", "s.context")
+    seeds = seen.where(F.size("base") > 0).select("h", F.explode("base").alias("s")).select("h", "s.kind", "s.value", F.explode("s.contexts").alias("context"))
+    words = seen.where(F.size("other") > 0).select("id", "h", F.explode("other").alias("s")).select("id", "h", "s.start", "s.end", "s.value", F.explode("s.contexts").alias("context"))
 
     def induced(seeds: DataFrame) -> DataFrame:
         return stored(
@@ -268,6 +295,7 @@ def spans_text(spans: Column) -> Column:
 
 
 def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans counted and hashed, and all spans, of every document."""
     found = find_private(table(spark, sf_dir, "documents"))
     of_kind = F.transform("base", lambda s: s["kind"])
     counts = [

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import Row
 
-from tellmark.llm.private import find_private, op8_private_data, spans_text
+from tellmark.llm.private import find_private, op8_private_data, score, spans_text
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -88,3 +88,55 @@ def test_contexts_behind_marks_and_long_words_and_all_shapes(spark):
     texts += [f"my phone Tel:+4915112345{k:02} ok" for k in range(6)] + ["my phone 0151 234 567 ok"]
     texts += [f"server address: 10.0.0.{k} up" for k in range(6)] + ["server address: 10-0-0-7 up"]
     assert added(spark, texts) == {6: ["someone [at] host.org"], 13: ["0151 234 567"], 20: ["10-0-0-7"]}
+
+
+def test_words_around_and_digits_make_patterns(spark):
+    texts = [f"case {k}77 from user{k}@host{k}.org wrote {'abcdef'[k]}" for k in range(6)]
+    texts += ["see xy from odd_name(at)host.org wrote so", "case 123 from other@@host again"]
+    assert added(spark, texts) == {6: ["odd_name(at)host.org"], 7: ["other@@host"]}
+
+
+def test_hidden_seeds_are_found_again(spark):
+    """Half of the known identifiers are spoiled so that no base pattern sees them; contexts must find them and nothing else."""
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    lead = {"email": "reach me", "phone": "call us", "ip": "server at"}
+    texts, hidden = [], {}
+    for d in range(240):
+        filler = lambda n: " ".join(rng.choice(words) for _ in range(n))
+        kind = rng.choice(list(lead))
+        known, spoiled = {
+            "email": (f"u{d}@h{d}.org", f"u{d}(at)h{d}.org"),
+            "phone": (f"+49 151 {d + 1000} 99", f"0151/{d + 100000}"),
+            "ip": (f"10.0.{d}.9", f"10-0-{d}-9"),
+        }[kind]
+        value = spoiled if d % 2 else known
+        front = filler(rng.randint(3, 20))
+        texts.append(f"{front} {lead[kind] if rng.random() < 0.9 else filler(2)} {value} {filler(5)} {rng.randrange(10**6, 10**7)} {filler(3)}")
+        if d % 2:
+            hidden[d] = value
+    got = added(spark, texts)
+    right = sum(got.get(d) == [v] for d, v in hidden.items())
+    wrong = sum(len(v) for d, v in got.items()) - right
+    print("recall", right / len(hidden), "wrong", wrong, "of", right + wrong)
+    assert right >= 0.8 * len(hidden) and wrong <= 0.05 * right
+
+
+def test_scores_match_a_plain_computation(spark):
+    rng = random.Random(9)
+    edges = {(rng.randrange(2), c, f"v{rng.randrange(12)}"): (rng.randrange(1, 5), rng.random() < 0.3) for c in range(8) for _ in range(5)}
+    totals = {c: 40 + c for c in range(8)}
+    df = spark.createDataFrame([(*k, *v) for k, v in edges.items()], "kind int, context long, value string, n long, seed boolean")
+    trust, scores = score(df, spark.createDataFrame(list(totals.items()), "context long, total long"))
+    seeds = {(k, v) for (k, _, v), (_, seed) in edges.items() if seed}
+    value = {(k, v): float((k, v) in seeds) for k, _, v in edges}
+    for _ in range(3):
+        mass, miss = {}, {}
+        for (k, c, v), (n, _) in edges.items():
+            mass[k, c] = mass.get((k, c), 0) + n * value[k, v]
+        sure = {kc: min(m / (totals[kc[1]] + 1), 0.99) for kc, m in mass.items()}
+        for k, c, v in edges:
+            miss[k, v] = miss.get((k, v), 1) * (1 - sure[k, c])
+        value = {kv: 1.0 if kv in seeds else 1 - m for kv, m in miss.items()}
+    assert {(r.kind, r.context): round(r.confidence, 9) for r in trust.collect()} == {k: round(v, 9) for k, v in sure.items()}
+    assert {(r.kind, r.value): round(r.score, 9) for r in scores.collect()} == {k: round(v, 9) for k, v in value.items()}
