@@ -85,3 +85,27 @@ def test_query_equals_its_sql_with_repeated_ids_and_large_vectors(spark, tmp_pat
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = con.execute(K.ORACLES["op2_exact_top_k"]).fetchall()
     assert sorted(map(tuple, K.op2_exact_top_k(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_far_blocks_are_never_sent(spark, monkeypatch):
+    """In data with structure, floors of the first search rule out most pairs of blocks, and of nodes within the others."""
+    monkeypatch.setattr(K, "BLOCK", 50)
+    monkeypatch.setattr(K, "QUERY_BLOCK", 50)
+    rng = np.random.default_rng(4)
+    centres = 10 * rng.normal(size=(40, 6))
+    rows = [(i, (centres[i % 40] + 0.05 * rng.normal(size=6)).tolist()) for i in range(2400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    is_query = F.col("vec_id") % 10 == 0
+    asked, data = K.indexed(df, is_query, "vec_id", "embedding", True)
+    first = K.first_pairs(asked, data)
+    floor = K.floors(K._search(asked, data, first, 1, 10), asked, 10)
+    every, kept = K.block_pairs(asked, data).count(), K.other_pairs(asked, data, first, floor).count()
+    print(every, "pairs of blocks,", kept + asked.count(), "sent")
+    assert kept + asked.count() < 0.5 * every
+    got = sorted(map(tuple, K.top_k(df, is_query, repeats=True).collect()))
+    points = np.floor(1024 * np.array([v for _, v in rows]))
+    want = []
+    for q in range(0, 2400, 10):
+        each = sorted((-int(s), j) for j, s in enumerate(points @ points[q]) if j != q)[:10]
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(each)]
+    assert got == want
