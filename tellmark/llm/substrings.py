@@ -32,6 +32,8 @@ from tellmark.session import table
 
 SIZE = 13
 WINDOWS_PER_GROUP = 2_000_000
+#: Bytes of text that a task works on at once.
+SLICE = 1 << 20
 #: Windows that a task remembers as held by several documents; forgetting one costs a row, nothing else.
 REMEMBERED = 1 << 18
 _BASE, _OTHER_BASE = 0x5851F42D4C957F2D, 0x2C7F9B51E3A4D687
@@ -75,7 +77,7 @@ def _windows_out(size: int, groups: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Remembered()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 texts = Texts(part.column("text"))
                 starts, ends, owner = texts.words()
                 codes, others = texts.several_hashes(starts, ends, 1, 7)
@@ -189,7 +191,7 @@ def _by_document(part: pa.Table) -> pa.Table:
 def _removed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 flags = part.column("flags").to_pylist()
                 hit = [i for i, x in enumerate(flags) if x]
                 spans_of: list[list[dict]] = [[] for _ in flags]
