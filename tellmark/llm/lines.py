@@ -34,8 +34,10 @@ EDITS = 2
 MIN_CHARS = 1
 #: Lines of a bucket that are compared in one task.
 BLOCK = 256
-#: Lines whose keys a task remembers to have sent; forgetting one costs rows, nothing else.
-REMEMBERED = 1 << 20
+#: Repeated lines whose keys a task remembers to have sent; forgetting one costs rows, nothing else.
+REMEMBERED = 1 << 16
+#: What is added to the line numbers of documents without an id, which come after all others.
+_NAMELESS = 1 << 32
 _BASE = 0x9FB21C651E98DF25
 _NO_ID = np.iinfo(np.int64).max
 
@@ -128,11 +130,12 @@ def _lines_out(min_chars: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 lines = Lines(Texts(part.column("text")), min_chars)
+                nameless = (np.asarray(part.column("sub")) != 0)[lines.owner]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").take(pa.array(lines.owner)),
                         part.column("sub").take(pa.array(lines.owner)),
-                        pa.array(lines.number.astype(np.int32)),
+                        pa.array(lines.number + np.where(nameless, _NAMELESS, 0)),
                         pa.array(lines.h),
                         pa.array(lines.check()),
                     ],
@@ -144,13 +147,15 @@ def _lines_out(min_chars: int):
 
 def _keys_out(min_chars: int, edits: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = np.zeros(0, np.int64)
+        sent = np.zeros(0, np.int64)  # lines that came twice
         for batch in batches:
             for part in slices(batch, "text"):
                 lines = Lines(Texts(part.column("text")), min_chars)
-                h, once = np.unique(lines.h, return_index=True)
-                once = once[~np.isin(h, sent)]
-                sent = np.union1d(sent, h) if len(sent) + len(h) <= REMEMBERED else h
+                h, once, often = np.unique(lines.h, return_index=True, return_counts=True)
+                again = np.isin(h, sent)
+                many = h[again | (often > 1)][:REMEMBERED]
+                sent = np.union1d(sent, many) if len(sent) + len(many) <= REMEMBERED else many
+                once = once[~again]
                 for name in ("c_start", "size", "h"):
                     setattr(lines, name, getattr(lines, name)[once])
                 found = list(bucket_keys(lines, edits))
@@ -300,21 +305,20 @@ def _links_out(edits: int):
                     pa.array([h2 for (_, h2), _ in items], pa.int64()),
                     pa.array([n for _, (n, _) in items], pa.int64()),
                     pa.array([x[0] for _, (_, x) in items], pa.int64()),
-                    pa.array([x[1] for _, (_, x) in items], pa.bool_()),
-                    pa.array([x[2] for _, (_, x) in items], pa.int32()),
+                    pa.array([x[1] for _, (_, x) in items], pa.int64()),
                 ],
-                ["h", "h2", "n_links", "id", "nul", "no"],
+                ["h", "h2", "n_links", "id", "no"],
             )
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "h", "h2", "role", "side", "other", "id", "nul", "no", "line")]
-            for key, low, high, h, h2, role, side, other, d, nul, no, line in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "h", "h2", "role", "side", "other", "id", "no", "line")]
+            for key, low, high, h, h2, role, side, other, d, no, line in zip(*columns, strict=True):
                 if (key, low, high) != bucket:
                     bucket_links(rows, edits, found)
                     bucket, rows = (key, low, high), []
                     if len(found) > 10_000:
                         yield out()
-                rows.append(((h, h2), role, side, other, (d, nul, no), line))
+                rows.append(((h, h2), role, side, other, (d, no), line))
         bucket_links(rows, edits, found)
         yield out()
 
@@ -341,10 +345,8 @@ def line_verdicts(
     Blanks around a line don't count.
     """
     slim = docs.select(*_key(F.col(id_col), F.col(text_col)), F.col(text_col).cast("string").alias("text"))
-    lines = stored(slim.mapInArrow(_lines_out(min_chars), "id long, sub long, no int, h long, h2 long"))
-    place = F.struct("id", (F.col("sub") != 0).alias("nul"), "no")
-    classes = lines.groupBy("h", "h2").agg(F.min(F.struct(place.alias("at"), "sub")).alias("least"))
-    classes = classes.select("h", "h2", "least.at", "least.sub")
+    lines = stored(slim.mapInArrow(_lines_out(min_chars), "id long, sub long, no long, h long, h2 long"))
+    classes = lines.groupBy("h", "h2").agg(F.min(F.struct("id", "no", "sub")).alias("least"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(16, -(-total // 20_000_000))
     members = stored(
@@ -354,7 +356,7 @@ def line_verdicts(
     )
     # all classes of a hash, if there should be several: their texts are compared
     least = members.select("h").distinct().join(classes, "h")
-    wanted = least.groupBy(F.col("at.id").alias("id"), "sub").agg(F.collect_set("h").alias("wanted"))
+    wanted = least.groupBy("least.id", "least.sub").agg(F.collect_list("h").alias("wanted"))
     texts = (
         slim.join(wanted, ["id", "sub"])
         .select("text", "wanted")
@@ -362,7 +364,7 @@ def line_verdicts(
         .groupBy("h", "h2")
         .agg(F.first("line").alias("line"))
     )
-    known = stored(texts.join(least, ["h", "h2"]).select("h", "h2", "line", "at.*"))
+    known = stored(texts.join(least, ["h", "h2"]).select("h", "h2", "line", "least.id", "least.no"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
         members.withColumn("side", F.pmod(F.xxhash64("h"), blocks).cast("int"))
@@ -373,20 +375,23 @@ def line_verdicts(
     )
     links = (
         dealt.join(known, "h")
-        .select("key", "low", "high", "h", "h2", "role", "side", "other", "id", "nul", "no", "line")
+        .select("key", "low", "high", "h", "h2", "role", "side", "other", "id", "no", "line")
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
-        .mapInArrow(_links_out(edits), "h long, h2 long, n_links long, id long, nul boolean, no int")
+        .mapInArrow(_links_out(edits), "h long, h2 long, n_links long, id long, no long")
         .groupBy("h", "h2")
-        .agg(F.sum("n_links").alias("n_links"), F.min(F.struct("id", "nul", "no")).alias("partner"))
+        .agg(F.sum("n_links").alias("n_links"), F.min(F.struct("id", "no")).alias("partner"))
     )
+    at = F.struct("least.id", "least.no")
     decided = classes.join(links, ["h", "h2"], "left").select(
         "h",
         "h2",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.least(F.col("at"), F.coalesce("partner", "at")).alias("first"),
+        F.least(at, F.coalesce("partner", at)).alias("first"),
+    )
+    return lines.join(decided, ["h", "h2"]).select(
+        "id", "sub", (F.col("no") % _NAMELESS).cast("int").alias("no"), "h", "n_links", (F.struct("id", "no") > F.col("first")).alias("removed")
     )
-    return lines.join(decided, ["h", "h2"]).select("id", "sub", "no", "h", "n_links", (place > F.col("first")).alias("removed"))
 
 
 def _cleaned(text: str, min_chars: int):
