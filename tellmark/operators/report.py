@@ -73,7 +73,7 @@ def first_deaths(deaths: DataFrame, rounds: DataFrame) -> DataFrame:
     """Per leaf and area: rounds whose first own death fell there, out of the rounds with one, and the median time."""
     leaf = rounds.where("round_type IS NOT NULL").select("map_demo_id", "round_no", "lineup_key", *LEVELS)
     own = deaths.join(leaf, ["map_demo_id", "round_no"]).where("victim_lineup_key = lineup_key")
-    order = F.struct(F.col("t_s").isNull(), "t_s", "victim_id")
+    order = F.struct(F.col("t_s").isNull(), "t_s", F.col("victim_id").isNull(), "victim_id", F.col("victim_area").isNull(), "victim_area")
     first = own.groupBy("map_demo_id", "round_no", *LEVELS).agg(F.min_by(F.struct("victim_area", "t_s"), order).alias("d"))
     per = first.groupBy(*LEVELS, F.col("d.victim_area").alias("area")).agg(F.count("*").alias("n"), F.bround(F.median("d.t_s"), 3).alias("median_t_s"))
     return per.withColumn("m", F.sum("n").over(Window.partitionBy(*LEVELS)))

@@ -154,13 +154,12 @@ def asof_within(spark, sf_dir):
     return M.as_of(bought, seen, ["user_id"], "us", ["event_id"], F.lit(2 * HOUR)).select("user_id", "event_id", "right_us", "right_event_id")
 
 
-@query(_EVENTS + """, w AS (SELECT DISTINCT epoch_us(date_trunc('day', o_orderdate)) AS s FROM orders WHERE extract(day FROM o_orderdate) = 1),
- v AS (SELECT s, s + 10 * 86400000000 - 1 AS t FROM w) SELECT event_id, s AS start_us FROM e JOIN v ON us BETWEEN s AND t""")
+@query(_EVENTS + f""", w AS (SELECT p_partkey, 1704067200000000 + p_partkey % 700 * {HOUR} AS s, p_size % 9 * {HOUR} AS n FROM part)
+ SELECT event_id, p_partkey, s AS start_us FROM e JOIN w ON us BETWEEN s AND s + n""")
 def interval_assign(spark, sf_dir):
-    day = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', date_trunc('day', CAST(o_orderdate AS TIMESTAMP_NTZ)))"
-    o = table(spark, sf_dir, "orders").where(F.dayofmonth("o_orderdate") == 1).select(F.expr(day.replace("date_trunc('day', CAST(o_orderdate AS TIMESTAMP_NTZ))", "CAST(to_date(o_orderdate) AS TIMESTAMP_NTZ)")).alias("start_us")).distinct()
-    windows = o.withColumn("end_us", F.col("start_us") + 10 * 24 * HOUR - 1)
-    return M.assign_interval(events(spark, sf_dir).select("event_id", "us"), windows, [], "us", "start_us", "end_us", 7 * 24 * HOUR).select("event_id", "start_us")
+    start = F.lit(1704067200000000) + F.col("p_partkey") % 700 * HOUR
+    windows = table(spark, sf_dir, "part").select("p_partkey", start.alias("start_us"), (start + F.col("p_size") % 9 * HOUR).alias("end_us"))
+    return M.assign_interval(events(spark, sf_dir).select("event_id", "us"), windows, [], "us", "start_us", "end_us", 4 * HOUR).select("event_id", "p_partkey", "start_us")
 
 
 @query(_EVENTS + """, l AS (SELECT user_id, us, min(event_type) AS v FROM e GROUP BY 1, 2)
@@ -331,28 +330,32 @@ def topk_groups(spark, sf_dir):
     return D.top_groups(li, ["l_returnflag"], ["l_suppkey"], "l_extendedprice", 2).drop("l_extendedprice")
 
 
-@query("""WITH f AS (SELECT l_orderkey, arg_min(l_returnflag, (l_shipdate, l_linenumber)) AS area FROM lineitem GROUP BY 1)
+@query("""WITH f AS (SELECT l_orderkey, arg_min(l_returnflag, (l_shipdate, l_linenumber, l_returnflag)) AS area FROM lineitem GROUP BY 1)
  SELECT area, CAST(count(*) AS BIGINT) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS m FROM f GROUP BY 1""")
 def first_row_per_key(spark, sf_dir):
-    f = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_returnflag", F.struct("l_shipdate", "l_linenumber")).alias("area"))
+    f = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_returnflag", F.struct("l_shipdate", "l_linenumber", "l_returnflag")).alias("area"))
     g = f.groupBy("area").agg(F.count("*").alias("n"))
     return g.withColumn("m", F.sum("n").over(Window.partitionBy()))
 
 
-@query("""SELECT DISTINCT CAST(extract(hour FROM ts) AS INTEGER) AS hour, event_type FROM events WHERE (extract(hour FROM ts), event_type) NOT IN (SELECT extract(hour FROM ts), event_type FROM events WHERE value > 95)""")
+@query("""SELECT DISTINCT CAST(extract(hour FROM ts) AS INTEGER) AS hour, event_type FROM events WHERE (extract(hour FROM ts), event_type) NOT IN (SELECT extract(hour FROM ts), event_type FROM events WHERE value > 60)""")
 def presence_anti(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.hour("ts").alias("hour"), "event_type", "value")
-    return e.select("hour", "event_type").distinct().join(e.where("value > 95"), ["hour", "event_type"], "left_anti")
+    return e.select("hour", "event_type").distinct().join(e.where("value > 60"), ["hour", "event_type"], "left_anti")
 
 
 @query(_EVENTS + """, n AS (SELECT event_id, user_id, event_type, us, lead(event_type) OVER w AS next_type, lead(event_id) OVER w AS next_id, lag(event_type) OVER w AS prev FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))
  SELECT event_id, CASE WHEN next_type = 'purchase' THEN next_id END AS pair_id, CAST((SELECT count(*) FROM n WHERE event_type = 'purchase' AND prev IS DISTINCT FROM 'view') AS BIGINT) AS unpaired FROM n WHERE event_type = 'view'""")
 def self_pair(spark, sf_dir):
+    from tellmark.operators.report import unpaired
+
     w = Window.partitionBy("user_id").orderBy("us", "event_id")
     n = events(spark, sf_dir).withColumn("k", F.row_number().over(w)).select("user_id", "k", "event_id", "event_type")
     views = n.where("event_type = 'view'").select("user_id", (F.col("k") + 1).alias("k"), "event_id")
     buys = n.where("event_type = 'purchase'").select("user_id", "k", F.col("event_id").alias("pair_id"))
-    lost = buys.join(views, ["user_id", "k"], "left_anti").agg(F.count("*").alias("unpaired"))
+    kinds = [(views, "grenade_thrown"), (buys, "grenade_detonate")]
+    both = [df.select(F.col("user_id").alias("map_demo_id"), F.col("k").alias("grenade_no"), F.lit(kind).alias("event_kind")) for df, kind in kinds]
+    lost = unpaired(both[0].unionByName(both[1])).agg(F.count("*").alias("unpaired"))
     return views.join(buys, ["user_id", "k"], "left").select("event_id", "pair_id").join(F.broadcast(lost))  # one row
 
 
@@ -374,15 +377,25 @@ def path_prefix_patterns(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations)
- SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS pos, word FROM w WHERE i <= 3""")
+ SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS pos, word FROM w""")
 def explode_picks(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word")).where("pos < 3")
+    return c.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+@query("""SELECT CAST(event_id AS VARCHAR) AS match_id, event_type AS status, CASE WHEN event_id % 3 <> 0 THEN CAST(epoch(ts) AS BIGINT) - epoch_us(ts) % 1000000 * 0 END AS finished_s,
+ CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) BETWEEN 1 AND 9 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS best_of, 'a,' || event_type AS map_picks FROM events""".replace("CAST(epoch(ts) AS BIGINT) - epoch_us(ts) % 1000000 * 0", "epoch_us(ts) // 1000000"))
 def json_extract(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    from tellmark.sources.archive import parse_matches
+
+    e = events(spark, sf_dir)
+    moment = F.when(F.col("event_id") % 3 != 0, F.floor(F.col("us") / 1000000)).otherwise(0)
+    body = F.struct(
+        F.col("event_id").cast("string").alias("match_id"), F.col("event_type").alias("status"), moment.alias("finished_at"), F.get_json_object("props", "$.k").alias("best_of"),
+        F.struct(F.struct(F.array(F.lit("a"), F.col("event_type")).alias("pick")).alias("map")).alias("voting"),
+    )
+    found = parse_matches(e.select(F.to_json(body).alias("payload")))
+    return found.select("match_id", "status", F.unix_seconds("finished_at").alias("finished_s"), "best_of", F.array_join("map_picks", ",").alias("map_picks"))
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
