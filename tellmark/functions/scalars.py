@@ -129,6 +129,12 @@ def enum_rank(value: Column, order: list[str]) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, order)), value), F.lit(0)) - 1
 
 
+def strict_rank(value: Column, order: list[str]) -> Column:
+    """The place of a value in a fixed order, from 0; another value is an error, null stays null."""
+    wrong = F.raise_error(F.concat(F.lit("not in the order: "), value)).cast("int")
+    return F.when(value.isNotNull(), F.coalesce(enum_rank(value, order).cast("int"), wrong))
+
+
 def same_moment(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
     return F.abs(a - b) <= tolerance
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tellmark.session import cut
+
 
 def count_of_counts(counts: DataFrame, by: list[str], count: str, also: dict[str, Column] | None = None) -> DataFrame:
     """How many units have each count, per ``by``, with further aggregates of ``also``."""
@@ -64,9 +66,9 @@ def consensus(value: str) -> Column:
 
 
 def order_statistic(value: str, share: float) -> Column:
-    """The value at place int(n * share) of the sorted values, at most the last."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.get(ordered, F.least(F.floor(F.size(ordered) * share), F.size(ordered) - 1).cast("int"))
+    """The value at place int(n * share) of the sorted values, at most the last; counted by distinct value, without an array of all."""
+    place = min(share + 1e-12, 1.0)  # the discrete percentile of a share is the place before the next whole one
+    return F.expr(f"percentile_disc({place!r}D) WITHIN GROUP (ORDER BY `{value}`)")
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
@@ -112,14 +114,32 @@ def biggest_pair(df: DataFrame, by: list[str], part: str, member: str) -> DataFr
     One part before two on equal cover, then larger sets first, then names: the
     parts are ranked by (size, name) and pairs compared in that order.
     """
-    sets = df.groupBy(*by, part).agg(F.array_sort(F.collect_set(member)).alias("who"))
-    w = Window.partitionBy(*by).orderBy(F.size("who").desc(), part)
-    ranked = sets.withColumn("r", F.row_number().over(w))
-    a = ranked.select(*by, F.col(part).alias("first"), F.col("r").alias("r1"), F.col("who").alias("w1"))
-    b = ranked.select(*by, F.col(part).alias("second"), F.col("r").alias("r2"), F.col("who").alias("w2"))
-    pairs = a.join(b, by).where("r1 < r2").select(*by, "first", "second", F.size(F.array_union("w1", "w2")).alias("covered"), "r1", "r2")
-    ones = a.select(*by, "first", F.lit(None).cast("string").alias("second"), F.size("w1").alias("covered"), "r1", F.lit(0).alias("r2"))
+    members = df.where(F.col(member).isNotNull()).select(*by, part, member).distinct()
+    sizes = members.groupBy(*by, part).agg(F.count("*").cast("int").alias("n"))
+    ranked = sizes.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), part)))
+    one = lambda p, k: ranked.select(*by, F.col(part).alias(p), F.col("r").alias(f"r{k}"), F.col("n").alias(f"n{k}"))
+    a, b = one("first", 1), one("second", 2)
+    # members of two parts are counted once each: what both have is taken off
+    other = members.withColumnRenamed(part, "second")
+    shared = members.withColumnRenamed(part, "first").join(other, [*by, member]).where("first <> second").groupBy(*by, "first", "second").agg(F.count("*").cast("int").alias("both"))
+    pairs = a.join(b, by).where("r1 < r2").join(shared, [*by, "first", "second"], "left")
+    pairs = pairs.select(*by, "first", "second", (F.col("n1") + F.col("n2") - F.coalesce("both", F.lit(0))).alias("covered"), "r1", "r2")
+    ones = a.select(*by, "first", F.lit(None).cast("string").alias("second"), F.col("n1").alias("covered"), "r1", F.lit(0).alias("r2"))
     both = ones.unionByName(pairs)
     order = F.struct(-F.col("covered"), F.when(F.col("second").isNull(), 1).otherwise(2), F.col("r1"), F.col("r2"))
     best = both.groupBy(*by).agg(F.min_by(F.struct("first", "second", "covered"), order).alias("b"))
     return best.select(*by, "b.first", "b.second", "b.covered")
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows numbered from 1 in one order over the whole table, without bringing them into one task.
+
+    Ranges of the order are numbered each on their own; the rows of all earlier
+    ranges, one number per range, are added. Equal rows stay in one range.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, (within + F.col("_before")).cast("int")).drop("_part", "_before")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,23 +61,25 @@ def clamped_counter(
 ) -> DataFrame:
     """The counter before each row: ``start``, then moved by ``step`` (null: not) and clamped after every row.
 
-    Each group of ``by`` is folded in order as one array; clamping is no running sum.
+    Clamping is no running sum, so the sorted rows of each ``by`` are walked once,
+    in batches that hand the counter on; a group of any size needs no more memory.
     """
-    keys = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
-    packed = df.withColumn("_row", F.struct(*keys, F.coalesce(step, F.lit(0)).cast("int").alias("_step"), F.struct(*df.columns).alias("_all")))
-    groups = packed.groupBy(*by).agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
-    zero = F.struct(F.lit(start).alias("c"), F.expr("CAST(array() AS array<int>)").alias("out"))
-    fold = F.aggregate(
-        "_rows",
-        zero,
-        lambda a, x: F.struct(
-            F.greatest(F.lit(low), F.least(F.lit(high), a["c"] + x["_step"])).alias("c"),
-            F.concat(a["out"], F.array(a["c"])).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    both = groups.select(F.explode(F.arrays_zip(F.col("_rows").alias("r"), fold.alias("n"))).alias("x"))
-    return both.select("x.r._all.*", F.col("x.n").alias(name))
+    names = [f"c{i}" for i in range(len(df.columns))]
+    fresh = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
+    rows = df.select(*(F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True)), F.coalesce(step, F.lit(0)).cast("int").alias("_step"), fresh.alias("_fresh"))
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields, strict=True))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = start
+        for batch in batches:
+            before = []
+            for move, first in zip(batch.column("_step").to_pylist(), batch.column("_fresh").to_pylist(), strict=True):
+                value = start if first else value
+                before.append(value)
+                value = max(low, min(high, value + move))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(before, pa.int32())], [*names, "_counter"])
+
+    return rows.mapInArrow(walk, f"{kinds}, _counter int").toDF(*df.columns, name)
 
 
 def without_repeats(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellmark.operators.distributions import most_frequent, null_dominant_max
+from tellmark.operators.distributions import global_rank, most_frequent, null_dominant_max
 from tellmark.operators.matching import overlaps
 
 
@@ -80,7 +80,7 @@ def voted_name(rows: DataFrame, unit: str, key: str, value: str) -> DataFrame:
 
 def ranked_matches(matches: DataFrame, at: str, key: str) -> DataFrame:
     """Matches with rank 1 for the newest; equal times by key, downwards."""
-    return matches.withColumn("rank", F.row_number().over(Window.orderBy(F.col(at).desc_nulls_last(), F.col(key).desc())))
+    return global_rank(matches, [F.col(at).desc_nulls_last(), F.col(key).desc()], "rank")
 
 
 def find_by_name(teams: DataFrame, query: str, key: str, name: str) -> DataFrame:
@@ -88,4 +88,5 @@ def find_by_name(teams: DataFrame, query: str, key: str, name: str) -> DataFrame
     q, low = query.strip().lower(), F.lower(F.trim(name))
     tier = F.when(low == q, 0).when(F.col(key) == query.strip(), 1).when(low.startswith(q), 2).when(F.contains(low, F.lit(q)), 3)
     ranked = teams.withColumn("tier", tier).where("tier IS NOT NULL")
-    return ranked.withColumn("_best", F.min("tier").over(Window.partitionBy())).where("tier = _best").drop("_best")
+    best = F.broadcast(ranked.agg(F.min("tier").alias("_best")))  # one row
+    return ranked.crossJoin(best).where("tier = _best").drop("_best")

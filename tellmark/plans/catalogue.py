@@ -338,10 +338,10 @@ def first_row_per_key(spark, sf_dir):
     return g.withColumn("m", F.sum("n").over(Window.partitionBy()))
 
 
-@query("""SELECT DISTINCT CAST(extract(hour FROM ts) AS INTEGER) AS hour, event_type FROM events WHERE (extract(hour FROM ts), event_type) NOT IN (SELECT extract(hour FROM ts), event_type FROM events WHERE value > 60)""")
+@query("""SELECT DISTINCT CAST(extract(hour FROM ts) AS INTEGER) AS hour, event_type FROM events WHERE (extract(hour FROM ts), event_type) NOT IN (SELECT extract(hour FROM ts), event_type FROM events WHERE value > 300)""")
 def presence_anti(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.hour("ts").alias("hour"), "event_type", "value")
-    return e.select("hour", "event_type").distinct().join(e.where("value > 60"), ["hour", "event_type"], "left_anti")
+    return e.select("hour", "event_type").distinct().join(e.where("value > 300"), ["hour", "event_type"], "left_anti")
 
 
 @query(_EVENTS + """, n AS (SELECT event_id, user_id, event_type, us, lead(event_type) OVER w AS next_type, lead(event_id) OVER w AS next_id, lag(event_type) OVER w AS prev FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))

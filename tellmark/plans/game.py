@@ -606,10 +606,10 @@ def weakest_sources(spark, sf_dir):
     return Q.weakest_source(c, ["c_mktsegment"], "n", ["x0", "x1"])
 
 
-@query("SELECT n_nationkey, CAST(tier AS INTEGER) AS tier FROM (SELECT *, min(tier) OVER () AS b FROM (SELECT n_nationkey, CASE WHEN lower(n_name) = 'ind' THEN 0 WHEN lower(n_name) LIKE 'ind%' THEN 2 WHEN lower(n_name) LIKE '%ind%' THEN 3 END AS tier FROM nation) WHERE tier IS NOT NULL) WHERE tier = b")
+@query("SELECT c_custkey, CAST(2 AS INTEGER) AS tier FROM customer WHERE lower(trim(c_name)) LIKE 'customer#00000000%'")
 def names_by_tier(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").withColumn("key", F.col("n_nationkey").cast("string"))
-    return K.find_by_name(n, " IND ", "key", "n_name").select("n_nationkey", "tier")
+    c = table(spark, sf_dir, "customer").withColumn("key", F.col("c_custkey").cast("string"))
+    return K.find_by_name(c, " CUSTOMER#00000000 ", "key", "c_name").select("c_custkey", "tier")
 
 
 @query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey DESC) AS INTEGER) AS rank FROM customer")

@@ -24,7 +24,6 @@ def test_nearest_cells_near_and_far(spark, monkeypatch):
         d, a = min(each)
         want[i] = (a if d <= 100 else None, round(d, 6))
     for bound in (50_000, 10):
-        monkeypatch.setattr(M, "MAX_BROADCAST_CELLS", bound)
         found = M.nearest_cell(p, c, "point_id", 32, "area", 1.5, 72, 100)
         assert {r.point_id: (r.area, r.distance if r.distance is None else round(r.distance, 6)) for r in found.collect()} == want
     assert {(r.area, r.distance) for r in M.nearest_cell(p, c.limit(0), "point_id", 32, "area", 1, 72, 256).collect()} == {(None, None)}
