@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but the six ASCII blanks.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from tellmark.session import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set only where none is (tests)."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found
+__all__ = ["WORD", "cut", "free_name", "shared_dir", "stored", "word_count"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: A word: a run of anything but the six ASCII blanks.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def stored(df: DataFrame) -> DataFrame:
