@@ -344,8 +344,14 @@ def indexed(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str,
     pivots: dict[int, list] = {}
     for dim, v in sample:
         pivots.setdefault(dim, []).append(v)
-    near = marked.mapInArrow(_nearest({d: np.array(v, float).reshape(len(v), d) for d, v in pivots.items()}), "id long, dim int, v array<double>, asks boolean, pivot int")
-    return stored(trees(near.where("asks").drop("asks"), QUERY_BLOCK)), stored(trees(near.drop("asks"), BLOCK))
+    def near(rows: DataFrame, most: int) -> DataFrame:
+        chosen = {d: np.array(v[:most], float).reshape(-1, d) for d, v in pivots.items()}
+        return rows.drop("asks").mapInArrow(_nearest(chosen), "id long, dim int, v array<double>, pivot int")
+
+    asking = marked.where("asks")
+    # few queries make few blocks, as every block of theirs meets every data block that isn't ruled out
+    few = max(1, 4 * asking.count() // QUERY_BLOCK)
+    return stored(trees(near(asking, few), QUERY_BLOCK)), stored(trees(near(marked, PIVOTS), BLOCK))
 
 
 def first_pairs(asked: DataFrame, data: DataFrame) -> DataFrame:
