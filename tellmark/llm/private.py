@@ -48,6 +48,8 @@ _SPANS = "array<struct<kind: int, start: int, end: int, value: string, contexts:
 SUPPORT = 3
 CONFIDENCE = 0.5
 ROUNDS = 3
+#: Marks that tell a text's contexts from those that are no patterns; false hits are sorted out by a join.
+SLOTS = 1 << 20
 #: Code points before a span in which its context is looked for first; one that isn't whole there is taken from the whole text.
 REACH = 100
 
@@ -182,12 +184,21 @@ def _overlaps(base: Column, one: Column) -> Column:
 
 
 def context_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(context, total): how often each pattern occurs around a word, over all texts."""
+    """(context, total): how often each pattern occurs around a word, over all texts.
+
+    A table of ``SLOTS`` marks, the same size for any number of patterns, drops
+    nearly all other contexts of a text before they become rows.
+    """
+    slot = lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")
+    marks = bytearray(SLOTS)
+    for (k,) in patterns.select(slot(F.col("context"))).distinct().collect():  # at most SLOTS numbers
+        marks[k] = 1
     words = F.filter(F.split(_plain(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     rest = F.greatest(F.size("w") - 2, F.lit(0))
     first, second, third = (F.slice("w", k, rest) for k in (1, 2, 3))
     found = F.concat(F.zip_with(first, second, _two_before), F.zip_with(first, third, _around))
-    contexts = texts.select(words.alias("w")).select(F.explode(found).alias("context"))
+    marked = F.filter(found, lambda h: F.substring(F.lit(bytes(marks)), slot(h) + 1, F.lit(1)) == F.lit(b"\x01"))
+    contexts = texts.select(words.alias("w")).select(F.explode(marked).alias("context"))
     return contexts.join(patterns.select("context").distinct(), "context", "left_semi").groupBy("context").agg(F.count("*").alias("total"))
 
 
