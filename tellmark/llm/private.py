@@ -49,7 +49,7 @@ SUPPORT = 3
 CONFIDENCE = 0.5
 ROUNDS = 3
 #: Marks that tell a text's contexts from those that are no patterns; false hits are sorted out by a join.
-SLOTS = 1 << 20
+SLOTS = 1 << 17
 #: Code points before a span in which its context is looked for first; one that isn't whole there is taken from the whole text.
 REACH = 100
 
