@@ -175,6 +175,7 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
     mixed = mix(table(spark, sf_dir, "documents"))
     each = mixed.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return each.select(

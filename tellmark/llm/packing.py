@@ -338,13 +338,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
     """The rows of ``pieces`` with sequence_id and offset of best-fit decreasing.
 
     ``pieces`` is read three times: pass a stored table, not a costly plan.
-    Lengths must lie in 1..capacity. Equal lengths are ranked by a hash of the
+    Lengths must lie in 1..capacity; null ones, as others, are an error. Equal lengths are ranked by a hash of the
     whole row, so the result is the same on every run; equal rows are
     interchangeable. All columns are kept, whatever they are called, but columns
     named sequence_id or offset are replaced. An empty table stays empty.
     """
     pieces = pieces.drop("sequence_id", "offset")
     histogram = {r[0]: r[1] for r in pieces.groupBy(length_col).count().limit(capacity + 1).collect()}
+    if None in histogram:
+        raise ValueError("a piece has no length")
     plan = best_fit_decreasing(histogram, capacity)
     shares = max(1, -(-sum(histogram.values()) // SHARE))
     order, share, rank, before = (free_name(pieces, c) for c in ("_order", "_share", "_rank", "_before"))
@@ -369,6 +371,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place."""
     pieces = tokenize(table(spark, sf_dir, "documents"))
     slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(stored(slim))
