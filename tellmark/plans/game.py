@@ -615,3 +615,79 @@ def names_by_tier(spark, sf_dir):
 @query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey DESC) AS INTEGER) AS rank FROM customer")
 def matches_newest_first(spark, sf_dir):
     return K.ranked_matches(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey").select("c_custkey", "rank")
+
+
+@query(_PATHS + """, y AS (SELECT day, path[1:depth] AS prefix FROM x GROUP BY day, path[1:depth] HAVING count(DISTINCT user_id) >= 2), u AS (SELECT prefix, list_sort(list(DISTINCT day)) AS units FROM y GROUP BY 1)
+ SELECT array_to_string(a.prefix, '>') AS prefix, CAST(len(a.units) AS INTEGER) AS units FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.prefix[1] = a.prefix[1] AND len(b.prefix) > len(a.prefix) AND b.prefix[1:len(a.prefix)] = a.prefix AND len(list_filter(a.units, lambda d: NOT list_contains(b.units, d))) = 0)""")
+def longest_patterns(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    paths = P.label_paths(e, ["user_id", "day"], ["us", "event_id"], "event_type")
+    shared = P.prefixes(paths).groupBy("day", "prefix").agg(F.countDistinct("user_id").alias("k")).where("k >= 2")
+    patterns = shared.groupBy("prefix").agg(F.collect_set("day").alias("units"))
+    return P.without_subsumed(patterns, [], "prefix", "units").select(F.array_join("prefix", ">").alias("prefix"), F.size("units").alias("units"))
+
+
+@query("""WITH e AS (SELECT CAST(ts AS DATE) AS day, event_id AS tick, CAST(epoch_us(ts) AS DOUBLE) / 15e9 AS seconds FROM events), s AS (SELECT day, (tick - lag(tick) OVER w) / nullif(seconds - lag(seconds) OVER w, 0) AS r FROM e WINDOW w AS (PARTITION BY day ORDER BY tick)),
+ m AS (SELECT day, round_even(median(CASE WHEN r > 0 THEN r END), 0) AS r FROM s GROUP BY 1) SELECT day, CASE WHEN r BETWEEN 16 AND 256 THEN r ELSE 64.0 END AS tick_rate FROM m""")
+def tick_rates(spark, sf_dir):
+    e = events(spark, sf_dir).select(F.to_date("ts").alias("day"), F.col("event_id").alias("tick"), (F.col("us").cast("double") / 15e9).alias("seconds"))
+    return T.tick_rate(e, ["day"])
+
+
+@query("""WITH n AS (SELECT 'm' || (n_nationkey % 2) AS map_name, 'A' || n_nationkey AS area, 'spot ' || n_nationkey AS callout, n_nationkey % 4 = 0 AS coarse, CASE WHEN n_nationkey % 3 = 0 THEN 'inferred' ELSE 'sure' END AS confidence FROM nation WHERE n_nationkey < 18),
+ s AS (SELECT s_suppkey, 'm' || (s_suppkey % 3) AS map_name, CASE WHEN s_suppkey % 11 <> 0 THEN 'A' || s_nationkey END AS area FROM supplier)
+ SELECT s_suppkey, s.map_name, coalesce(callout, s.area) AS area, CASE WHEN s.area IS NULL THEN NULL WHEN s.map_name NOT IN (SELECT map_name FROM n) THEN 'no_table' WHEN callout IS NULL THEN 'no_callout' WHEN coarse AND confidence = 'inferred' THEN 'coarse_inferred'
+ WHEN coarse THEN 'coarse' WHEN confidence = 'inferred' THEN 'inferred' END AS area_flag FROM s LEFT JOIN n ON s.map_name = n.map_name AND s.area = n.area""")
+def called_areas(spark, sf_dir):
+    k = F.col("n_nationkey")
+    callouts = table(spark, sf_dir, "nation").where("n_nationkey < 18").select(
+        F.concat(F.lit("m"), (k % 2).cast("string")).alias("map_name"), F.concat(F.lit("A"), k.cast("string")).alias("area"), F.concat(F.lit("spot "), k.cast("string")).alias("callout"),
+        (k % 4 == 0).alias("coarse"), F.when(k % 3 == 0, "inferred").otherwise("sure").alias("confidence"),
+    )
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("m"), (F.col("s_suppkey") % 3).cast("string")).alias("map_name"), F.when(F.col("s_suppkey") % 11 != 0, F.concat(F.lit("A"), F.col("s_nationkey").cast("string"))).alias("area"))
+    return T.named_areas(rows, callouts, ["area"])
+
+
+@query("""SELECT 'force_buy_min' AS name, CAST(NULL AS BIGINT) AS value, CAST(count(DISTINCT 1000 + o_custkey % 2) AS BIGINT) AS values FROM orders HAVING count(DISTINCT o_custkey % 2) > 1 UNION ALL SELECT 'full_equip_min', CAST(4000 AS BIGINT), CAST(1 AS BIGINT)""")
+def thresholds_in_use(spark, sf_dir):
+    inputs = F.struct(F.lit(4000).alias("full_equip_min"), (1000 + F.col("o_custkey") % 2).alias("force_buy_min"))
+    return Q.used_thresholds(table(spark, sf_dir, "orders").select(inputs.alias("inputs")), "inputs", ["full_equip_min", "force_buy_min"])
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, 'u' || o_custkey || CASE o_orderkey % 3 WHEN 0 THEN '-' || (o_orderkey % 4) WHEN 1 THEN '-1-' || (o_orderkey % 4) ELSE '' END AS unit FROM orders)
+ SELECT k, coalesce(CASE WHEN k % 5 <> 0 THEN 1 END + CASE WHEN k % 7 <> 0 THEN 2 END, CASE WHEN k % 5 <> 0 THEN 1 END, CASE WHEN k % 7 <> 0 THEN 2 END) AS money, [1400, 1900, 2400, 2900, 3400][CAST(greatest(0, least(k % 9 - 2, 4)) + 1 AS INTEGER)] AS bonus,
+ 'u' || c AS match, CASE WHEN k % 3 < 2 THEN CAST(k % 4 AS INTEGER) END AS number, CAST(k % 6 // 2 + 1 AS INTEGER) AS sure, CASE WHEN k % 12 BETWEEN 1 AND 9 THEN CAST(k % 12 AS INTEGER) END AS best,
+ CASE k % 4 WHEN 0 THEN 'ak47' WHEN 1 THEN 'm4' ELSE NULL END AS weapon, k % 4 < 2 AS steam, CASE k % 3 WHEN 0 THEN 'molotov' ELSE 'g' || (k % 3) END AS kind, CAST(k % 3 AS INTEGER) AS place, CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) ELSE 'x' || k END AS id,
+ greatest(1, CAST(round_even(0.125 * (k % 200), 0) AS INTEGER)) AS gap, CASE WHEN k % 5 = 0 THEN 'T' WHEN k % 4 = 2 THEN 'T' WHEN k % 4 = 3 THEN 'CT' END AS side,
+ CASE WHEN k % 3 = 0 THEN DATE '2024-03-01' WHEN k % 3 = 1 THEN DATE '2024-02-29' END AS day FROM o""")
+def scalar_rules(spark, sf_dir):
+    from tellmark.functions import scalars as S
+
+    k, text = F.col("o_orderkey"), lambda c: c.cast("string")
+    unit = F.concat(F.lit("u"), text(F.col("o_custkey")), F.when(k % 3 == 0, F.concat(F.lit("-"), text(k % 4))).when(k % 3 == 1, F.concat(F.lit("-1-"), text(k % 4))).otherwise(""))
+    steam = F.when(k % 4 == 0, "76561197960265729").when(k % 4 == 1, "76561198000000000").when(k % 4 == 2, "76561197960265728").otherwise("7656119800000000")
+    kind = F.when(k % 3 == 0, "inferno").otherwise(F.concat(F.lit("g"), text(k % 3)))
+    weapon = F.when(k % 4 == 0, " weapon_AK47 ").when(k % 4 == 1, "M4").when(k % 4 == 2, "  ")
+    day = F.when(k % 3 == 0, "2024-03-01T00:30:00Z").when(k % 3 == 1, "2024-03-01T00:30:00+02:00").otherwise("2024-03-01T00:30:00")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("k"), S.available(F.when(k % 5 != 0, 1), F.when(k % 7 != 0, 2)).alias("money"), S.ladder([1400, 1900, 2400, 2900, 3400], k % 9 - 2).alias("bonus"), S.match_of(unit).alias("match"),
+        S.unit_number(unit).alias("number"), S.sure_maps(k % 6).alias("sure"), S.best_of(text(k % 12)).alias("best"), S.weapon_name(weapon).alias("weapon"), S.is_steam_id(steam).alias("steam"),
+        S.recode(kind, {"inferno": "molotov"}).alias("kind"), S.strict_rank(F.concat(F.lit("g"), text(k % 3)), ["g0", "g1", "g2"]).alias("place"),
+        S.id_text(F.when(k % 2 == 0, F.concat(text(k), F.lit(".0"))).otherwise(F.concat(F.lit("x"), text(k)))).alias("id"), E.gap_ticks(k % 200).alias("gap"),
+        E.side_of(F.when(k % 5 == 0, "T"), (k % 4).cast("int")).alias("side"), S.utc_date(day).alias("day"),
+    )
+
+
+@query("""WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), p AS (SELECT b.l_suppkey, count(*) AS common FROM s a JOIN s b USING (l_partkey) WHERE a.l_suppkey = 1 GROUP BY 1) SELECT l_suppkey, CAST(common AS BIGINT) AS common FROM p WHERE common >= 4 OR l_suppkey = 1""")
+def similar_lineups(spark, sf_dir):
+    return K.lineups_like(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey"), 1, "l_suppkey", "l_partkey", 4)
+
+
+@query("""WITH m AS (SELECT CAST(c_custkey AS VARCHAR) AS match_id, CAST(c_custkey % 5 + 1 AS INTEGER) AS best_of, unnest(range(c_custkey % 4)) AS i FROM customer) SELECT match_id, CAST(i AS INTEGER) AS map_index, 'map' || i AS map_name, match_id || '-' || (i + 1) AS map_demo_id, i < best_of // 2 + 1 AS certainly_played FROM m""")
+def candidate_map_rows(spark, sf_dir):
+    from tellmark.sources.archive import candidate_maps
+
+    k = F.col("c_custkey")
+    picks = F.transform(F.array_repeat(F.lit("map"), (k % 4).cast("int")), lambda x, i: F.concat(x, i.cast("string")))
+    m = table(spark, sf_dir, "customer").select(k.cast("string").alias("match_id"), (k % 5 + 1).cast("int").alias("best_of"), picks.alias("map_picks"))
+    return candidate_maps(m).select("match_id", "map_index", "map_name", "map_demo_id", "certainly_played")
