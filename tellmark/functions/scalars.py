@@ -114,8 +114,11 @@ def member_key(members: Column) -> Column:
 
 
 def id_text(value: Column) -> Column:
-    """A number-like id as text without a fraction, other ids as they are."""
-    return F.coalesce(value.cast("string").try_cast("bigint").cast("string"), value.cast("string"))
+    """A number-like id as text without a fraction and leading zeros, other ids as they are."""
+    text = value.cast("string")
+    whole = F.regexp_replace(F.regexp_extract(text, r"^(-?[0-9]+)(?:\.[0-9]*)?$", 1), "^(-?)0+(?=[0-9])", "$1")
+    long = F.when(text.rlike(r"^-?[0-9.]+[eE][+-]?[0-9]+$"), text.try_cast("double").try_cast("bigint").cast("string"))
+    return F.coalesce(F.nullif(whole, F.lit("")), long, text)
 
 
 def recode(value: Column, names: dict[str, str]) -> Column:
