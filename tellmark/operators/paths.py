@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,23 +20,25 @@ def label_paths(df: DataFrame, by: list[str], order: list[str], label: str, name
 
 def collapse_returns(path: Column) -> Column:
     """A, B, A, B becomes the one step ``A<>B``: left to right, without overlap, at least back once (A, B, A)."""
-    start = F.struct(F.expr("CAST(array() AS array<string>)").alias("out"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).alias("n"))
+    return fold_returns(path, "string", lambda x, y: x == y, lambda a, b: F.array(F.concat(a, F.lit("<>"), b)))
 
-    def flush(acc: Column) -> Column:
-        both = F.array(F.concat(acc["a"], F.lit("<>"), acc["b"]))
-        return F.concat(
-            acc["out"],
-            F.when(acc["n"] >= 3, both)
-            .when(acc["n"] == 2, F.array(acc["a"], acc["b"]))
-            .when(acc["n"] == 1, F.array(acc["a"]))
-            .otherwise(F.expr("CAST(array() AS array<string>)")),
-        )
+
+def fold_returns(path: Column, kind: str, same: Callable[[Column, Column], Column], written: Callable[[Column, Column], Column]) -> Column:
+    """Runs that alternate between two neighbours, at least back once (A, B, A), as the steps ``written(A, B)``.
+
+    Runs are found left to right and don't overlap; ``kind`` is the type of a
+    step and ``same`` tells whether two are one place.
+    """
+    none, empty = F.lit(None).cast(kind), F.expr(f"CAST(array() AS array<{kind}>)")
 
     def made(out: Column, a: Column, b: Column, n: Column) -> Column:
         return F.struct(out.alias("out"), a.alias("a"), b.alias("b"), n.alias("n"))
 
+    def flush(acc: Column) -> Column:
+        a, b, n = acc["a"], acc["b"], acc["n"]
+        return F.concat(acc["out"], F.when(n >= 3, written(a, b)).when(n == 2, F.array(a, b)).when(n == 1, F.array(a)).otherwise(empty))
+
     def step(acc: Column, x: Column) -> Column:
-        none = F.lit(None).cast("string")
         expected = F.when(acc["n"] % 2 == 0, acc["a"]).otherwise(acc["b"])
         # two steps wait: if the third isn't a return, the first is settled and the second may begin one
         shifted = made(F.concat(acc["out"], F.array(acc["a"])), acc["b"], x, F.lit(2))
@@ -42,12 +46,12 @@ def collapse_returns(path: Column) -> Column:
         return (
             F.when(acc["n"] == 0, made(acc["out"], x, none, F.lit(1)))
             .when(acc["n"] == 1, made(acc["out"], acc["a"], x, F.lit(2)))
-            .when(x == expected, made(acc["out"], acc["a"], acc["b"], acc["n"] + 1))
+            .when(same(x, expected), made(acc["out"], acc["a"], acc["b"], acc["n"] + 1))
             .when(acc["n"] == 2, shifted)
             .otherwise(fresh)
         )
 
-    return F.aggregate(path, start, step, flush)
+    return F.aggregate(path, made(empty, none, none, F.lit(0)), step, flush)
 
 
 def from_first(path: Column, keep: Column) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellmark.functions.scalars import can_buy, ladder, per_player
+from tellmark.functions.scalars import available, can_buy, ladder, per_player
 from tellmark.operators.runs import clamped_counter, contiguous_previous, mark_runs
 
 
@@ -88,6 +88,27 @@ def classify(rounds: DataFrame, by: list[str], rules: Economy = Economy()) -> Da
     return df.withColumn("round_type", kind)
 
 
+def reason(rules: Economy = Economy()) -> Column:
+    """What decided a classified round, as text: money, equipment and purchases per player, losses, and the divisor.
+
+    Parts that can't be read are left out; the divisor says whether it is the
+    players read, fewer than a roster, or the roster because none or too many were.
+    """
+    read = F.col("players_buy_end")
+    usable = F.coalesce(read.between(1, rules.roster_size), F.lit(False))
+    players = F.when(usable, read).otherwise(rules.roster_size)
+    bought = F.col("equip_buy_end") - F.col("equip_round_start")
+    amounts = {
+        "available": available(F.col("money_buy_end"), F.col("money_spent")), "left": F.col("money_buy_end"), "spent": F.col("money_spent"),
+        "equipment": F.col("equip_buy_end"), "bought": bought,
+    }
+    parts = [F.concat(F.lit(f"{name} "), per_player(value, players).cast("string")) for name, value in amounts.items()]
+    note = F.when(read.isNull(), ", players unread").when(~usable, F.concat(F.lit(", not by the "), read.cast("string"), F.lit(" read"))).when(
+        read < rules.roster_size, F.concat(F.lit(" read of "), F.lit(str(rules.roster_size)))
+    ).otherwise("")
+    return F.concat_ws("; ", *parts, F.concat(F.lit("losses "), F.col("loss_count").cast("string")), F.concat(F.lit("divided by "), players.cast("string"), note))
+
+
 def with_opponent(classified: DataFrame, unit: list[str], team: str) -> DataFrame:
     """opp_round_type: the other team's class of the same round; the two teams of a unit meet by an equality join."""
     keys = [*unit, "round_no"]

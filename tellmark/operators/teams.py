@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellmark.operators.distributions import global_rank, most_frequent, null_dominant_max
@@ -45,6 +45,58 @@ def cluster_in_order(groups: DataFrame, by: list[str], key: str, members: str, o
     return folded.select(*by, F.explode(F.aggregate("_g", zero, step, lambda a: a["out"])).alias("x")).select(*by, F.col("x.k").alias(key), F.col("x.c").alias("cluster"))
 
 
+def standing_teams(observations: DataFrame, by: list[str], common: int) -> DataFrame:
+    """Teams with their standing rosters from observed lineups; one row per team.
+
+    ``observations`` holds by, match_id, faction_id, name, played, observed_at and
+    members, an array of (player_id, nickname). Factions join in the order they were
+    first observed (unknown moments last) as in ``cluster_in_order``; a team's key is
+    its first faction. A player belongs to the team that saw them last (released
+    elsewhere); equally late or unknown moments are shared and move nobody. Names
+    and nicknames are the most frequent, ties by lower case, then as they stand.
+    """
+    moment = F.struct(F.col("observed_at").isNull().alias("late"), F.col("observed_at").alias("at"), F.col("match_id").alias("match_id"), F.col("faction_id").alias("faction_id"))
+    flat = observations.withColumn("_moment", moment)
+    single = flat.select(*by, "faction_id", "_moment", F.explode_outer("members").alias("_m"))
+    sets = single.groupBy(*by, "faction_id").agg(F.min("_moment").alias("_first"), F.array_sort(F.collect_set("_m.player_id")).alias("_members"))
+    clusters = cluster_in_order(sets, by, "faction_id", "_members", "_first", common)
+    team = [*by, "team_key"]
+    named = flat.join(clusters.withColumnRenamed("cluster", "team_key"), [*by, "faction_id"])
+
+    def votes(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+        """The most frequent value and the others, in lower-case order."""
+        n = rows.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+        best = F.min(F.struct((-F.col("_n")).alias("n"), F.lower(value).alias("low"), F.col(value).alias("v")))
+        every = F.array_sort(F.collect_list(F.struct(F.lower(value).alias("low"), F.col(value).alias("v"))))
+        out = n.groupBy(*keys).agg(best.alias("_b"), every.alias("_e"))
+        return out.select(*keys, F.col("_b.v").alias(name), F.transform(F.filter("_e", lambda x: x["v"] != F.col("_b.v")), lambda x: x["v"]).alias(f"other_{name}s"))
+
+    people = named.select(*team, "observed_at", F.explode("members").alias("_m")).select(*team, "observed_at", "_m.*")
+    last = people.groupBy(*team, "player_id").agg(null_dominant_max("observed_at").alias("_last"))
+    w = Window.partitionBy(*by, "player_id")
+    newest = F.max("_last").over(w)
+    last = last.withColumns({"_teams": F.count("*").over(w), "_unknown": F.count_if(F.col("_last").isNull()).over(w), "_newest": newest})
+    last = last.withColumn("_top", F.count_if(F.col("_last") == F.col("_newest")).over(w))
+    verdict = (
+        F.when(F.col("_teams") == 1, "own").when(F.col("_unknown") > 0, "shared").when(F.col("_last") < F.col("_newest"), "released")
+        .when(F.col("_top") == 1, "own").otherwise("shared")
+    )
+    member = F.struct(F.col("nickname").isNull().alias("nameless"), "nickname", "player_id")
+    full = last.withColumn("_verdict", verdict).join(votes(people, [*team, "player_id"], "nickname", "nickname"), [*team, "player_id"], "left")
+    bare = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: F.struct(x["player_id"].alias("player_id"), x["nickname"].alias("nickname")))
+    rosters = full.groupBy(*team).agg(
+        bare(F.when(F.col("_verdict") != "released", member)).alias("roster"), bare(F.when(F.col("_verdict") == "released", member)).alias("released"),
+        F.array_sort(F.collect_list(F.when(F.col("_verdict") == "shared", F.col("player_id")))).alias("shared_players"),
+    )
+    # a match stands where its first observation does
+    per_match = named.groupBy(*team, "match_id").agg(F.min("_moment").alias("_o"), F.max(F.coalesce("played", F.lit(False))).alias("_p"))
+    ordered = lambda c, v: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["o"][v])
+    key = F.struct(F.col("_o").alias("o"))
+    matches = per_match.groupBy(*team).agg(ordered(key, "match_id").alias("match_ids"), ordered(F.when(F.col("_p"), key), "match_id").alias("played_match_ids"))
+    parts = named.groupBy(*team, "faction_id").agg(F.min("_moment").alias("_o")).groupBy(*team).agg(ordered(key, "faction_id").alias("faction_ids"))
+    return parts.join(matches, team).join(rosters, team, "left").join(votes(named, team, "name", "name"), team, "left")
+
+
 def select_by_roster(candidates: DataFrame, roster: list[str], full: int, least: int) -> DataFrame:
     """Verdict on each candidate map: regulars, outsiders, class full, partial or null, and why it is out.
 
