@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellmark.plans import catalogue, game, ways
+from tellmark.plans import catalogue, game, holdings, ways
 
-assert game and ways  # their import registers their queries
+assert game and holdings and ways  # their import registers their queries
 
 flagship = catalogue.flagship
 
