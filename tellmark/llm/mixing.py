@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellmark.llm.common import cut, word_count
+from tellmark.operators.distributions import global_rank
 from tellmark.session import table
 
 WEIGHTS = (5, 2, 1)
@@ -31,25 +32,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
 
     Sources by code point, null last, take ``weights`` in turn. All sizes
     together are shared out; a target stops at ``max_repeats`` times its source
-    and the excess is shared anew by weight. Works on one row per source.
+    and the excess is shared anew by weight. Sources are ranked in ranges and the
+    common level is found by sums over all of them, so they may be as many as
+    hosts; every round of sums closes the sources that are full at its level.
     """
     per = sizes.groupBy("source").agg(
         F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("units")
     )
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("nth", F.row_number().over(by_name) - 1)
-    per = per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int")))
+    per = global_rank(per, [F.col("source").asc_nulls_last()], "nth").withColumn("nth", F.col("nth") - 1)
+    per = per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.col("nth") % len(weights) + 1))
     cap = F.lit(float(max_repeats)) * F.col("source_size")
-    per = per.withColumn("cap", cap).withColumn("fills_at", cap / F.col("w"))
-    order = Window.orderBy("fills_at", "nth")
-    everything = Window.partitionBy()
-    per = per.withColumn("capped", F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap"))
-    per = per.withColumn("open", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    per = per.withColumn("level", (F.sum("source_size").over(everything) - F.col("capped")) / F.col("open"))
-    level = F.max(F.when(F.col("fills_at") >= F.col("level"), F.col("level"))).over(everything)
-    return per.withColumn("target", F.least("cap", F.col("w") * level)).select(
-        "source", "nth", "source_size", "units", "target"
-    )
+    per = cut(per.withColumn("cap", cap).withColumn("fills_at", cap / F.col("w")))
+    level, closed = None, -1
+    while True:
+        full = F.lit(False) if level is None else F.col("fills_at") < level
+        total, taken, open_weight, now = per.agg(
+            F.sum("source_size"), F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0).otherwise(F.col("w"))), F.count_if(full)
+        ).first()
+        if now == closed:
+            break
+        closed, level = now, (total - taken) / open_weight if open_weight else 0.0
+    return per.withColumn("target", F.least("cap", F.col("w") * level)).select("source", "nth", "source_size", "units", "target")
 
 
 def pivot(mass: np.ndarray, fraction: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, int]:

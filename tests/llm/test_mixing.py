@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tellmark.llm.mixing import mix, op6_source_mixing, pivot, take_mix
+from tellmark.llm.mixing import mix, op6_source_mixing, pivot, take_mix, targets
 
 
 def brute_targets(sizes, weights=(5, 2, 1), most=3):
@@ -78,3 +78,14 @@ def test_nulls_repeats_and_taking(spark):
         assert taken[(d, s)] == rows * copies
     assert take_mix(df).columns == df.columns
     assert mix(df.limit(0)).count() == 0
+
+
+def test_many_sources_fill_at_many_levels(spark):
+    rng = random.Random(9)
+    data = [(s if s else None, int(1.5 ** rng.randint(0, 25))) for s in ["", *(f"host{k}" for k in range(300))]]
+    sizes = spark.createDataFrame([(s, n, 2) for s, n in data], "source string, size long, rows long")
+    got = {r.source: r for r in targets(sizes).collect()}
+    want = brute_targets({s: 2 * n for s, n in data})
+    assert {s: r.target for s, r in got.items()} == pytest.approx(want)
+    assert [s for s, _ in sorted(got.items(), key=lambda x: x[1].nth)] == sorted(s for s, _ in data if s) + [None]
+    assert len({r.target / r.source_size for r in got.values()}) > 3 and targets(sizes.limit(0)).count() == 0
