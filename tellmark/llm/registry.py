@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tellmark.llm import chat, fill_middle, lines, mixing, near_copies, negatives, packing, private, quality, substrings, topk, warc
+from tellmark.llm import articles, chat, fill_middle, lines, mixing, near_copies, negatives, packing, private, quality, substrings, topk, warc
 
-_MODULES = (chat, fill_middle, lines, mixing, near_copies, negatives, packing, private, quality, substrings, topk, warc)
+_MODULES = (articles, chat, fill_middle, lines, mixing, near_copies, negatives, packing, private, quality, substrings, topk, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
