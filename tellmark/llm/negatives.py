@@ -69,22 +69,26 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), dim)
 
 
-def _keyed(pivots: dict[int, Pivots], asks: bool):
-    """Adds the nearest pivot and the distance to it, or for anchors all distances; without pivots there is one, and no distance."""
+def _keyed(pivots: dict[int, Pivots], few: int | None = None):
+    """Adds the nearest pivot and the distance to it; for anchors also all distances and the nearest of the first ``few`` pivots.
+
+    Without pivots there is one, and no distance.
+    """
+    asks = few is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
-            pivot, key = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            pivot, near, key = np.zeros(len(dims), np.int32), np.zeros(len(dims), np.int32), np.zeros(len(dims))
             every: list[np.ndarray] = [np.zeros(1)] * len(dims)
             for dim, own in pivots.items():
                 at = np.flatnonzero(dims == dim)
                 if len(at):
                     apart = own.distances(_vectors(batch.column("v").take(pa.array(at)), dim), asks)
-                    pivot[at], key[at] = apart.argmin(axis=1), apart.min(axis=1)
+                    pivot[at], key[at], near[at] = apart.argmin(axis=1), apart.min(axis=1), apart[:, :few].argmin(axis=1)
                     for i, row in zip(at, apart, strict=True):
                         every[i] = row
-            more = {"pivot": pa.array(pivot)} | ({"apart": pa.array(every, pa.list_(pa.float64()))} if asks else {"key": pa.array(key)})
+            more = {"pivot": pa.array(pivot)} | ({"near": pa.array(near), "apart": pa.array(every, pa.list_(pa.float64()))} if asks else {"key": pa.array(key)})
             yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
 
     return run
@@ -153,15 +157,16 @@ def index(vectors: DataFrame, is_anchor: Column, id_col: str, vector_col: str, l
     tops = {r.dim: r.top for r in marked.where(F.col("dim").isin([r.dim for r in sample] or [0])).groupBy("dim").agg(F.max("square").alias("top")).collect()}
     pivots = {d: Pivots(np.unique(np.array([r.v for r in sample if r.dim == d], float), axis=0), top) for d, top in tops.items() if d and top < _LARGEST}
     kind = "id long, label long, v array<double>, dim int, pivot int"
-    keyed = marked.select("id", "label", "v", "dim").mapInArrow(_keyed(pivots, False), f"{kind}, key double")
+    keyed = marked.select("id", "label", "v", "dim").mapInArrow(_keyed(pivots), f"{kind}, key double")
     order = ["dim", "pivot", "key", "id"]
     blocks = stored(keyed).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_cut, f"dim int, pivot int, low double, high double, {_PACKED}")
-    anchors = marked.where("asks").select("id", "label", "v", "dim").mapInArrow(_keyed(pivots, True), f"{kind}, apart array<double>")
-    anchors = stored(anchors)
-    parts = anchors.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / ASKING).alias("parts"))
+    # few anchors make few blocks, as data is sent once for each block whose annulus meets it
+    few = max(1, 4 * marked.where("asks").count() // ASKING)
+    anchors = stored(marked.where("asks").select("id", "label", "v", "dim").mapInArrow(_keyed(pivots, few), f"{kind}, near int, apart array<double>"))
+    parts = anchors.groupBy("dim", "near").agg(F.ceil(F.count("*") / ASKING).alias("parts"))
     top = F.coalesce(*(F.when(F.col("dim") == d, float(p.top)) for d, p in pivots.items()), F.lit(None).cast("double"))
-    dealt = anchors.join(parts, ["dim", "pivot"]).select(
-        "dim", F.xxhash64("dim", "pivot", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("asking"), "id", "label", "v", "pivot", "apart",
+    dealt = anchors.join(parts, ["dim", "near"]).select(
+        "dim", F.xxhash64("dim", "near", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("asking"), "id", "label", "v", "pivot", "apart",
         # |q|^2 + M^2; null where distances are unknown
         (F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) + top).alias("both"),
     )
