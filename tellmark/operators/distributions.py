@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +133,65 @@ def biggest_pair(df: DataFrame, by: list[str], part: str, member: str) -> DataFr
     return best.select(*by, "b.first", "b.second", "b.covered")
 
 
+def best_cover(sets: list[list[str]], counts: np.ndarray, k: int) -> tuple[list[str], int]:
+    """At most k parts that together hold most members, and how many; ``counts[i]`` members are in exactly the parts ``sets[i]``.
+
+    Parts are tried by size, then name, fewer parts first; only a better cover
+    replaces one. A branch ends when its members and the largest gains left can't
+    better the best cover.
+    """
+    sizes: dict[str, int] = {}
+    for parts, n in zip(sets, counts, strict=True):
+        for p in parts:
+            sizes[p] = sizes.get(p, 0) + int(n)
+    ranked = sorted(sizes, key=lambda p: (-sizes[p], p))
+    place = {p: i for i, p in enumerate(ranked)}
+    holds = np.zeros((len(sets), len(ranked)), bool)
+    for i, parts in enumerate(sets):
+        holds[i, [place[p] for p in parts]] = True
+    best: tuple[list[int], int] = ([], 0)
+
+    def grow(chosen: list[int], open_: np.ndarray, covered: int, more: int) -> None:
+        nonlocal best
+        start = chosen[-1] + 1 if chosen else 0
+        gains = counts[open_] @ holds[open_, start:]
+        for j in range(len(gains) - more + 1):
+            rest = np.partition(gains[j + 1 :], len(gains) - j - more)[len(gains) - j - more :].sum() if more > 1 else 0
+            if covered + gains[j] + rest <= best[1]:
+                continue
+            now = [*chosen, start + j]
+            if more == 1:
+                best = (now, int(covered + gains[j]))
+            else:
+                grow(now, open_[~holds[open_, start + j]], covered + int(gains[j]), more - 1)
+
+    for size in range(1, min(k, len(ranked)) + 1):
+        grow([], np.arange(len(sets)), 0, size)
+    return [ranked[i] for i in best[0]], best[1]
+
+
+def max_cover(df: DataFrame, by: list[str], part: str, member: str, k: int) -> DataFrame:
+    """parts (largest first, ties by name) and covered: the at most k parts of a group that most members are in.
+
+    Members count once; on equal cover fewer parts win, then larger ones, then
+    names. Members in the same parts are counted before they meet in a group, so
+    that a group holds one row per combination of parts that occurs, however many
+    members it has. Null parts and members count for nothing.
+    """
+    if k < 1:
+        raise ValueError("a cover needs at least one part")
+    some = df.where(F.col(part).isNotNull() & F.col(member).isNotNull()).select(*by, F.col(part).cast("string").alias("_part"), member).distinct()
+    sets = some.groupBy(*by, member).agg(F.array_sort(F.collect_list("_part")).alias("_set"))
+    kinds = sets.groupBy(*by, "_set").agg(F.count("*").alias("_n"))
+
+    def cover(group: pa.Table) -> pa.Table:
+        parts, covered = best_cover(group.column("_set").to_pylist(), group.column("_n").to_numpy(), k)
+        return group.select(by).slice(0, 1).append_column("parts", pa.array([parts], pa.list_(pa.string()))).append_column("covered", pa.array([covered], pa.int64()))
+
+    kinds_of = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    return kinds.groupBy(*by).applyInArrow(cover, f"{kinds_of}, parts array<string>, covered long")
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Rows numbered from 1 in one order over the whole table, without bringing them into one task.
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellmark.functions.scalars import finite_point
-from tellmark.session import cut
+from tellmark.operators.clouds import nearest_cell
+
+__all__ = ["as_of", "assign_interval", "best_overlap", "grid_cells", "in_region", "look_back", "nearest_cell", "overlaps"]
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, take: list[str], tolerance: Column | None = None) -> DataFrame:
@@ -70,40 +72,11 @@ def grid_cells(df: DataFrame, axes: list[str], grid: float, label: str, by: list
     )
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, key: str, grid: float, label: str, z_weight: float, z_tolerance: float, limit: float) -> DataFrame:
-    """key, label and distance of each point's nearest cell centre; the label only within ``limit``.
-
-    Heights within the tolerance are free, beyond it weighted. Ties go to the
-    smaller label. Points are joined to the cells of their own and the eight
-    neighbouring squares as wide as ``limit``; a hit within that width is exact.
-    Points without one go on to squares four times as wide, until none is left:
-    the way is the same for clouds of any size. Points with a coordinate that is
-    null or not finite, and all points of an empty cloud, come back with nulls.
-    """
-    centre = [((F.col(f"cell_{a}") + 0.5) * grid).alias(f"_{a}") for a in "xyz"]
-    cloud = cut(cells.select(*centre, F.col(label).alias("_label")))
-    left = cut(points.where(finite_point(*(F.col(a) for a in "xyz"))).select(key, *(F.col(a).cast("double").alias(a) for a in "xyz")))
-    dz = F.greatest(F.lit(0.0), F.abs(F.col("z") - F.col("_z")) - z_tolerance) * z_weight
-    distance = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) + F.pow(dz, 2))
-    least = F.min(F.struct(distance.alias("distance"), F.col("_label").alias("label"))).alias("_m")
-    width, found = max(limit, grid), points.limit(0).select(key, F.lit(0.0).alias("distance"), F.lit("").alias("label"))
-    while not cloud.isEmpty() and not left.isEmpty():
-        square = lambda c, w=width: F.floor(F.col(c) / w)
-        around = [F.explode(F.sequence(square(c) - 1, square(c) + 1)).alias(f"_b{c}") for c in "xy"]
-        wide = left.select("*", around[0]).select("*", around[1])
-        near = cloud.withColumn("_cx", square("_x")).withColumn("_cy", square("_y"))
-        met = wide.join(near, (F.col("_bx") == F.col("_cx")) & (F.col("_by") == F.col("_cy")))
-        # used twice: for the result and to tell who goes on
-        best = cut(met.groupBy(key).agg(least).where(F.col("_m.distance") <= width).select(key, "_m.distance", "_m.label"))
-        found = found.unionByName(best)
-        left = cut(left.join(best, key, "left_anti"))
-        width *= 4
-    out = points.select(key).join(found, key, "left")
-    return out.select(key, F.when(F.col("distance") <= limit, F.col("label")).alias(label), "distance")
-
-
 def in_region(points: DataFrame, boxes: DataFrame, by: list[str], x: str, y: str, part: str, priority: str) -> DataFrame:
-    """Points with the part of the first box (by ``priority``) that holds them; sides included; null if none does.
+    """Points with the part of the first box (by ``priority``) that holds them; null if none does.
+
+    A box holds its lower sides and not its upper ones, so that a point on a side
+    that two boxes share is in one of them only.
 
     Boxes are a small dimension table keyed by ``by``: those of a key travel as one
     array, so the join is on the key alone and every point stays one row.
@@ -112,7 +85,7 @@ def in_region(points: DataFrame, boxes: DataFrame, by: list[str], x: str, y: str
     box = F.struct(F.col(priority).alias("priority"), F.col(part).alias("part"), "x_min", "x_max", "y_min", "y_max")
     small = boxes.groupBy(*(F.col(c).alias(n) for c, n in names.items())).agg(F.array_sort(F.collect_list(box)).alias("_boxes"))
     joined = points.join(small, [F.col(c) == F.col(n) for c, n in names.items()], "left")
-    holds = lambda b: F.col(x).between(b["x_min"], b["x_max"]) & F.col(y).between(b["y_min"], b["y_max"])
+    holds = lambda b: (F.col(x) >= b["x_min"]) & (F.col(x) < b["x_max"]) & (F.col(y) >= b["y_min"]) & (F.col(y) < b["y_max"])
     return joined.withColumn(part, F.get(F.filter("_boxes", holds), F.lit(0))["part"]).drop("_boxes", *names.values())
 
 

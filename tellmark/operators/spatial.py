@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellmark.functions.scalars import blank_to_null, same_moment
-from tellmark.operators.distributions import biggest_pair, order_statistic
+from tellmark.operators.distributions import biggest_pair, max_cover, order_statistic
 
 SITE_A, SITE_B = "BombsiteA", "BombsiteB"
 SPAWNS = ("CTSpawn", "TSpawn")
@@ -80,6 +80,22 @@ def stack_hits(presences: DataFrame, unit: list[str], groups: DataFrame, at: flo
     return best.where(F.col("covered") >= players)
 
 
+def crowds(presences: DataFrame, unit: list[str], groups: DataFrame, at: float, players: int, areas: int) -> DataFrame:
+    """Rounds in which at least ``players`` CTs stand in at most ``areas`` areas of one site's group at one moment.
+
+    site, areas (largest first), area (the first), sample_t_s, players and alive:
+    all living CTs of that moment, wherever they stand. Spawns and areas without a
+    group hold nobody.
+    """
+    moment = _time_rows(presences).where((F.col("side") == "CT") & same_moment(F.col("sample_t_s"), F.lit(at)))
+    alive = moment.groupBy(*unit, "round_no").agg(F.countDistinct("player_id").alias("alive"))
+    placed = moment.where(F.col("area").isNotNull() & ~F.col("area").isin(*SPAWNS)).join(groups.select(*unit, "area", "site"), [*unit, "area"])
+    best = max_cover(placed, [*unit, "round_no", "site"], "area", "player_id", areas).where(F.col("covered") >= players)
+    return best.join(alive, [*unit, "round_no"]).select(
+        *unit, "round_no", "site", F.lit(float(at)).alias("sample_t_s"), F.get("parts", F.lit(0)).alias("area"), F.col("parts").alias("areas"), F.col("covered").alias("players"), "alive"
+    )
+
+
 def site_groups(
     cells: DataFrame, unit: list[str], margin: float = 1.25, separation: float = 2.0, gap_ratio: float = 0.40,
     trim: float = 0.05, floor_weight: float = 3.0, bridge: float = 0.10,

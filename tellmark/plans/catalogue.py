@@ -457,7 +457,7 @@ def filled_numbers(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT 'cheap' AS part, 1 AS prio, 0.0 AS x0, 20.0 AS x1, 900.0 AS y0, 1200.0 AS y1, 'MFGR' AS m UNION ALL SELECT 'small', 2, 0, 10, 0, 99999, 'MFGR' UNION ALL SELECT 'any', 3, 0, 40, 0, 99999, 'MFGR')
- SELECT p_partkey, arg_min(part, prio) AS part FROM part LEFT JOIN b ON p_size BETWEEN x0 AND x1 AND p_retailprice BETWEEN y0 AND y1 GROUP BY 1""")
+ SELECT p_partkey, arg_min(part, prio) AS part FROM part LEFT JOIN b ON p_size >= x0 AND p_size < x1 AND p_retailprice >= y0 AND p_retailprice < y1 GROUP BY 1""")
 def region_parts(spark, sf_dir):
     boxes = spark.createDataFrame(
         [("cheap", 1, 0.0, 20.0, 900.0, 1200.0, 1), ("small", 2, 0.0, 10.0, 0.0, 99999.0, 1), ("any", 3, 0.0, 40.0, 0.0, 99999.0, 1)],
