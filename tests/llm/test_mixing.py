@@ -69,15 +69,33 @@ def test_pivot_keeps_mass_and_expectation():
 
 def test_nulls_repeats_and_taking(spark):
     data = [Row(doc_id=1, source=None, text=None, SIZE=1), Row(doc_id=None, source="a", text="x y", SIZE=2)]
-    data += [Row(doc_id=2, source="b", text="p q r", SIZE=3)] * 4 + [Row(doc_id=3, source="a", text="é\x1cb " * 5, SIZE=4)]
-    df = spark.createDataFrame(data)
-    mixed = {(r.doc_id, r.source, r.size): (r.rows, r.copies) for r in mix(df).collect()}
-    assert mixed[(2, "b", 3)][0] == 4 and (1, None, 0) in mixed
-    taken = Counter((r.doc_id, r.source) for r in take_mix(df).collect())
-    for (d, s, _), (rows, copies) in mixed.items():
-        assert taken[(d, s)] == rows * copies
+    data += [Row(doc_id=2, source="b", text="p q r", SIZE=k) for k in range(4)] + [Row(doc_id=3, source="a", text="é\x1cb " * 5, SIZE=4)]
+    df = spark.createDataFrame(data).repartition(3)
+    units = mix(df).collect()
+    assert len(units) == len(data) and sum(r.doc_id == 2 for r in units) == 4
+    want = Counter()
+    for r in units:
+        want[r.doc_id, r.source] += r.copies
+    rows = take_mix(df).collect()
+    assert +want == Counter((r.doc_id, r.source) for r in rows)
+    each = Counter(r.SIZE for r in rows if r.doc_id == 2)
+    assert max(each.values()) - min(each.get(k, 0) for k in range(4)) <= 1
     assert take_mix(df).columns == df.columns
-    assert mix(df.limit(0)).count() == 0
+    assert mix(df.limit(0)).count() == 0 and take_mix(df.limit(0)).count() == 0
+
+
+def test_rows_without_ids_and_repeated_rows_are_units_of_their_own(spark):
+    rng = random.Random(5)
+    data = [(None, "a", " ".join(f"w{i}" for i in rng.sample(range(50), 10))) for _ in range(300)] + [(i, "a", "x " * 10) for i in range(300)]
+    data += [(7, "b", "the same row again")] * 400 + [(None, None, "one two three")] * 300 + [(None, "b", None)] * 5
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    rows = mix(df).withColumn("taken", F.col("copies") * F.col("size")).collect()
+    assert len(rows) == len(data)
+    check([(r.source, r) for r in rows])
+    taken = Counter()
+    for r in take_mix(df).collect():
+        taken[r.source] += len((r.text or "").split())
+    assert taken == Counter({s: sum(r.taken for r in rows if r.source == s) for s in ("a", "b", None)})
 
 
 def test_many_sources_fill_at_many_levels(spark):
