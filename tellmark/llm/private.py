@@ -14,6 +14,10 @@ A context is a pattern only if something identifier-like stands in it, and if it
 could reach the confidence should all of that be right. Others are everyday words
 around an identifier; they take no part in the graph, so they lend no score either.
 
+Places of matches are sums over matches and the gaps between them, taken in chunks,
+and contexts come from pieces of ``REACH`` code points that the same scan carries:
+the time of a text follows its length, however many matches it has.
+
 A text is scanned once for spans and candidates, and once more to count the
 contexts that became patterns; texts are never shuffled. Common contexts are
 found out in the few texts with an at sign, so that the count over all texts
@@ -22,6 +26,8 @@ meets only contexts that are about as rare as the identifiers behind them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,20 +60,62 @@ SLOTS = 1 << 17
 REACH = 100
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the pattern's matches, from 0 in code points."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start: int, end: int, value: string>>)").alias("out"))
+#: Items that a scan takes at once: arrays grow by as many, so that time follows their length.
+CHUNK = 256
+_SPAN = "struct<start: int, end: int, value: string, lead: string, soon: string>"
+
+
+def _scan(items: str, state: str, zero: str, step: str) -> Column:
+    """The states of a fold after each item, in SQL. ``items`` is a column, ``step`` makes a state of the state ``p`` before and the item ``x``."""
+    after = re.sub(r"\bp\.", "element_at(a, -1).", step)
+    last = f"coalesce(element_at(get(done, size(done) - 1), -1), CAST({zero} AS {state}))"
+    grown = f"aggregate(slice({items}, k * {CHUNK} + 1, {CHUNK}), array({last}), (a, x) -> concat(a, array(CAST({after} AS {state}))))"
+    chunks = f"aggregate(sequence(0, CAST(ceil(size({items}) / {CHUNK}) AS INT) - 1), CAST(array() AS array<array<{state}>>), (done, k) -> concat(done, array(slice({grown}, 2, {CHUNK}))))"
+    return F.expr(f"CASE WHEN size({items}) > 0 THEN flatten({chunks}) ELSE CAST(array() AS array<{state}>) END")
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        end = begin + F.length(x["m"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+def with_matches(texts: DataFrame, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Adds a column of matches for every name: start, end (code points, from 0), value, and the text around, REACH code points each.
+
+    ``patterns`` has a pattern and a test for each name; texts that fail the test
+    have no matches. One scan forward and one back over matches and the gaps between them.
+    """
+    none, places = "CAST(array() AS array<string>)", range(len(patterns))
+    df = texts.withColumns({f"_hits{k}": F.when(worth, F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(F.expr(none)) for k, (p, worth) in enumerate(patterns.values())})
+    df = df.withColumns({f"_gaps{k}": F.when(F.size(f"_hits{k}") > 0, F.split("text", p, -1)).otherwise(F.expr(none)) for k, (p, _) in enumerate(patterns.values())})
+    pairs = lambda k, at: f"zip_with(slice(_gaps{k}, {at}, size(_hits{k})), _hits{k}, (g, m) -> named_struct('g', g, 'm', m))"
+    df = df.withColumns({f"_steps{k}": F.expr(pairs(k, 1)) for k in places} | {f"_back{k}": F.expr(f"reverse({pairs(k, 2)})") for k in places})
+    forward = (
+        "struct<start: int, end: int, lead: string, tail: string>", "named_struct('start', 0, 'end', 0, 'lead', '', 'tail', '')",
+        f"named_struct('start', p.end + length(x.g), 'end', p.end + length(x.g) + length(x.m), 'lead', right(concat(p.tail, x.g), {REACH}), 'tail', right(concat(p.tail, x.g, x.m), {REACH}))",
+    )
+    # of a match: what follows it; the match that follows stands in the state
+    behind = ("struct<soon: string, m: string>", "named_struct('soon', '', 'm', '')", f"named_struct('soon', left(concat(left(x.g, {REACH}), left(p.m, {REACH}), p.soon), {REACH}), 'm', x.m)")
+    df = df.withColumns({f"_forward{k}": _scan(f"_steps{k}", *forward) for k in places} | {f"_behind{k}": F.reverse(_scan(f"_back{k}", *behind)) for k in places})
+    span = "(f, b) -> named_struct('start', f.start, 'end', f.end, 'value', b.m, 'lead', f.lead, 'soon', b.soon)"
+    return df.select(*texts.columns, *(F.expr(f"zip_with(_forward{k}, _behind{k}, {span})").alias(name) for k, name in enumerate(patterns)))
+
+
+def without_overlaps(df: DataFrame, name: str, base: str, kind: str) -> DataFrame:
+    """``name`` (an array of ``kind``) without what overlaps a span of ``base``, in order of starts. Spans are not empty.
+
+    Both arrays are sorted together; a scan forward tells how far spans of base
+    reached, one back where the next begins.
+    """
+    mark = f"struct<start: int, of: int, end: int, one: {kind}>"
+    of_base = f"CAST(transform({base}, b -> named_struct('start', b.start, 'of', 0, 'end', b.end, 'one', CAST(NULL AS {kind}))) AS array<{mark}>)"
+    of_name = f"CAST(transform({name}, c -> named_struct('start', c.start, 'of', 1, 'end', c.end, 'one', c)) AS array<{mark}>)"
+    both = f"size({base}) > 0 AND size({name}) > 0"
+    order = "(a, b) -> CASE WHEN a.start <> b.start THEN CAST(signum(a.start - b.start) AS INT) ELSE a.of - b.of END"
+    df = df.withColumn("_marks", F.expr(f"CASE WHEN {both} THEN array_sort(concat({of_base}, {of_name}), {order}) ELSE CAST(array() AS array<{mark}>) END"))
+    df = df.withColumn("_turned", F.reverse("_marks"))
+    state = "struct<at: int, free: boolean>"
+    reached = _scan("_marks", state, "named_struct('at', -1, 'free', true)", "named_struct('at', IF(x.of = 0, greatest(p.at, x.end), p.at), 'free', p.at <= x.start)")
+    next_ = _scan("_turned", state, "named_struct('at', 2147483647, 'free', true)", "named_struct('at', IF(x.of = 0, x.start, p.at), 'free', p.at >= x.end)")
+    df = df.withColumns({"_reached": reached, "_next": F.reverse(next_)})
+    free = "zip_with(_marks, zip_with(_reached, _next, (r, n) -> r.free AND n.free), (m, ok) -> IF(ok AND m.of = 1, m.one, NULL))"
+    kept = F.expr(f"CASE WHEN {both} THEN filter({free}, c -> c IS NOT NULL) ELSE {name} END")
+    return df.withColumn(name, kept).drop("_marks", "_turned", "_reached", "_next")
 
 
 def _digits(value: Column) -> Column:
@@ -103,84 +151,95 @@ def _around(a: Column, b: Column) -> Column:
     return F.xxhash64(F.lit("around"), a, b)
 
 
-def _contexts(text: Column, span: Column) -> Column:
-    """Hashes of a span's contexts: the two words before the word it starts in, and the words around it; those there are."""
-    start, end = span["start"], span["end"]
+def with_contexts(df: DataFrame, *names: str) -> DataFrame:
+    """Columns of spans with ``contexts``, hashes of their contexts: the two words before the word it starts in, and the words around it; those there are."""
+    text = F.col("text")
 
-    def before(part: Column, lead: str) -> Column:
-        words = [_plain(F.regexp_extract(part, lead + _CONTEXT, k)) for k in (1, 2)]
-        return F.when(words[1] != "", F.struct(words[0].alias("a"), words[1].alias("b")))
+    def before(part: Column, lead: str, k: int) -> Column:
+        return _plain(F.regexp_extract(part, lead + _CONTEXT, k))
 
-    close = F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
-    two = F.coalesce(before(close, r"[\x20\x09-\x0D]"), before(F.substring(text, F.lit(1), start), r"(?:^|[\x20\x09-\x0D])"))
-    soon = F.regexp_extract(F.substring(text, end + 1, F.lit(REACH)), _AFTER + r"[\x20\x09-\x0D]", 1)
-    after = _plain(F.when(soon != "", soon).otherwise(F.regexp_extract(F.substring(text, end + 1, F.length(text)), _AFTER, 1)))
-    inside = ~F.contains(span["value"], F.lit(" "))
-    both = F.array(
-        F.when(two.isNotNull(), _two_before(two["a"], two["b"])), F.when(two.isNotNull() & (after != "") & inside, _around(two["b"], after))
-    )
-    return F.filter(both, lambda h: h.isNotNull())
+    # what isn't whole in reach is taken from the whole text
+    def words(s: Column) -> Column:
+        near = F.array(before(s["lead"], r"[\x20\x09-\x0D]", 1), before(s["lead"], r"[\x20\x09-\x0D]", 2))
+        whole = F.when(s["start"] <= REACH, s["lead"]).otherwise(F.substring(text, F.lit(1), s["start"]))
+        far = F.array(before(whole, r"(?:^|[\x20\x09-\x0D])", 1), before(whole, r"(?:^|[\x20\x09-\x0D])", 2))
+        return F.when(s["lead"].rlike(r"[\x20\x09-\x0D]" + _CONTEXT), near).otherwise(far)
 
+    def after(s: Column) -> Column:
+        rest = F.when(F.length(s["soon"]) < REACH, s["soon"]).otherwise(F.substring(text, s["end"] + 1, F.length(text)))
+        near = s["soon"].rlike(_AFTER + r"[\x20\x09-\x0D]")
+        return _plain(F.when(near, F.regexp_extract(s["soon"], _AFTER, 1)).otherwise(F.regexp_extract(rest, _AFTER, 1)))
 
-def _spans(text: Column, kind: int, pattern: str, worth: Column, good) -> Column:
-    found = F.filter(_found(text, pattern), good)
-    full = F.transform(
-        found,
-        lambda s: F.struct(
-            F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _contexts(text, s).alias("contexts")
-        ),
-    )
-    return F.when(worth, full).otherwise(F.expr(f"CAST(array() AS {_SPANS})"))
+    df = df.withColumns({f"_w_{name}": F.transform(name, lambda s: F.struct(words(s).alias("two"), after(s).alias("after"))) for name in names})
+
+    def hashes(s: Column, w: Column) -> Column:
+        a, b, c = w["two"][0], w["two"][1], w["after"]
+        inside = ~F.contains(s["value"], F.lit(" "))
+        both = F.array(F.when(b != "", _two_before(a, b)), F.when((b != "") & (c != "") & inside, _around(b, c)))
+        return F.filter(both, lambda h: h.isNotNull())
+
+    full = lambda s, w: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), hashes(s, w).alias("contexts"))
+    return df.withColumns({name: F.zip_with(name, f"_w_{name}", full) for name in names}).drop(*(f"_w_{name}" for name in names))
 
 
 def _between(n: Column, low: int, high: int) -> Column:
     return (n >= low) & (n <= high)
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans, by kind and start, each with its value and its context's hash."""
-    return F.concat(
-        _spans(text, 0, _EMAIL, F.contains(text, F.lit("@")), lambda s: F.lit(True)),
-        _spans(text, 1, _IP, text.rlike(r"[0-9]\.[0-9]"), lambda s: _is_ip(s["value"])),
-        _spans(text, 2, _CARD, text.rlike(r"[0-9](?:[ -]?[0-9]){12}"), lambda s: _luhn(s["value"])),
-        _spans(text, 3, _PHONE, F.contains(text, F.lit("+")), lambda s: _between(F.length(_digits(s["value"])), 9, 15)),
-    )
+_KIND = f"struct<kind: int, {_SPAN[len('struct<'):]}"
+
+
+def _of_kind(found: Column, kind: int, good) -> Column:
+    one = lambda s: F.struct(F.lit(kind).alias("kind"), *(s[c].alias(c) for c in ("start", "end", "value", "lead", "soon")))
+    return F.transform(F.filter(found, good), one)
 
 
-def candidates(text: Column) -> Column:
-    """What is like an identifier, without marks around it, as spans of kind -1.
+def with_spans(texts: DataFrame) -> DataFrame:
+    """Adds ``base``, all base spans by kind and start, and ``other``, candidates; both with values and contexts.
 
-    These are words with six digits, an at sign or four short numbers, and runs of
-    words: numbers with six digits in all, and names and hosts around a bracketed at.
+    Candidates are what is like an identifier, without marks around it, as spans of
+    kind -1 that overlap no base span: words with six digits, an at sign or four
+    short numbers, and runs of words: numbers with six digits in all, and names
+    and hosts around a bracketed at.
     """
-    lead = lambda v: F.length(v) - F.length(F.regexp_replace(v, r"^[^\p{L}\p{N}+]+", ""))
-    trail = lambda v: F.length(v) - F.length(F.regexp_replace(v, r"[^\p{L}\p{N}]+$", ""))
+    text = F.col("text")
     many = lambda s: F.length(_digits(s["value"])) >= 6
     like = lambda s: F.contains(s["value"], F.lit("@")) | many(s) | s["value"].rlike(_FOUR)
-    none = F.expr("CAST(array() AS array<struct<start: int, end: int, value: string>>)")
-
-    def where(worth: Column, pattern: str, good) -> Column:
-        return F.when(worth, F.filter(_found(text, pattern), good)).otherwise(none)
-
-    ats = where(text.rlike(r"(?i)[(\[{<]\x20?at\x20?[)\]}>]"), _AT, lambda s: F.lit(True))
-    spaced = where(text.rlike(r"[0-9][().,:/_\[\]-]*\x20[(\[]?[0-9]"), _SPACED, many)
-    words = where(text.rlike("@|[0-9][^\\x20\\x09-\\x0D]*[0-9]"), _CANDIDATE, like)
-    runs = F.concat(ats, F.filter(spaced, lambda s: ~_overlaps(ats, s)))
-    full = F.transform(
-        F.concat(runs, F.filter(words, lambda s: ~_overlaps(runs, s))),
+    kinds = {
+        "_email": (_EMAIL, F.contains(text, F.lit("@"))),
+        "_ip": (_IP, text.rlike(r"[0-9]\.[0-9]")),
+        "_card": (_CARD, text.rlike(r"[0-9](?:[ -]?[0-9]){12}")),
+        "_phone": (_PHONE, F.contains(text, F.lit("+"))),
+    }
+    shapes = {
+        "_ats": (_AT, text.rlike(r"(?i)[(\[{<]\x20?at\x20?[)\]}>]")),
+        "_spaced": (_SPACED, text.rlike(r"[0-9][().,:/_\[\]-]*\x20[(\[]?[0-9]")),
+        "_other": (_CANDIDATE, text.rlike("@|[0-9][^\\x20\\x09-\\x0D]*[0-9]")),
+    }
+    sound = (lambda s: F.lit(True), lambda s: _is_ip(s["value"]), lambda s: _luhn(s["value"]), lambda s: _between(F.length(_digits(s["value"])), 9, 15))
+    df = with_matches(texts, kinds | shapes)
+    base = F.concat(*(_of_kind(F.col(n), k, good) for k, (n, good) in enumerate(zip(kinds, sound, strict=True))))
+    df = df.select(*texts.columns, base.alias("base"), "_ats", F.filter("_spaced", many).alias("_spaced"), F.filter("_other", like).alias("_other"))
+    df = without_overlaps(df, "_spaced", "_ats", _SPAN)
+    df = df.withColumn("_runs", F.concat("_ats", "_spaced"))
+    df = without_overlaps(df, "_other", "_runs", _SPAN)
+    # contexts are of the whole words, ends are those of what stands between marks
+    df = df.select(*texts.columns, "base", _of_kind(F.concat("_runs", "_other"), -1, lambda s: F.lit(True)).alias("other"))
+    df = with_contexts(df, "base", "other")
+    lead = lambda v: F.length(v) - F.length(F.regexp_replace(v, r"^[^\p{L}\p{N}+]+", ""))
+    trail = lambda v: F.length(v) - F.length(F.regexp_replace(v, r"[^\p{L}\p{N}]+$", ""))
+    trimmed = F.transform(
+        "other",
         lambda s: F.struct(
-            F.lit(-1).alias("kind"),
+            s["kind"].alias("kind"),
             (s["start"] + lead(s["value"])).alias("start"),
             (s["end"] - trail(s["value"])).alias("end"),
             F.regexp_replace(F.regexp_replace(s["value"], r"^[^\p{L}\p{N}+]+", ""), r"[^\p{L}\p{N}]+$", "").alias("value"),
-            _contexts(text, s).alias("contexts"),
+            s["contexts"].alias("contexts"),
         ),
     )
-    return F.filter(full, lambda s: (F.size(s["contexts"]) > 0) & (s["end"] > s["start"]))
-
-
-def _overlaps(base: Column, one: Column) -> Column:
-    return F.exists(base, lambda b: (b["start"] < one["end"]) & (one["start"] < b["end"]))
+    df = df.withColumn("other", trimmed).withColumn("other", F.filter("other", lambda s: (F.size(s["contexts"]) > 0) & (s["end"] > s["start"])))
+    return without_overlaps(df, "other", "base", _SPANS[len("array<") : -1])
 
 
 def context_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -243,11 +302,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    base = base_spans(F.col("text"))
-    seen = stored(
-        texts.select("id", F.xxhash64("text").alias("h"), base.alias("base"), candidates(F.col("text")).alias("other"))
-        .withColumn("other", F.filter("other", lambda s: ~_overlaps(F.col("base"), s)))
-    )
+    seen = stored(with_spans(texts.withColumn("h", F.xxhash64("text"))).select("id", "h", "base", "other"))
     seeds = seen.where(F.size("base") > 0).select("h", F.explode("base").alias("s")).select("h", "s.kind", "s.value", F.explode("s.contexts").alias("context"))
     words = seen.where(F.size("other") > 0).select("id", "h", F.explode("other").alias("s")).select("id", "h", "s.start", "s.end", "s.value", F.explode("s.contexts").alias("context"))
 

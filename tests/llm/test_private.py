@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import Row
 
@@ -42,6 +43,25 @@ def test_base_spans_of_odd_texts_match_python(spark):
         assert got[i] == ",".join(base(t)), repr(t)[:200]
 
 
+def test_thousands_of_matches_in_one_text(spark):
+    """Time follows the length of a text, not the square of its matches; places behind many chunks are right."""
+    rng = random.Random(2)
+    value = lambda i: rng.choice([f"10.{i % 250}.{i // 250}.7", f"u{i}@h.org", "+49 151 1234567", "4111 1111 1111 1111", "0151/123456", "wort", "é😀", "no(at)where.org"])
+    texts = ["word other thing " * 5000, " ".join(f"10.{i % 250}.{i // 250}.7" for i in range(8000)), " ".join(value(i) for i in range(3000))]
+    took = []
+    for text in texts:
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        for _ in range(2):
+            began = time.perf_counter()
+            rows = find_private(df).select(spans_text(F.col("base")).alias("b"), "base", "added").collect()
+            last = time.perf_counter() - began
+        took.append(last)
+        assert rows[0].b == ",".join(base(text))
+        assert not any(a.start < b.end and b.start < a.end for a in rows[0].added for b in rows[0].base)
+    print(took)
+    assert took[1] < took[0] + 6
+
+
 def test_query_keeps_base_spans_and_leaves_plain_words_alone(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = op8_private_data(spark, SF).collect()
@@ -119,7 +139,7 @@ def test_hidden_seeds_are_found_again(spark):
     right = sum(got.get(d) == [v] for d, v in hidden.items())
     wrong = sum(len(v) for d, v in got.items()) - right
     print("recall", right / len(hidden), "wrong", wrong, "of", right + wrong)
-    assert right >= 0.8 * len(hidden) and wrong <= 0.05 * right
+    assert right >= 0.9 * len(hidden) and wrong <= 0.05 * right
 
 
 def test_scores_match_a_plain_computation(spark):
