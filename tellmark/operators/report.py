@@ -26,6 +26,48 @@ def samples(rounds: DataFrame) -> DataFrame:
     return cube
 
 
+BUCKETS = ("league", "other", "unknown")
+
+
+def bucketed_samples(rounds: DataFrame) -> DataFrame:
+    """``samples`` with demos per bucket as well: demos_league, demos_other, demos_unknown."""
+    known = rounds.where("round_type IS NOT NULL")
+    league = F.col("is_league")
+    of = {"league": F.coalesce(league, F.lit(False)), "other": F.coalesce(~league, F.lit(False)), "unknown": league.isNull()}
+    return known.rollup(*LEVELS).agg(
+        F.grouping_id().cast("int").alias("level"), F.count("*").alias("rounds"), F.countDistinct("map_demo_id").alias("demos"), F.countDistinct("match_id").alias("matches"),
+        *(F.count_if(which).alias(f"rounds_{b}") for b, which in of.items()), *(F.countDistinct(F.when(which, F.col("map_demo_id"))).alias(f"demos_{b}") for b, which in of.items()),
+    )
+
+
+def cube_faults(cube: DataFrame) -> DataFrame:
+    """(level, map_name, side, measure, claimed, least, most): numbers of a level that its children's don't allow.
+
+    Rounds sum at every level, in all and in each bucket. Demos sum only from maps
+    to the whole, as a demo is on one map and in one bucket. Matches sum nowhere:
+    a level has at least as many as its largest child and at most as many as all
+    together. A level whose children are missing is at fault in rounds; one
+    self-join of levels on the parent's keys.
+    """
+    rounds = ["rounds", *(f"rounds_{b}" for b in BUCKETS)]
+    demos = ["demos", *(f"demos_{b}" for b in BUCKETS)]
+    parent = {0: 1, 1: 3, 3: 7}
+    child = cube.where(F.col("level").isin(*parent)).withColumn("_of", F.element_at(F.create_map(*(F.lit(x) for kv in parent.items() for x in kv)), F.col("level")))
+    keep = lambda c, n: F.when(F.col("_of") <= n, F.col(c))
+    child = child.select("_of", keep("map_name", 3).alias("_map"), keep("side", 1).alias("_side"), *rounds, *demos, "matches")
+    sums = child.groupBy("_of", "_map", "_side").agg(*(F.sum(c).alias(f"_{c}") for c in (*rounds, *demos, "matches")), F.max("matches").alias("_largest"))
+    upper = cube.where(F.col("level") > 0)
+    on = (F.col("level") == F.col("_of")) & F.col("map_name").eqNullSafe(F.col("_map")) & F.col("side").eqNullSafe(F.col("_side"))
+    both = upper.join(sums, on, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    row = lambda name, least, most: F.struct(F.lit(name).alias("measure"), F.col(name).alias("claimed"), zero(F.col(least)).alias("least"), zero(F.col(most)).alias("most"))
+    checks = [row(c, f"_{c}", f"_{c}") for c in rounds]
+    whole = [F.when(F.col("level") == 7, row(c, f"_{c}", f"_{c}")) for c in demos]
+    matches = F.when(F.col("_of").isNotNull(), row("matches", "_largest", "_matches"))
+    found = both.select("level", "map_name", "side", F.explode(F.array(*checks, *whole, matches)).alias("c")).where("c IS NOT NULL")
+    return found.select("level", "map_name", "side", "c.*").where("claimed < least OR claimed > most")
+
+
 def records(rounds: DataFrame) -> DataFrame:
     """Wins, losses and rounds of unknown result per leaf."""
     won = F.col("won")
@@ -159,6 +201,32 @@ def unsaturated(rows: DataFrame, block: list[str], value: str) -> DataFrame:
     return rows.withColumn("_keep", F.coalesce(varied, F.lit(True)) | first).where("_keep").drop("_keep")
 
 
+def equipment_lines(bars: DataFrame, block: list[str], metric: str, count: str, n: str, unknown: str, full: int, pair: tuple[str, str]) -> DataFrame:
+    """Lines of equipment that say something: block, metrics and bars (arrays of count and n, by count).
+
+    ``bars`` has one row per block, metric and count: how many of its rounds have
+    it, and how many rounds could not be read (``unknown``, the same in all rows of
+    a metric). A metric goes if one bar holds every round and is the full team, as
+    nothing else could be expected; a line at zero and one with unread rounds stay.
+    The two metrics of ``pair`` become one line if their bars are equal. If
+    nothing of a block would be left, the first metric of the pair stays.
+    """
+    keys = [*block, metric]
+    lines = bars.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(count).alias("count"), F.col(n).alias("n")))).alias("bars"), F.max(F.coalesce(unknown, F.lit(0))).alias("_unread")
+    )
+    some = F.filter("bars", lambda b: b["n"] > 0)
+    alone = (F.size(some) == 1) & (some[0]["count"] == full) & (F.col("_unread") == 0)
+    lines = lines.withColumn("_gone", alone)
+    sides = lambda name: F.max(F.when(F.col(metric) == name, F.struct("bars", "_unread"))).over(Window.partitionBy(*block))
+    equal = F.coalesce(sides(pair[0]) == sides(pair[1]), F.lit(False)) & F.col(metric).isin(*pair) & ~F.col("_gone")
+    left = F.min("_gone").over(Window.partitionBy(*block))
+    lines = lines.withColumn("_equal", equal).withColumn("_none", left)
+    kept = (~F.col("_gone") & ~(F.col("_equal") & (F.col(metric) == pair[1]))) | (F.col("_none") & (F.col(metric) == pair[0]))
+    named = F.when(F.col("_equal"), F.array(*map(F.lit, pair))).otherwise(F.array(F.col(metric)))
+    return lines.where(kept).select(*block, named.alias("metrics"), "bars", F.col("_unread").alias("unread"))
+
+
 def not_covered(presence: DataFrame, shown: DataFrame, keys: list[str]) -> DataFrame:
     """Presence rows that no shown position covers; unknown areas compare as areas."""
     names = {c: f"_s_{c}" for c in keys}

@@ -48,6 +48,71 @@ def number_segments(segments: DataFrame, unit: list[str]) -> DataFrame:
     return filled.withColumn("round_raw", F.when(fits, F.col("_forward")).cast("int")).drop("_k", "_round", "_forward")
 
 
+#: Restarts of a unit that are accepted; more are a phenomenon that nobody has seen.
+MAX_RESTARTS = 2
+
+
+def number_rounds(segments: DataFrame, unit: list[str]) -> DataFrame:
+    """Segments (unit, at, round, end_tick, ...) with round_raw, and what the gap between two known numbers is that they lie in.
+
+    ``gap`` is resolved (a segment of it has an end: its segments are rounds and are
+    counted on from the number before), restart (no end, and the numbers around
+    continue by one: its segments stay without a number), jump (no end, and a number
+    is left out: a round was lost, nothing is guessed) or null outside of gaps.
+    Before the first known number it is counted back, behind the last on; from 1
+    if none is known. All windows are within a unit.
+    """
+    w = Window.partitionBy(*unit).orderBy("at")
+    whole = Window.partitionBy(*unit)
+    known = F.col("round").isNotNull()
+    df = segments.withColumn("_k", F.row_number().over(w))
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    place = F.struct(F.col("round").alias("n"), F.col("_k").alias("k"))
+    df = df.withColumn("_before", F.last(F.when(known, place), ignorenulls=True).over(back)).withColumn("_after", F.first(F.when(known, place), ignorenulls=True).over(ahead))
+    inside = ~known & F.col("_before").isNotNull() & F.col("_after").isNotNull()
+    gap = Window.partitionBy(*unit, "_before")
+    ended = F.max(F.when(inside, F.col("end_tick").isNotNull())).over(gap)
+    continues = F.col("_after.n") == F.col("_before.n") + 1
+    df = df.withColumn("gap", F.when(inside, F.when(ended, "resolved").when(continues, "restart").otherwise("jump")))
+    none = F.count("round").over(whole) == 0
+    number = (
+        F.when(known, F.col("round"))
+        .when(none, F.col("_k"))
+        .when(F.col("_before").isNull(), F.col("_after.n") - (F.col("_after.k") - F.col("_k")))
+        .when(F.col("_after").isNull() | (F.col("gap") == "resolved"), F.col("_before.n") + (F.col("_k") - F.col("_before.k")))
+    )
+    return df.withColumn("round_raw", number.cast("int")).drop("_k", "_before", "_after")
+
+
+def round_gaps(numbered: DataFrame, unit: list[str]) -> DataFrame:
+    """(unit, before, after, gap, segments, ticks) of every gap between known numbers; ``ticks`` are its anchors in order."""
+    w = Window.partitionBy(*unit).orderBy("at")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    df = numbered.withColumn("before", F.last("round", ignorenulls=True).over(back)).withColumn("after", F.first("round", ignorenulls=True).over(ahead))
+    df = df.withColumn("_from", F.max(F.when(F.col("round").isNotNull(), F.col("at"))).over(back))
+    found = df.where("gap IS NOT NULL").groupBy(*unit, "_from", "before", "after", "gap").agg(F.count("*").alias("segments"), F.array_sort(F.collect_list("at")).alias("ticks"))
+    return found.drop("_from")
+
+
+def round_faults(numbered: DataFrame, unit: list[str], limit: int = MAX_RESTARTS) -> DataFrame:
+    """(unit, fault, n, ticks): jumps, more restarts than ``limit``, and numbers that do not rise (a derived one collides)."""
+    gaps = round_gaps(numbered, unit)
+    jump = gaps.where("gap = 'jump'").select(*unit, F.lit("jump").alias("fault"), F.col("segments").alias("n"), "ticks")
+    restarts = gaps.where("gap = 'restart'").groupBy(*unit).agg(F.sum("segments").alias("n"), F.array_sort(F.flatten(F.collect_list("ticks"))).alias("ticks"))
+    many = restarts.where(F.col("n") > limit).select(*unit, F.lit("restarts").alias("fault"), "n", "ticks")
+    w = Window.partitionBy(*unit).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    falls = numbered.withColumn("_top", F.max("round_raw").over(w)).where("round_raw <= _top")
+    fall = falls.groupBy(*unit).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("at")).alias("ticks")).select(*unit, F.lit("order").alias("fault"), "n", "ticks")
+    return jump.unionByName(many).unionByName(fall)
+
+
+def checked_rounds(numbered: DataFrame, unit: list[str], limit: int = MAX_RESTARTS) -> DataFrame:
+    """Numbered segments; a unit with a fault fails the job, with its fault and ticks in the error."""
+    faults = round_faults(numbered, unit, limit).groupBy(*unit).agg(F.min(F.concat("fault", F.lit(" at "), F.array_join(F.col("ticks").cast("array<string>"), ", "))).alias("_fault"))
+    joined = numbered.join(faults, unit, "left")
+    return joined.withColumn("round_raw", F.when(F.col("_fault").isNull(), F.col("round_raw")).otherwise(F.raise_error(F.col("_fault")).cast("int"))).drop("_fault")
+
+
 def assign_sides(players: DataFrame, unit: str, order: str, side: str = "side", player: str = "player_id") -> DataFrame:
     """(unit, order, first_side): the side of the lineup that began as T, for every segment of a unit.
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellmark.operators import anomalies as A
 from tellmark.operators import grids as H
+from tellmark.operators import report as Q
+from tellmark.operators import segments as S
 from tellmark.operators import spatial as X
 from tellmark.operators import throws as W
 from tellmark.operators.matching import grid_cells
 from tellmark.plans.catalogue import query
-from tellmark.plans.game import _SEEN, seen_of
+from tellmark.plans.game import _ROUNDS, _SEEN, rounds_of, seen_of
 from tellmark.session import shared_dir, table
+from tellmark.sources import generations as B
 
 # -- throws of many units, each by its own cloud --------------------------------
 
@@ -240,3 +243,113 @@ def anomaly_table(spark, sf_dir):
 def anomaly_coverage(spark, sf_dir):
     t = _rules(spark, sf_dir)
     return A.coverage(t["seen"], t["rounds"], A.held_by_t(t["own"], t["everyone"], ["day"], LIMITS), t["groups"], ["day"])
+
+
+# -- restarts and lost rounds between known numbers --------------------------------------
+
+_SEGMENTS = """e AS (SELECT user_id AS unit, event_id AS at_, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+ f AS (SELECT *, CASE WHEN event_type IN ('click', 'view') OR k % 5 = 1 THEN TRUE ELSE FALSE END AS known FROM e),
+ g AS (SELECT unit, at_, CASE WHEN known THEN CAST(sum(CASE WHEN known THEN 1 ELSE 0 END) OVER (PARTITION BY unit ORDER BY at_) + k // 13 AS INTEGER) END AS round, CASE WHEN event_type = 'purchase' AND k % 2 = 0 THEN at_ + 1 END AS end_tick, k FROM f),
+ b AS (SELECT *, max(CASE WHEN round IS NOT NULL THEN k END) OVER (PARTITION BY unit ORDER BY k) AS bk, min(CASE WHEN round IS NOT NULL THEN k END) OVER (PARTITION BY unit ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ak FROM g),
+ c AS (SELECT b.*, x.round AS br, y.round AS ar FROM b LEFT JOIN g x ON x.unit = b.unit AND x.k = bk LEFT JOIN g y ON y.unit = b.unit AND y.k = ak),
+ d AS (SELECT *, CASE WHEN round IS NULL AND bk IS NOT NULL AND ak IS NOT NULL THEN CASE WHEN max(CASE WHEN end_tick IS NOT NULL AND round IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY unit, bk) = 1 THEN 'resolved' WHEN ar = br + 1 THEN 'restart' ELSE 'jump' END END AS gap FROM c),
+ n AS (SELECT *, CAST(CASE WHEN round IS NOT NULL THEN round WHEN bk IS NULL AND ak IS NULL THEN k WHEN bk IS NULL THEN ar - (ak - k) WHEN ak IS NULL OR gap = 'resolved' THEN br + (k - bk) END AS INTEGER) AS round_raw FROM d)"""
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("unit"), F.col("event_id").alias("at"), "event_type")
+    w = Window.partitionBy("unit").orderBy("at")
+    e = e.withColumn("k", F.row_number().over(w)).withColumn("known", F.col("event_type").isin("click", "view") | (F.col("k") % 5 == 1))
+    number = F.sum(F.col("known").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.expr("k div 13")
+    end = F.when((F.col("event_type") == "purchase") & (F.col("k") % 2 == 0), F.col("at") + 1)
+    return e.select("unit", "at", F.when(F.col("known"), number).cast("int").alias("round"), end.alias("end_tick"))
+
+
+@query(f"WITH {_SEGMENTS} SELECT unit, at_ AS \"at\", round_raw, gap FROM n")
+def numbered_rounds(spark, sf_dir):
+    return S.number_rounds(_segments(spark, sf_dir), ["unit"]).select("unit", "at", "round_raw", "gap")
+
+
+@query(f"WITH {_SEGMENTS} SELECT unit, any_value(br) AS before, any_value(ar) AS after, gap, CAST(count(*) AS BIGINT) AS segments, string_agg(at_, ',' ORDER BY at_) AS ticks FROM n WHERE gap IS NOT NULL GROUP BY unit, bk, gap")
+def round_gaps(spark, sf_dir):
+    gaps = S.round_gaps(S.number_rounds(_segments(spark, sf_dir), ["unit"]), ["unit"])
+    return gaps.withColumn("ticks", F.array_join(F.col("ticks").cast("array<string>"), ","))
+
+
+@query(f"""WITH {_SEGMENTS}, j AS (SELECT unit, 'jump' AS fault, count(*) AS n FROM n WHERE gap = 'jump' GROUP BY unit, bk), r AS (SELECT unit, 'restarts' AS fault, count(*) AS n FROM n WHERE gap = 'restart' GROUP BY unit HAVING count(*) > 2),
+ t AS (SELECT *, max(round_raw) OVER (PARTITION BY unit ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM n), o AS (SELECT unit, 'order' AS fault, count(*) AS n FROM t WHERE round_raw <= top GROUP BY unit)
+ SELECT unit, fault, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS gaps FROM (SELECT * FROM j UNION ALL SELECT * FROM r UNION ALL SELECT * FROM o) GROUP BY 1, 2""")
+def round_faults(spark, sf_dir):
+    faults = S.round_faults(S.number_rounds(_segments(spark, sf_dir), ["unit"]), ["unit"], 2)
+    return faults.groupBy("unit", "fault").agg(F.sum("n").alias("n"), F.count("*").alias("gaps"))
+
+
+# -- checks between the levels of the report --------------------------------------------
+
+_CUBE = _ROUNDS + """, cu AS (SELECT map_name, side, round_type, CAST(grouping(map_name) * 4 + grouping(side) * 2 + grouping(round_type) AS INTEGER) AS level, count(*) AS rounds, count(DISTINCT map_demo_id) AS demos, count(DISTINCT match_id) AS matches,
+ count(*) FILTER (is_league) AS rounds_league, count(*) FILTER (NOT is_league) AS rounds_other, count(*) FILTER (is_league IS NULL) AS rounds_unknown, count(DISTINCT map_demo_id) FILTER (is_league) AS demos_league, count(DISTINCT map_demo_id) FILTER (NOT is_league) AS demos_other,
+ count(DISTINCT map_demo_id) FILTER (is_league IS NULL) AS demos_unknown FROM r WHERE round_type IS NOT NULL GROUP BY GROUPING SETS ((map_name, side, round_type), (map_name, side), (map_name), ())),
+ sp AS (SELECT map_name, side, round_type, level, rounds, demos + CASE WHEN level = 7 THEN 1 ELSE 0 END AS demos, CASE WHEN level = 3 AND map_name = 'map1' THEN 0 WHEN level = 1 AND side = 'CT' THEN matches + 100 ELSE matches END AS matches,
+ rounds_league + CASE WHEN level = 1 AND map_name = 'map2' AND side = 'T' THEN 1 ELSE 0 END AS rounds_league, rounds_other, rounds_unknown, demos_league, demos_other - CASE WHEN level = 7 THEN 1 ELSE 0 END AS demos_other, demos_unknown FROM cu)"""
+
+
+@query(f"WITH {_CUBE} SELECT map_name, side, round_type, level, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("rounds", "demos", "matches", *(f"{m}_{b}" for m in ("rounds", "demos") for b in Q.BUCKETS))) + " FROM cu")
+def bucketed_cube(spark, sf_dir):
+    return Q.bucketed_samples(rounds_of(spark, sf_dir))
+
+
+@query(f"""WITH {_CUBE}, ch AS (SELECT CASE level WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 3 THEN 7 END AS up, CASE WHEN level < 3 THEN map_name END AS mp, CASE WHEN level < 1 THEN side END AS sd, * EXCLUDE (level, side, map_name, round_type) FROM sp WHERE level < 7),
+ lg AS (SELECT up, mp, sd, u.name, sum(u.v) AS total, max(u.v) AS top FROM (SELECT up, mp, sd, unnest([{{'name': 'rounds', 'v': rounds}}, {{'name': 'rounds_league', 'v': rounds_league}}, {{'name': 'rounds_other', 'v': rounds_other}}, {{'name': 'rounds_unknown', 'v': rounds_unknown}}, {{'name': 'demos', 'v': demos}}, {{'name': 'demos_league', 'v': demos_league}}, {{'name': 'demos_other', 'v': demos_other}}, {{'name': 'demos_unknown', 'v': demos_unknown}}, {{'name': 'matches', 'v': matches}}]) AS u FROM ch) GROUP BY 1, 2, 3, 4),
+ ow AS (SELECT level, map_name, side, unnest([{{'name': 'rounds', 'v': rounds}}, {{'name': 'rounds_league', 'v': rounds_league}}, {{'name': 'rounds_other', 'v': rounds_other}}, {{'name': 'rounds_unknown', 'v': rounds_unknown}}, {{'name': 'demos', 'v': demos}}, {{'name': 'demos_league', 'v': demos_league}}, {{'name': 'demos_other', 'v': demos_other}}, {{'name': 'demos_unknown', 'v': demos_unknown}}, {{'name': 'matches', 'v': matches}}]) AS u FROM sp WHERE level > 0)
+ SELECT level, map_name, side, u.name AS measure, CAST(u.v AS BIGINT) AS claimed, CAST(CASE WHEN u.name = 'matches' THEN top ELSE total END AS BIGINT) AS least, CAST(total AS BIGINT) AS most
+ FROM ow JOIN lg ON up = level AND mp IS NOT DISTINCT FROM map_name AND sd IS NOT DISTINCT FROM side AND lg.name = u.name WHERE (u.name NOT LIKE 'demos%' OR level = 7) AND (u.v > total OR u.v < CASE WHEN u.name = 'matches' THEN top ELSE total END)""")
+def cube_faults(spark, sf_dir):
+    """The checks find what was spoiled, and nothing else."""
+    level, m, s = F.col("level"), F.col("map_name"), F.col("side")
+    cube = Q.bucketed_samples(rounds_of(spark, sf_dir))
+    spoiled = cube.withColumns({
+        "demos": F.col("demos") + F.when(level == 7, 1).otherwise(0), "demos_other": F.col("demos_other") - F.when(level == 7, 1).otherwise(0),
+        "matches": F.when((level == 3) & (m == "map1"), 0).when((level == 1) & (s == "CT"), F.col("matches") + 100).otherwise(F.col("matches")),
+        "rounds_league": F.col("rounds_league") + F.when((level == 1) & (m == "map2") & (s == "T"), 1).otherwise(0),
+    })
+    return Q.cube_faults(spoiled)
+
+
+_BARS = """br AS (SELECT o_custkey % 700 AS block, o_orderkey % 2 + 4 AS armed, CASE WHEN o_orderkey % 9 <> 0 THEN CASE WHEN o_orderkey % 14 < 13 THEN o_orderkey % 2 + 4 ELSE 0 END END AS armored FROM orders),
+ ln AS (SELECT block, 'armed' AS metric, armed AS v FROM br UNION ALL SELECT block, 'armored', armored FROM br), hs AS (SELECT block, metric, v, count(*) AS n FROM ln WHERE v IS NOT NULL GROUP BY ALL),
+ un AS (SELECT block, metric, count(*) FILTER (v IS NULL) AS unread FROM ln GROUP BY ALL)"""
+
+
+@query(f"""WITH {_BARS}, li AS (SELECT block, metric, list({{'c': v, 'n': n}} ORDER BY v) AS bars, any_value(unread) AS unread FROM hs JOIN un USING (block, metric) GROUP BY 1, 2),
+ st AS (SELECT *, len(bars) = 1 AND bars[1].c = 5 AND unread = 0 AS gone FROM li), pr AS (SELECT a.block, a.bars = b.bars AND a.unread = b.unread AS equal FROM li a JOIN li b ON a.block = b.block AND a.metric = 'armed' AND b.metric = 'armored'),
+ fl AS (SELECT st.*, coalesce(equal, FALSE) AND NOT gone AS equal, bool_and(gone) OVER (PARTITION BY st.block) AS nothing FROM st LEFT JOIN pr USING (block))
+ SELECT block, CASE WHEN equal THEN 'armed,armored' ELSE metric END AS metrics, array_to_string(list_transform(bars, lambda b: b.c || 'x' || b.n), ' ') AS bars, CAST(unread AS BIGINT) AS unread FROM fl
+ WHERE (NOT gone AND NOT (equal AND metric = 'armored')) OR (nothing AND metric = 'armed')""")
+def equipment_lines(spark, sf_dir):
+    k = F.col("o_orderkey")
+    side = k % 2 + 4
+    rounds = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 700).alias("block"), side.alias("armed"), F.when(k % 9 != 0, F.when(k % 14 < 13, side).otherwise(0)).alias("armored"))
+    long = rounds.unpivot(["block"], ["armed", "armored"], "metric", "v")
+    unread = long.groupBy("block", "metric").agg(F.count_if(F.col("v").isNull()).alias("unread"))
+    bars = long.where("v IS NOT NULL").groupBy("block", "metric", "v").agg(F.count("*").alias("n")).join(unread, ["block", "metric"])
+    lines = Q.equipment_lines(bars, ["block"], "metric", "v", "n", "unread", 5, ("armed", "armored"))
+    text = F.transform("bars", lambda b: F.concat(b["count"].cast("string"), F.lit("x"), b["n"].cast("string")))
+    return lines.select("block", F.array_join("metrics", ",").alias("metrics"), F.array_join(text, " ").alias("bars"), "unread")
+
+
+# -- what is to be made again ----------------------------------------------------------------
+
+
+@query("""WITH now AS (SELECT CAST(o_custkey AS VARCHAR) AS unit, CAST(count(*) AS VARCHAR) AS digest FROM orders WHERE o_custkey % 11 <> 3 GROUP BY 1),
+ was AS (SELECT CAST(o_custkey AS VARCHAR) AS unit, CAST(count(*) + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS digest, CASE WHEN o_custkey % 13 = 0 THEN 'old' ELSE 'p' END AS params, CASE WHEN o_custkey % 17 = 0 THEN 'failed' ELSE 'ok' END AS status FROM orders WHERE o_custkey % 7 <> 2 GROUP BY o_custkey)
+ SELECT coalesce(now.unit, was.unit) AS unit, CASE WHEN now.unit IS NULL THEN 'gone' WHEN was.unit IS NULL THEN 'new' WHEN status <> 'ok' THEN 'failed' WHEN params <> 'p' THEN 'params' ELSE 'digest' END AS reason
+ FROM now FULL JOIN was ON now.unit = was.unit WHERE now.unit IS NULL OR was.unit IS NULL OR status <> 'ok' OR params <> 'p' OR now.digest <> was.digest""")
+def stale_units(spark, sf_dir):
+    k = F.col("o_custkey")
+    counts = table(spark, sf_dir, "orders").groupBy(k).agg(F.count("*").alias("n"))
+    unit = k.cast("string").alias("unit")
+    now = counts.where(k % 11 != 3).select(unit, F.col("n").cast("string").alias("digest"))
+    was = counts.where(k % 7 != 2).select(
+        unit, (F.col("n") + F.when(k % 5 == 0, 1).otherwise(0)).cast("string").alias("digest"), F.when(k % 13 == 0, "old").otherwise("p").alias("params"), F.when(k % 17 == 0, "failed").otherwise("ok").alias("status")
+    )
+    return B.stale_units(now, was, "p")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellmark.operators.matching import overlaps
+from tellmark.sources.generations import publish, read
 
 TEAMS = (
     "generated_at string, teams array<struct<team_key: string, name: string, faction_ids: array<string>, roster: array<string>, "
@@ -51,18 +52,13 @@ def keys_like(keys: DataFrame, query: str, key: str) -> DataFrame:
 
 
 def write_indexes(matches: DataFrame, teams: DataFrame, path: str, stamp: str) -> None:
-    """Both index tables under one stamp; a write that stops between them leaves stamps that ``read_indexes`` refuses."""
-    for name, df in (("matches", matches), ("teams", teams)):
-        df.withColumn("generated_at", F.lit(stamp)).write.mode("overwrite").json(f"{path}/{name}")
+    """Both index tables as one generation: a write that stops between them leaves the old pair as it was."""
+    publish(matches.sparkSession, path, {"matches": matches, "teams": teams}, "json", generated_at=stamp)
 
 
 def read_indexes(spark: SparkSession, path: str, matches: str, teams: str) -> tuple[DataFrame, DataFrame]:
-    """Both index tables, of schemas ``matches`` and ``teams``; different stamps are an error."""
-    pair = [spark.read.schema(f"{schema}, generated_at string").json(f"{path}/{name}") for name, schema in (("matches", matches), ("teams", teams))]
-    stamps = [{r[0] for r in df.select("generated_at").distinct().limit(2).collect()} for df in pair]
-    if len(stamps[0] | stamps[1]) > 1:
-        raise ValueError(f"the indexes under {path} are of different runs")
-    return pair[0].drop("generated_at"), pair[1].drop("generated_at")
+    """Both index tables of the generation that counts, of schemas ``matches`` and ``teams``."""
+    return read(spark, path, "matches", matches), read(spark, path, "teams", teams)
 
 
 def read_teams(spark: SparkSession, path: str) -> DataFrame:
