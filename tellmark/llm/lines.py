@@ -1,14 +1,16 @@
 """Line dedup: lines within a few edits of an earlier line are removed, found by a segment-partition join.
 
-Two lines within ``edits`` edits agree in one of ``edits + 1`` segments of the
+How many edits two lines may be apart follows from the shorter one's length:
+one for every ``PER_EDIT`` code points, at most ``edits``. Two edits in a line of
+six digits would join most numbers with each other; below ``PER_EDIT`` code points
+equality alone decides.
+
+Two lines within e edits agree in one of e + 1 segments of the
 shorter one, up to a bounded shift. So every line goes into one index bucket per
 segment, and probes, for its own and each slightly shorter length, the buckets
 that a partner could be in. Buckets that two different lines reach get the
 texts, and a banded bit-parallel edit distance verifies every pair in them.
 
-Lines of at most ``edits`` code points have no segments, as any two of them are
-within the limit: for them equality alone decides.
-
 A task sends the keys of a line once, as long as it remembers the line; a second
 hash and the texts themselves tell lines of equal hash apart. A hot
 bucket is split into blocks and block pairs are compared, in tasks of their own;
@@ -30,6 +32,8 @@ from tellmark.llm.ragged import SLICE_BYTES, Texts, mix, slices, stream
 from tellmark.session import table
 
 EDITS = 2
+#: Code points of the shorter line for every edit that two lines may be apart.
+PER_EDIT = 8
 #: Lines of fewer code points, without blanks around, are left alone; every line with a word is considered.
 MIN_CHARS = 1
 #: Lines of a bucket that are compared in one task.
@@ -94,6 +98,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return known
 
 
+def allowed(size: int | np.ndarray, edits: int, per_edit: int) -> int | np.ndarray:
+    """Edits that a line of this size, the shorter one, may be apart from another."""
+    return np.minimum(edits, size // per_edit)
+
+
 def segments(size: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths (segment by line) of the edits + 1 segments of lines of these sizes, the last ones the longer."""
     parts = edits + 1
@@ -107,17 +116,18 @@ def shifts(i: int, delta: int, edits: int) -> range:
     return range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1)
 
 
-def bucket_keys(lines: Lines, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def bucket_keys(lines: Lines, edits: int, per_edit: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Key, line and role of all buckets: 16 times the segment, plus 0 for index and probe or 1 + difference of length for a probe."""
     sums, inverse = lines.prefixes()
     salt = stream(64, 77)
-    for delta in range(edits + 1):
+    for limit, delta in ((e, d) for e in range(1, edits + 1) for d in range(e + 1)):
         size = lines.size - delta
-        starts, lengths = segments(size, edits)
-        for i in range(edits + 1):
-            for shift in shifts(i, delta, edits):
+        own = (allowed(size, edits, per_edit) == limit) & (size > limit)
+        starts, lengths = segments(size, limit)
+        for i in range(limit + 1):
+            for shift in shifts(i, delta, limit):
                 begin = starts[i] + shift
-                fits = np.flatnonzero((begin >= 0) & (begin + lengths[i] <= lines.size) & (size > edits))
+                fits = np.flatnonzero((begin >= 0) & (begin + lengths[i] <= lines.size) & own)
                 a = lines.c_start[fits] + begin[fits]
                 b = a + lengths[i][fits]
                 content = (sums[b] - sums[a]) * inverse[a]
@@ -145,7 +155,7 @@ def _lines_out(min_chars: int):
     return run
 
 
-def _keys_out(min_chars: int, edits: int, groups: int):
+def _keys_out(min_chars: int, edits: int, per_edit: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = np.zeros(0, np.int64)  # lines that came twice
         for batch in batches:
@@ -158,7 +168,7 @@ def _keys_out(min_chars: int, edits: int, groups: int):
                 once = once[~again]
                 for name in ("c_start", "size", "h"):
                     setattr(lines, name, getattr(lines, name)[once])
-                found = list(bucket_keys(lines, edits))
+                found = list(bucket_keys(lines, edits, per_edit))
                 key = np.concatenate([k for k, _, _ in found])
                 if not len(key):
                     continue
@@ -273,26 +283,27 @@ def first_segment(x: str, y: str, edits: int) -> int:
     return -1
 
 
-def bucket_links(rows: list[tuple], edits: int, found: dict[int, list]) -> None:
+def bucket_links(rows: list[tuple], edits: int, per_edit: int, found: dict[int, list]) -> None:
     """Verify the pairs of one block pair: rows of (hashes, role, side, other side or -1, least of its class, line).
 
     Of a pair the shorter line, or that of smaller hash, is the segmented one;
     the pair counts in the bucket of the first segment that the other one holds.
     """
     for h, role, side, other, least, line in rows:
-        if role % 16:
+        limit = int(allowed(len(line), edits, per_edit))
+        if role % 16 or not limit:
             continue
         for g, _, side_g, _, least_g, line_g in rows:
-            if (other >= 0 and side == side_g) or (len(line), h) >= (len(line_g), g) or len(line_g) - len(line) > edits:
+            if (other >= 0 and side == side_g) or (len(line), h) >= (len(line_g), g) or len(line_g) - len(line) > limit:
                 continue
-            if near(line, line_g, edits) and first_segment(line, line_g, edits) == role // 16:
+            if near(line, line_g, limit) and first_segment(line, line_g, limit) == role // 16:
                 for me, partner in ((h, least_g), (g, least)):
                     entry = found.setdefault(me, [0, partner])
                     entry[0] += 1
                     entry[1] = min(entry[1], partner)
 
 
-def _links_out(edits: int):
+def _links_out(edits: int, per_edit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, rows, found = None, [], {}
 
@@ -314,12 +325,12 @@ def _links_out(edits: int):
             columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "h", "h2", "role", "side", "other", "id", "no", "line")]
             for key, low, high, h, h2, role, side, other, d, no, line in zip(*columns, strict=True):
                 if (key, low, high) != bucket:
-                    bucket_links(rows, edits, found)
+                    bucket_links(rows, edits, per_edit, found)
                     bucket, rows = (key, low, high), []
                     if len(found) > 10_000:
                         yield out()
                 rows.append(((h, h2), role, side, other, (d, no), line))
-        bucket_links(rows, edits, found)
+        bucket_links(rows, edits, per_edit, found)
         yield out()
 
     return run
@@ -335,12 +346,13 @@ def _key(id_col: Column, text: Column) -> list[Column]:
 
 
 def line_verdicts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, per_edit: int = PER_EDIT
 ) -> DataFrame:
     """One row per considered line: id (null as the largest long), sub (not 0 without an id), no (from 0), h, n_links and removed.
 
-    ``n_links`` is the number of different lines of the whole table within
-    ``edits`` edits of it, where both have more than ``edits`` code points;
+    ``n_links`` is the number of different lines of the whole table that are near
+    it: within one edit for every ``per_edit`` code points of the shorter line, at
+    most ``edits``;
     ``removed`` says that an equal or linked line stands earlier, by (id, no).
     Blanks around a line don't count.
     """
@@ -350,7 +362,7 @@ def line_verdicts(
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(16, -(-total // 20_000_000))
     members = stored(
-        slim.select("text").mapInArrow(_keys_out(min_chars, edits, groups), "grp long, keys binary, lines binary, roles binary")
+        slim.select("text").mapInArrow(_keys_out(min_chars, edits, per_edit, groups), "grp long, keys binary, lines binary, roles binary")
         .groupBy("grp")
         .applyInArrow(_shared_buckets, "key long, h long, role int, n long")
     )
@@ -378,7 +390,7 @@ def line_verdicts(
         .select("key", "low", "high", "h", "h2", "role", "side", "other", "id", "no", "line")
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
-        .mapInArrow(_links_out(edits), "h long, h2 long, n_links long, id long, no long")
+        .mapInArrow(_links_out(edits, per_edit), "h long, h2 long, n_links long, id long, no long")
         .groupBy("h", "h2")
         .agg(F.sum("n_links").alias("n_links"), F.min(F.struct("id", "no")).alias("partner"))
     )
@@ -421,7 +433,7 @@ def _cleaned(text: str, min_chars: int):
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, per_edit: int = PER_EDIT
 ) -> DataFrame:
     """The rows of ``docs`` with the text less the removed lines, and n_lines, n_removed and n_links at the end.
 
@@ -434,7 +446,7 @@ def dedup_lines(
     columns stay, but those named n_lines, n_removed or n_links are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "n_links")
-    verdicts = line_verdicts(docs, id_col, text_col, edits, min_chars)
+    verdicts = line_verdicts(docs, id_col, text_col, edits, min_chars, per_edit)
     per = verdicts.groupBy(F.col("id").alias("_id"), F.col("sub").alias("_sub")).agg(
         F.count("*").alias("n_lines"),
         F.count_if("removed").alias("n_removed"),

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,7 +39,7 @@ def test_segments_never_miss_a_near_line(a, changes):
         assert L.first_segment(x, y, 2) >= 0
 
 
-def brute(rows, edits, min_chars):
+def brute(rows, edits, min_chars, per_edit=8):
     key = lambda d: float("inf") if d is None else d
     found = []
     for d, text in rows:
@@ -48,7 +49,7 @@ def brute(rows, edits, min_chars):
                 found.append((key(d), no, s))
     texts = sorted({s for *_, s in found})
     least = {s: min((d, n) for d, n, t in found if t == s) for s in texts}
-    near = {s: [t for t in texts if t != s and abs(len(s) - len(t)) <= edits and distance(s, t) <= edits] for s in texts}
+    near = {s: [t for t in texts if t != s and abs(len(s) - len(t)) <= edits and distance(s, t) <= min(edits, min(len(s), len(t)) // per_edit)] for s in texts}
     out = []
     for d, text in rows:
         n = gone = links = 0
@@ -69,7 +70,7 @@ def brute(rows, edits, min_chars):
 
 def test_small_cases_match_brute_force(spark, monkeypatch):
     rng = random.Random(11)
-    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(9, 14))) for _ in range(12)]
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(7, 20))) for _ in range(14)]
 
     def line():
         s = list(rng.choice(base))
@@ -80,11 +81,11 @@ def test_small_cases_match_brute_force(spark, monkeypatch):
     rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 6)))) for i in range(60)]
     rows += [(None, rows[3][1]), (None, None), (100, None), (101, ""), (102, "short\n\n " + base[0]), (103, base[1] * 400)]
     df = spark.createDataFrame([Row(ID=d, C0=5, body=t, _gone=1) for d, t in rows])
-    for block in (256, 4):
+    for block, per in ((256, 8), (4, 8), (256, 3)):
         monkeypatch.setattr(L, "BLOCK", block)
-        got = L.dedup_lines(df, "ID", "body", 2, 8)
+        got = L.dedup_lines(df, "ID", "body", 2, 8, per)
         assert got.columns == ["ID", "C0", "body", "_gone", "n_lines", "n_removed", "n_links"]
-        assert sorted(((r.ID, r.n_lines, r.n_removed, r.n_links, r.body) for r in got.collect()), key=str) == sorted(brute(rows, 2, 8), key=str)
+        assert sorted(((r.ID, r.n_lines, r.n_removed, r.n_links, r.body) for r in got.collect()), key=str) == sorted(brute(rows, 2, 8, per), key=str)
     assert L.dedup_lines(df.limit(0), "ID", "body").count() == 0
     twice = spark.createDataFrame([Row(doc_id=1, text=base[0])] * 2 + [Row(doc_id=1, text="other\n" + base[0])])
     assert sorted(r.n_removed for r in L.dedup_lines(twice, min_chars=8).collect()) == [1, 1, 1]
@@ -110,7 +111,7 @@ def test_query_matches_brute_force_on_the_whole_table(spark):
         for b in texts[i + 1 :]:
             if len(b) - len(a) > 2:
                 break
-            pairs += L.near(a, b, 2)
+            pairs += L.near(a, b, min(2, len(a) // 8))
     assert pairs == 0 or linked
 
 
@@ -121,7 +122,7 @@ def test_short_lines_are_compared_too(spark):
     flat = [(d, no, x.strip(BLANKS)) for d, text in rows for no, x in enumerate(text.split("\n")) if x.strip(BLANKS)]
     texts = {s for *_, s in flat}
     least = {s: min((d, n) for d, n, t in flat if t == s) for s in texts}
-    near = {s: [t for t in texts if t != s and min(len(s), len(t)) > 2 and distance(s, t) <= 2] for s in texts}
+    near = {s: [t for t in texts if t != s and distance(s, t) <= min(2, min(len(s), len(t)) // 8)] for s in texts}
     want = {d: [0, 0, 0] for d, _ in rows}
     for d, no, s in flat:
         gone = min([least[s], *(least[t] for t in near[s])]) < (d, no)
@@ -129,3 +130,16 @@ def test_short_lines_are_compared_too(spark):
     got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: [r.n_lines, r.n_removed, r.n_links] for r in got} == want
     assert want[51][1] >= 2 and want[52][1] >= 2
+
+
+def test_many_different_short_lines_take_no_longer_than_long_ones(spark):
+    """100,000 numbers of six digits: two edits would join most of them, equality joins none."""
+    numbers = random.Random(1).sample(range(10**5, 10**6), 100_000)
+    rows = [(d, "\n".join(map(str, numbers[1000 * d : 1000 * (d + 1)]))) for d in range(100)] + [(200, str(numbers[5]) + "\nnew line")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_links) for r in L.dedup_lines(df).collect()}
+    took = time.perf_counter() - began
+    print(took)
+    assert got == {d: (1000, 0, 0) for d in range(100)} | {200: (2, 1, 0)}
+    assert took < 60
