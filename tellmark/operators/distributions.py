@@ -16,6 +16,12 @@ def count_of_counts(counts: DataFrame, by: list[str], count: str, also: dict[str
     return counts.groupBy(*by, count).agg(F.count("*").alias("n"), *more)
 
 
+def counts_with_matches(counts: DataFrame, by: list[str], count: str, match: str, newest: Column) -> DataFrame:
+    """How many units have each count per ``by``, of how many matches, and whether the newest match is among them (unknown: no)."""
+    recent = F.coalesce(F.bool_or(F.col(match).eqNullSafe(newest) & newest.isNotNull()), F.lit(False))
+    return count_of_counts(counts, by, count, {"matches": F.countDistinct(match), "in_newest": recent})
+
+
 def zero_filled(units: DataFrame, labels: DataFrame, seen: DataFrame, by: list[str], unit: list[str], label: list[str], count: str) -> DataFrame:
     """Every (unit, label) of one ``by`` group with its count, 0 where nothing was seen.
 

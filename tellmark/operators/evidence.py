@@ -193,6 +193,20 @@ def shown_points(rows: DataFrame, skipped: list[float], at: str = "sample_t_s")
     return rows.where(~F.coalesce(out, F.lit(False)))
 
 
+def of_lineups(rows: DataFrame, lineups: DataFrame, columns: list[str], key: str = "lineup_key") -> DataFrame:
+    """Rows in which any of the columns is one of the lineups; an unknown lineup (null) is none, and no row repeats."""
+    wanted = lineups.select(key).where(F.col(key).isNotNull()).distinct()
+    out, flags = rows, []
+    for k, c in enumerate(columns):
+        own = wanted.select(F.col(key).alias(f"_k{k}"), F.lit(True).alias(f"_in{k}"))
+        out = out.join(own, F.col(c) == F.col(f"_k{k}"), "left").drop(f"_k{k}")
+        flags.append(F.coalesce(F.col(f"_in{k}"), F.lit(False)))
+    some = flags[0]
+    for f in flags[1:]:
+        some = some | f
+    return out.where(some).drop(*(f"_in{k}" for k in range(len(columns))))
+
+
 def habits(anomalies: DataFrame, matches: int) -> DataFrame:
     """Unusual positions seen in enough different matches to be a habit."""
     return anomalies.where(F.col("matches") >= matches)

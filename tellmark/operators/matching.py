@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tellmark.functions.scalars import finite_point
 from tellmark.operators.clouds import nearest_cell
 
-__all__ = ["as_of", "assign_interval", "best_overlap", "grid_cells", "in_region", "look_back", "nearest_cell", "overlaps"]
+__all__ = ["as_of", "assign_interval", "best_overlap", "grid_cells", "in_region", "look_back", "nearest_cell", "overlaps", "overlaps_at_least", "prefix_pairs"]
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, take: list[str], tolerance: Column | None = None) -> DataFrame:
@@ -96,6 +96,42 @@ def overlaps(left: DataFrame, right: DataFrame, left_key: str, right_key: str, m
     return a.join(b, member).groupBy(left_key, right_key).agg(F.count("*").alias("common"))
 
 
+def prefix_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, member: str, least: int, share: int = 1024) -> DataFrame:
+    """(left_key, right_key): every pair of sets that may share ``least`` members, each once.
+
+    Members are ordered from rare to common. Two sets that share ``least`` members
+    share one of the first size - least + 1 of each, so only these are paired;
+    what all sets have stands last and pairs nothing. A member that many sets
+    still begin with is dealt over shares of about ``share`` right sets, each
+    with all its left ones. Sides have (key, member) without repeats and nulls.
+    """
+    holders = [s.groupBy(member).agg(F.count("*").alias(n)) for s, n in ((left, "_l"), (right, "_r"))]
+    # a member of one side only pairs nothing
+    cost = holders[0].join(holders[1], member).select(member, (F.col("_l") * F.col("_r")).alias("_cost"))
+    firsts = []
+    for s, key in ((left, left_key), (right, right_key)):
+        w = Window.partitionBy(key)
+        ranked = s.join(cost, member).withColumn("_size", F.count("*").over(w)).withColumn("_place", F.row_number().over(w.orderBy("_cost", member)))
+        firsts.append(ranked.where(F.col("_place") <= F.col("_size") - least + 1).select(key, member))
+    parts = firsts[1].groupBy(member).agg(F.ceil(F.count("*") / share).cast("int").alias("_parts"))
+    a = firsts[0].join(parts, member).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    b = firsts[1].join(parts, member).withColumn("_share", F.pmod(F.xxhash64(right_key), F.col("_parts")).cast("int")).drop("_parts")
+    return a.join(b, [member, "_share"]).select(left_key, right_key).distinct()
+
+
+def overlaps_at_least(left: DataFrame, right: DataFrame, left_key: str, right_key: str, member: str, least: int, share: int = 1024) -> DataFrame:
+    """(left_key, right_key, common) of the pairs of sets that share at least ``least`` members; null keys and members count for nothing.
+
+    Pairs come from ``prefix_pairs`` and are then counted whole.
+    """
+    if least < 1:
+        raise ValueError("pairs share at least one member")
+    a, b = (df.select(key, member).where(F.col(key).isNotNull() & F.col(member).isNotNull()).distinct() for df, key in ((left, left_key), (right, right_key)))
+    pairs = prefix_pairs(a, b, left_key, right_key, member, least, share)
+    both = pairs.join(a, left_key).join(b, [right_key, member], "left_semi")
+    return both.groupBy(left_key, right_key).agg(F.count("*").alias("common")).where(F.col("common") >= least)
+
+
 def best_overlap(pairs: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """The right set that shares most with each left set; null on a tie."""
     top = pairs.groupBy(left_key).agg(F.max("common").alias("common"))

@@ -164,6 +164,19 @@ def used_thresholds(classified: DataFrame, inputs: str, names: list[str]) -> Dat
     )
 
 
+def threshold_faults(classified: DataFrame, inputs: str, now: dict[str, int]) -> DataFrame:
+    """(name, fault, values): thresholds that rounds were not classified with alike or not as they are ``now``.
+
+    differs (several values; they are listed), stale (one, but not today's) or
+    missing (in no round). An empty table has no rounds, so all are missing.
+    """
+    flat = classified.agg(*(F.array_sort(F.collect_set(F.col(f"{inputs}.{n}").cast("long"))).alias(n) for n in now))
+    each = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(v).cast("long").alias("now"), F.col(n).alias("values")) for n, v in now.items()))
+    long = flat.select(F.explode(each).alias("t")).select("t.*")
+    fault = F.when(F.size("values") > 1, "differs").when(F.size("values") == 0, "missing").when(F.get("values", F.lit(0)) != F.col("now"), "stale")
+    return long.select("name", fault.alias("fault"), "values").where("fault IS NOT NULL")
+
+
 def weakest_source(rows: DataFrame, by: list[str], source: str, order: list[str]) -> DataFrame:
     """The least trustworthy source per ``by``; ``order`` names them from strong to weak, unknown ones are weakest."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(source))

@@ -117,6 +117,12 @@ def with_opponent(classified: DataFrame, unit: list[str], team: str) -> DataFram
     return classified.join(other, on, "left").drop(*(f"_{k}" for k in keys), "_team")
 
 
+def opponent_faults(classified: DataFrame, unit: list[str], team: str) -> DataFrame:
+    """(unit, round_no, teams, rows): rounds that ``with_opponent`` can't pair one to one, as a team has several rows or there are more than two teams."""
+    per = classified.groupBy(*unit, "round_no").agg(F.countDistinct(team).alias("teams"), F.count(team).alias("rows"))
+    return per.where((F.col("teams") > 2) | (F.col("rows") > F.col("teams")))
+
+
 def sample_ticks(rounds: DataFrame, seconds: list[float], rate: float) -> DataFrame:
     """One row per round and sample second up to the round's end: tick, sample_t_s and t_s from the anchor."""
     usable = rounds.where("freeze_end_tick IS NOT NULL AND end_tick IS NOT NULL AND freeze_end_tick <= end_tick")

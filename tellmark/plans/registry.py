@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellmark.plans import catalogue, game, holdings, telemetry, ways
+from tellmark.plans import catalogue, game, holdings, readings, telemetry, ways
 
-assert game and holdings and telemetry and ways  # their import registers their queries
+assert game and holdings and readings and telemetry and ways  # their import registers their queries
 
 flagship = catalogue.flagship
 

@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellmark.operators.matching import overlaps
+from tellmark.operators.matching import overlaps_at_least
 from tellmark.sources.generations import publish, read
 
 TEAMS = (
@@ -78,10 +78,27 @@ def lineup_owners(teams: DataFrame, lineups: DataFrame, common: int) -> DataFram
 
     ``teams`` holds team_key and player_id, ``lineups`` lineup_key and player_id.
     """
-    pairs = overlaps(lineups, teams, "lineup_key", "team_key", "player_id").where(F.col("common") >= common)
+    pairs = overlaps_at_least(lineups, teams, "lineup_key", "team_key", "player_id", common)
     return pairs.groupBy("lineup_key").agg(F.array_sort(F.collect_list("team_key")).alias("owners")).withColumn("contested", F.size("owners") > 1)
 
 
+def candidate_lineups(lineups: DataFrame, classified: DataFrame, key: str = "lineup_key") -> DataFrame:
+    """The lineups that the archive has classified rounds of, each once; a null key is none."""
+    return lineups.select(key).where(F.col(key).isNotNull()).distinct().join(classified.select(key).distinct(), key, "left_semi")
+
+
+def report_keys(candidates: DataFrame, reported: DataFrame, by: list[str], key: str = "lineup_key") -> DataFrame:
+    """(by, key): the lineup that a team's report is under: the least that already has one, else the least."""
+    known = reported.select(key, F.lit(True).alias("_known")).distinct()
+    order = F.struct(F.coalesce(~F.col("_known"), F.lit(True)), F.col(key))
+    return candidates.join(known, key, "left").groupBy(*by).agg(F.min_by(key, order).alias(key))
+
+
+def lineups_left_out(candidates: DataFrame, covered: DataFrame, key: str = "lineup_key") -> DataFrame:
+    """Candidates that a report did not take in; a reader has to make their own."""
+    return candidates.join(covered.select(key).distinct(), key, "left_anti")
+
+
 def with_lineup_keys(teams: DataFrame, lineups: DataFrame, common: int, complete: bool) -> DataFrame:
     """Teams (team_key, roster, lineup_keys, ...) with the keys of the lineups they own, and changed.
 

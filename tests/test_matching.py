@@ -36,3 +36,20 @@ def test_as_of_ties_nulls_and_tolerance(spark):
 
     got = {(r.k, r.t): (r.right_t, r.right_v) for r in M.as_of(left, right, ["k"], "t", ["v"], F.lit(8)).collect()}
     assert got == {("a", 10): (10, 1), ("a", 20): (12, 2), ("b", 5): (None, None), (None, 10): (None, None)}
+
+
+def test_overlaps_of_sets_that_all_share_popular_members(spark):
+    rng = random.Random(6)
+    sets = lambda n, s: {f"{s}{i}": {"hot", "warm"} | set(rng.sample(range(60), 3)) for i in range(n)}
+    left, right = sets(120, "l"), sets(150, "r")
+    frame = lambda d, k: spark.createDataFrame([(i, str(m)) for i, ms in d.items() for m in ms] * 2 + [(None, "hot"), ("x", None)], f"{k} string, m string")
+    a, b = frame(left, "a"), frame(right, "b")
+    for least in (1, 3, 4):
+        want = {(i, j, len(left[i] & right[j])) for i in left for j in right if len({str(x) for x in left[i] & right[j]}) >= least}
+        for share in (1024, 7):
+            assert {tuple(r) for r in M.overlaps_at_least(a, b, "a", "b", "m", least, share).collect()} == want
+    sound = [df.dropna().distinct() for df in (a, b)]
+    met = M.prefix_pairs(*sound, "a", "b", "m", 3).count()
+    # all 18,000 pairs share the popular members; only those with a rare one in common are counted
+    print(met, len(want))
+    assert met < 120 * 150 / 4 and M.overlaps_at_least(a.limit(0), b, "a", "b", "m", 2).count() == 0
