@@ -75,16 +75,15 @@ def prefix_patterns(paths: DataFrame, group: list[str], unit: str, who: str, lea
 
 
 def without_subsumed(patterns: DataFrame, group: list[str], prefix: str, units: str) -> DataFrame:
-    """Drop a pattern that a longer one extends if its units are among the longer one's."""
-    names = {c: f"_l_{c}" for c in [*group, prefix, units]}
-    longer = patterns.select(*(F.col(c).alias(n) for c, n in names.items()))
+    """Drop a pattern that a longer one extends if its units are among the longer one's.
+
+    A longer pattern goes to each of its proper prefixes, so that patterns meet only those they begin.
+    """
+    names = {c: f"_l_{c}" for c in [*group, units]}
+    begins = F.explode(F.transform(F.sequence(F.lit(1), F.size(prefix) - 1), lambda n: F.slice(prefix, 1, n))).alias("_begin")
+    longer = patterns.where(F.size(prefix) > 1).select(*(F.col(c).alias(n) for c, n in names.items()), begins)
     on = [F.col(c).eqNullSafe(F.col(names[c])) for c in group]
-    on += [
-        F.element_at(prefix, 1) == F.element_at(names[prefix], 1),
-        F.size(names[prefix]) > F.size(prefix),
-        F.slice(names[prefix], F.lit(1), F.size(prefix)) == F.col(prefix),
-        F.size(F.array_except(units, names[units])) == 0,
-    ]
+    on += [F.col("_begin") == F.col(prefix), F.size(F.array_except(units, names[units])) == 0]
     return patterns.join(longer, on, "left_anti")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellmark.functions.scalars import seconds_bucket
-from tellmark.operators.distributions import presence_distribution, top_with_ties, zero_filled
+from tellmark.operators.distributions import presence_distribution, top_with_ties
 
 LEVELS = ["map_name", "side", "round_type"]
 
@@ -103,12 +103,18 @@ def unpaired(events: DataFrame) -> DataFrame:
 
 
 def throws_per_round(events: DataFrame, rounds: DataFrame) -> DataFrame:
-    """Per leaf and grenade type: how many rounds had how many throws, rounds without any included."""
+    """Per leaf and grenade type: how many rounds had how many throws, rounds without any included.
+
+    Rounds without a throw are those of the leaf less those seen; they are never made as rows.
+    """
     leaf = rounds.where("round_type IS NOT NULL").select("map_demo_id", "round_no", *LEVELS)
     thrown = events.where("event_kind = 'grenade_thrown'").select("map_demo_id", "round_no", "grenade_type").join(leaf, ["map_demo_id", "round_no"])
     seen = thrown.groupBy(*LEVELS, "map_demo_id", "round_no", "grenade_type").agg(F.count("*").alias("throws"))
-    full = zero_filled(leaf, seen.select(*LEVELS, "grenade_type").distinct(), seen, LEVELS, ["map_demo_id", "round_no"], ["grenade_type"], "throws")
-    return full.groupBy(*LEVELS, "grenade_type", "throws").agg(F.count("*").alias("n"))
+    some = seen.groupBy(*LEVELS, "grenade_type", "throws").agg(F.count("*").alias("n"))
+    rounds_of = leaf.distinct().groupBy(*LEVELS).agg(F.count("*").alias("_m"))
+    none = some.groupBy(*LEVELS, "grenade_type").agg(F.sum("n").alias("_n")).join(rounds_of, LEVELS)
+    zeros = none.select(*LEVELS, "grenade_type", F.lit(0).cast("long").alias("throws"), (F.col("_m") - F.col("_n")).alias("n")).where("n > 0")
+    return some.unionByName(zeros)
 
 
 def first_deaths(deaths: DataFrame, rounds: DataFrame) -> DataFrame:

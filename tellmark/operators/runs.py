@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,30 +53,38 @@ def contiguous_previous(df: DataFrame, by: list[str], number: str, same: list[st
     return df.withColumns({f"prev_{c}": F.when(ok, F.lag(c).over(w)) for c in take})
 
 
+#: Rows that one clamp function stands for.
+BLOCK = 256
+
+
 def clamped_counter(
     df: DataFrame, by: list[str], order: list[str], step: Column, low: int, high: int, start: int, name: str
 ) -> DataFrame:
     """The counter before each row: ``start``, then moved by ``step`` (null: not) and clamped after every row.
 
-    Clamping is no running sum, so the sorted rows of each ``by`` are walked once,
-    in batches that hand the counter on; a group of any size needs no more memory.
+    Clamping is no running sum, but a row of moves is one function again, min(high',
+    max(low', x + shift)), and two such functions make a third. So the sorted rows
+    of each ``by`` are cut into blocks of ``BLOCK``, each block becomes a function,
+    those of the blocks before give the value at its begin, and the block is walked
+    from there: expressions only, one shuffle. A row of a block holds the functions of
+    those before it, a group's rows over ``BLOCK``.
     """
     names = [f"c{i}" for i in range(len(df.columns))]
-    fresh = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
-    rows = df.select(*(F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True)), F.coalesce(step, F.lit(0)).cast("int").alias("_step"), fresh.alias("_fresh"))
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields, strict=True))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = start
-        for batch in batches:
-            before = []
-            for move, first in zip(batch.column("_step").to_pylist(), batch.column("_fresh").to_pylist(), strict=True):
-                value = start if first else value
-                before.append(value)
-                value = max(low, min(high, value + move))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(before, pa.int32())], [*names, "_counter"])
-
-    return rows.mapInArrow(walk, f"{kinds}, _counter int").toDF(*df.columns, name)
+    w = Window.partitionBy(*by).orderBy(*order)
+    row = F.struct(*(F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True)))
+    cut = df.select(*by, (F.row_number().over(w) - 1).alias("_k"), F.coalesce(step, F.lit(0)).cast("int").alias("_s"), row.alias("_row"))
+    sorted_rows = F.expr("array_sort(collect_list(struct(_k, _s, _row)), (a, b) -> a._k - b._k)")
+    blocks = cut.groupBy(*by, F.expr(f"_k div {BLOCK}").alias("_b")).agg(sorted_rows.alias("_rows"))
+    clamp = lambda x: f"greatest({low}L, least({high}L, {x}))"
+    wide = 1 << 40
+    moved = f"named_struct('lo', {clamp('f.lo + x._s')}, 'hi', {clamp('f.hi + x._s')}, 'shift', f.shift + x._s)"
+    function = F.expr(f"aggregate(_rows, named_struct('lo', -{wide}L, 'hi', {wide}L, 'shift', 0L), (f, x) -> {moved})")
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("_f", function).withColumn("_before", F.collect_list("_f").over(earlier))
+    at = placed.withColumn("_at", F.expr(f"aggregate(_before, {start}L, (v, f) -> greatest(f.lo, least(f.hi, v + f.shift)))"))
+    values = at.withColumn("_values", F.expr(f"aggregate(_rows, array(_at), (a, x) -> concat(a, array({clamp('element_at(a, -1) + x._s')})))"))
+    each = values.select(F.explode(F.expr("zip_with(_rows, slice(_values, 1, size(_rows)), (r, v) -> struct(r._row AS row, CAST(v AS INT) AS v))")).alias("e"))
+    return each.select("e.row.*", "e.v").toDF(*df.columns, name)
 
 
 def without_repeats(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

@@ -182,13 +182,12 @@ def stack_rule(spark, sf_dir):
     return X.stack_hits(seen, ["day"], groups, 10.0, 2)
 
 
-@query(f"""WITH {_SEEN}, f AS (SELECT *, extract(day FROM day) % 5 AS match FROM p WHERE sample_kind = 'first_contact' AND round_no = 0),
- w AS (SELECT count(DISTINCT day) AS m, count(DISTINCT match) AS matches_m FROM f)
- SELECT area, CAST(count(DISTINCT day) AS BIGINT) AS n, CAST(count(DISTINCT match) AS BIGINT) AS matches, bool_or(match = 3) AS newest, CAST(any_value(m) AS BIGINT) AS m, CAST(any_value(matches_m) AS BIGINT) AS matches_m FROM f, w WHERE is_alive GROUP BY 1""")
+@query(f"""WITH {_SEEN}, f AS (SELECT *, extract(day FROM day) % 5 AS match FROM p WHERE sample_kind = 'first_contact'),
+ w AS (SELECT count(DISTINCT (day, round_no)) AS m, count(DISTINCT match) AS matches_m FROM f)
+ SELECT area, CAST(count(DISTINCT (day, round_no)) AS BIGINT) AS n, CAST(count(DISTINCT match) AS BIGINT) AS matches, bool_or(match = 3) AS newest, CAST(any_value(m) AS BIGINT) AS m, CAST(any_value(matches_m) AS BIGINT) AS matches_m FROM f, w WHERE is_alive GROUP BY 1""")
 def first_contact_presence(spark, sf_dir):
     seen = seen_of(spark, sf_dir)
-    rounds = seen.where("round_no = 0").select("day", "round_no")
-    return V.first_contact_presence(seen, rounds, ["day", "round_no"], F.dayofmonth("day") % 5, F.lit(3))
+    return V.first_contact_presence(seen, seen.select("day", "round_no"), ["day", "round_no"], F.dayofmonth("day") % 5, F.lit(3))
 
 
 @query(f"""WITH {_SEEN}, u AS (SELECT DISTINCT day, round_no, sample_t_s FROM p WHERE sample_kind = 'time'), k AS (SELECT DISTINCT sample_t_s, area FROM live),
