@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellmark.operators.distributions import global_rank, most_frequent, null_dominant_max
-from tellmark.operators.matching import overlaps
+from tellmark.operators.matching import overlaps, prefix_pairs
+from tellmark.session import cut
 
 
 def factions(observations: DataFrame, key: str) -> DataFrame:
@@ -19,13 +20,40 @@ def factions(observations: DataFrame, key: str) -> DataFrame:
     )
 
 
+def near_groups(sets: DataFrame, common: int) -> DataFrame:
+    """(later, earlier, n): pairs of groups of one unit that share at least ``common`` members.
+
+    ``sets`` has unit, place (in the order) and member, without repeats.
+    """
+    of = lambda name: sets.select(F.struct("unit", "place").alias(name), F.struct("unit", "member").alias("m"))
+    later, earlier = of("later"), of("earlier")
+    pairs = prefix_pairs(later, earlier, "later", "earlier", "m", common).where("earlier.place < later.place")
+    met = pairs.join(later, "later").join(earlier, ["earlier", "m"], "left_semi")
+    return met.groupBy("later", "earlier").agg(F.count("*").alias("n")).where(F.col("n") >= common)
+
+
+#: Groups of a unit that are clustered in one row; more are clustered in rounds. Both ways give the same clusters.
+FOLD = 512
+
+
 def cluster_in_order(groups: DataFrame, by: list[str], key: str, members: str, order: str, common: int) -> DataFrame:
     """(by, key, cluster): each group, in order, joins the cluster whose first group shares most members, if at least ``common``.
 
-    The earlier cluster wins a tie, no cluster starts a new one. The order
-    matters and only first groups are compared, so this is a fold over the
-    ordered groups of each ``by``, not connected components.
+    The earlier cluster wins a tie, no cluster starts a new one. The order matters
+    and only first groups are compared, so this is a fold over the ordered groups
+    of each ``by``, not connected components. Leagues of at most ``FOLD`` groups are
+    folded in one row each; larger ones are clustered in rounds, and so never are
+    in one row or task.
     """
+    sized = cut(groups.select(*by, key, members, order).withColumn("_n", F.count("*").over(Window.partitionBy(*by))))
+    small = _folded(sized.where(F.col("_n") <= FOLD), by, key, members, order, common)
+    large = sized.where(F.col("_n") > FOLD)
+    if large.isEmpty():
+        return small
+    return small.unionByName(_in_rounds(large, by, key, members, order, common))
+
+
+def _folded(groups: DataFrame, by: list[str], key: str, members: str, order: str, common: int) -> DataFrame:
     row = F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(members).alias("m"))
     kind = dict(groups.dtypes)
     zero = F.struct(
@@ -45,6 +73,36 @@ def cluster_in_order(groups: DataFrame, by: list[str], key: str, members: str, o
     return folded.select(*by, F.explode(F.aggregate("_g", zero, step, lambda a: a["out"])).alias("x")).select(*by, F.col("x.k").alias(key), F.col("x.c").alias("cluster"))
 
 
+def _in_rounds(groups: DataFrame, by: list[str], key: str, members: str, order: str, common: int) -> DataFrame:
+    """The same clusters by rounds over pairs of near groups.
+
+    Groups meet those that share enough members through an index of members. A
+    group is first as soon as every earlier one near it is known to have joined
+    another, and joins as soon as one near it is first. In orders that have nothing
+    to do with the overlaps the rounds grow with the logarithm of the groups; they
+    are at most as many as the longest chain of groups near each other in order.
+    """
+    w = Window.partitionBy(*by).orderBy(order, key)
+    ranked = cut(groups.select(*by, key, members, F.struct(*by).alias("unit"), F.row_number().over(w).alias("place")))
+    sets = ranked.select("unit", "place", F.explode(members).alias("member")).where("member IS NOT NULL").distinct()
+    near = cut(near_groups(sets, common))
+    # is a group first? unknown while it isn't settled
+    waiting = near.select("later").distinct().select(F.col("later").alias("id"), F.lit(True).alias("_waits"))
+    state = ranked.select(F.struct("unit", "place").alias("id")).join(waiting, "id", "left").select("id", F.when(F.col("_waits").isNull(), True).alias("first"))
+    state = cut(state)
+    while not state.where("first IS NULL").isEmpty():
+        known = near.join(state.withColumnRenamed("id", "earlier"), "earlier")
+        told = known.groupBy(F.col("later").alias("id")).agg(F.coalesce(F.bool_or("first"), F.lit(False)).alias("_joins"), F.count_if(F.col("first").isNull()).alias("_open"))
+        settled = F.when(F.col("_joins"), False).when(F.col("_open") == 0, True)
+        state = cut(state.join(told, "id", "left").select("id", F.coalesce("first", settled).alias("first")))
+    heads = state.where("first").select(F.col("id").alias("earlier"))
+    taken = near.join(heads, "earlier").groupBy("later").agg(F.max_by("earlier.place", F.struct("n", (-F.col("earlier.place")).alias("p"))).alias("_of"))
+    joined = taken.join(state.where("NOT first").select(F.col("id").alias("later")), "later").select("later.unit", "later.place", "_of")
+    names = ranked.select(F.col("unit").alias("_unit"), F.col("place").alias("_place"), F.col(key).alias("cluster"))
+    out = ranked.join(joined, ["unit", "place"], "left").withColumn("_of", F.coalesce("_of", "place"))
+    return out.join(names, (F.col("unit") == F.col("_unit")) & (F.col("_of") == F.col("_place"))).select(*by, key, "cluster")
+
+
 def standing_teams(observations: DataFrame, by: list[str], common: int) -> DataFrame:
     """Teams with their standing rosters from observed lineups; one row per team.
 

@@ -82,3 +82,38 @@ def test_paths(spark):
     sets = spark.createDataFrame([("t", ["X"], [1, 2]), ("t", ["X", "Y"], [1, 2, 3]), ("t", ["Q"], [1]), ("u", ["X"], [1])], "team string, prefix array<string>, units array<int>")
     left = {(r.team, tuple(r.prefix)) for r in P.without_subsumed(sets, ["team"], "prefix", "units").collect()}
     assert left == {("t", ("X", "Y")), ("t", ("Q",)), ("u", ("X",))}
+
+
+def test_clusters_of_random_orders_match_the_fold_in_both_ways(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = []
+    for league in ("x", "y", None):
+        for k in range(60):
+            rows.append((league, f"k{k:02}", rng.sample(range(14), rng.randint(2, 6)), rng.randint(0, 25) if k % 9 else None))
+    rows.append(("z", "alone", [1, 2, 3], 1))
+    df = spark.createDataFrame(rows, "league string, key string, members array<int>, seen int")
+    for common, bound in ((2, 0), (3, 0), (3, 512)):
+        monkeypatch.setattr(T, "FOLD", bound)
+        want = {}
+        for league in ("x", "y", None, "z"):
+            heads = []
+            own = sorted((r for r in rows if r[0] == league), key=lambda r: (r[3] is not None, r[3] or 0, r[1]))  # nulls first
+            for _, key, members, _ in own:
+                shared = [(len(set(m) & set(members)), -i, h) for i, (h, m) in enumerate(heads)]
+                best = max(shared, default=(0, 0, None))
+                if best[0] >= common:
+                    want[league, key] = best[2]
+                else:
+                    heads.append((key, members))
+                    want[league, key] = key
+        got = {(r.league, r.key): r.cluster for r in T.cluster_in_order(df, ["league"], "key", "members", "seen", common).collect()}
+        assert got == want
+
+
+def test_a_large_league_is_clustered(spark):
+    groups = spark.range(30_000).select(
+        F.lit("one").alias("league"), F.col("id").alias("key"), F.xxhash64("id").alias("seen"),
+        F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.floor(F.col("id") / 3) * 5 + F.when(i == 4, F.pmod(F.xxhash64("id"), F.lit(1000)) + 10**7).otherwise(i)).alias("members"),
+    )
+    found = T.cluster_in_order(groups, ["league"], "key", "members", "seen", 4)
+    assert found.count() == 30_000 and found.select("cluster").distinct().count() == 10_000
