@@ -276,4 +276,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT doc_id, i, word, CASE WHEN count(*) OVER r = 13 THEN md5(array_to_string(list(word) OVER r, ' ')) END AS k FROM p WINDOW r AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+f AS (SELECT k, min(doc_id) AS first FROM g WHERE k IS NOT NULL GROUP BY 1),
+b AS (SELECT g.doc_id, g.i, g.word, coalesce(f.first < g.doc_id, FALSE) AS begins FROM g LEFT JOIN f ON f.k = g.k),
+c AS (SELECT doc_id, i, word, bool_or(begins) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM b),
+s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY 1)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)"""
+}

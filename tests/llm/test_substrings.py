@@ -2,9 +2,10 @@ import hashlib
 import re
 from collections import defaultdict
 
+import duckdb
 from pyspark.sql import Row
 
-from tellmark.llm.substrings import dedup_substrings, op5_substring_dedup
+from tellmark.llm.substrings import ORACLES, dedup_substrings, op5_substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,3 +60,11 @@ def test_whole_table_matches_brute_force(spark):
     want = {d: (n, g, hashlib.sha256(k.encode()).hexdigest()) for d, n, g, k in brute(rows, 13)}
     got = {r[0]: tuple(r[1:]) for r in op5_substring_dedup(spark, sf).collect()}
     assert got == want and any(g for _, g, _ in want.values())
+
+
+def test_query_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    want = con.sql(ORACLES["op5_substring_dedup"]).select(*names).fetchall()
+    assert sorted(map(tuple, op5_substring_dedup(spark, "/root/testdata/sf0.01").select(*names).collect())) == sorted(want)
