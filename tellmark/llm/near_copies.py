@@ -375,4 +375,17 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, w, md5(array_to_string(w, ' ')) AS t FROM w), u AS (SELECT t, any_value(w) AS w, count(*) AS n, min(doc_id) AS least FROM d GROUP BY 1),
+p AS (SELECT t, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM u),
+x AS (SELECT t, CASE WHEN count(*) OVER r = 5 THEN array_to_string(list(word) OVER r, ' ') END AS k FROM p WINDOW r AS (PARTITION BY t ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+g AS (SELECT DISTINCT t, md5(k) AS k FROM x WHERE k IS NOT NULL), z AS (SELECT t, count(*) AS size FROM g GROUP BY 1),
+b AS (SELECT a.t AS a, c.t AS c, count(*) AS shared FROM g a JOIN g c ON a.k = c.k AND a.t < c.t GROUP BY 1, 2),
+l AS (SELECT a, c FROM b JOIN z za ON za.t = a JOIN z zc ON zc.t = c WHERE 10 * shared >= 8 * (za.size + zc.size - shared)),
+e AS (SELECT a, c FROM l UNION ALL SELECT c, a FROM l),
+r AS (SELECT t, t AS o FROM u UNION SELECT r.t, e.c FROM r JOIN e ON e.a = r.o),
+c AS (SELECT r.t, min(u.least) AS class_id FROM r JOIN u ON u.t = r.o GROUP BY 1), n AS (SELECT a AS t, count(*) AS links FROM e GROUP BY 1)
+SELECT d.doc_id, class_id, CAST(u.n AS BIGINT) AS n_copies, CAST(coalesce(links, 0) AS BIGINT) AS n_links FROM d JOIN u USING (t) JOIN c USING (t) LEFT JOIN n USING (t)"""
+}

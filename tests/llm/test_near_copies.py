@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 from pyspark.sql import Row
 
@@ -107,3 +108,11 @@ def test_components(spark):
                 label[u] = label[v] = min(label[u], label[v])
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == label
+
+
+def test_query_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    names = ["doc_id", "class_id", "n_copies", "n_links"]
+    want = con.sql(N.ORACLES["op7_ngram_jaccard_join"]).select(*names).fetchall()
+    assert sorted(map(tuple, N.op7_ngram_jaccard_join(spark, "/root/testdata/sf0.01").select(*names).collect())) == sorted(want)
