@@ -187,15 +187,14 @@ _SETS = """WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)"""
 def best_overlap(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
     mine = table(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey")
-    return M.best_overlap(M.overlaps(mine, li, "o_custkey", "l_suppkey", "l_partkey"), "o_custkey", "l_suppkey")
+    return M.best_overlap(mine, li, "o_custkey", "l_suppkey", "l_partkey")
 
 
 @query(_SETS + """ SELECT a.l_suppkey AS one, b.l_suppkey AS other, CAST(count(*) AS BIGINT) AS common FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey
  GROUP BY 1, 2 HAVING count(*) >= 3""")
 def overlap_pairs(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
-    pairs = M.overlaps(li.withColumnRenamed("l_suppkey", "one"), li.withColumnRenamed("l_suppkey", "other"), "one", "other", "l_partkey")
-    return pairs.where("one < other AND common >= 3")
+    return M.overlaps_at_least(li.withColumnRenamed("l_suppkey", "one"), li.withColumnRenamed("l_suppkey", "other"), "one", "other", "l_partkey", 3, above=True)
 
 
 @query("SELECT l_orderkey, CASE WHEN count(DISTINCT l_linestatus) = 1 AND count(*) = count(l_linestatus) THEN min(l_linestatus) END AS status FROM lineitem GROUP BY 1")

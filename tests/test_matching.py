@@ -53,3 +53,21 @@ def test_overlaps_of_sets_that_all_share_popular_members(spark):
     # all 18,000 pairs share the popular members; only those with a rare one in common are counted
     print(met, len(want))
     assert met < 120 * 150 / 4 and M.overlaps_at_least(a.limit(0), b, "a", "b", "m", 2).count() == 0
+
+
+def test_rare_pairs_are_counted_in_cells_and_not_sent_each(spark, monkeypatch):
+    from tellmark.operators import overlaps as O
+
+    monkeypatch.setattr(O, "CELL", 500)
+    monkeypatch.setattr(O, "HOT", 200)
+    rng = random.Random(8)
+    sets = lambda n: {i: set(rng.sample(range(40), rng.randint(1, 12))) for i in range(n)}
+    left, right = sets(60), sets(50)
+    frame = lambda d, k: spark.createDataFrame([(i, m) for i, ms in d.items() for m in ms], f"{k} int, m int")
+    a, b = frame(left, "a"), frame(right, "b")
+    want = {(i, j, len(left[i] & right[j])) for i in left for j in right if len(left[i] & right[j]) >= 3}
+    found = M.overlaps_at_least(a, b, "a", "b", "m", 3)
+    assert {tuple(r) for r in found.collect()} == want
+    # no join of pairs with their members: the only joined rows are lists of right sets
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "LeftSemi" not in plan
