@@ -140,13 +140,13 @@ def overlaps_at_least(left: DataFrame, right: DataFrame, left_key: str, right_ke
     a, b = O.sets(left, left_key, member), O.sets(right, right_key, member)
     size = O.meetings(a, b, left_key, member)
     if least == 1 or size[0] <= FEW:
-        return O.pairs(a, b, left_key, right_key, member, least, above, size)
+        return O.pairs(a, b, left_key, right_key, member, least, int(above), size)
     first = [f.groupBy(member).agg(F.count("*").alias(n)) for f, n in zip(_firsts(a, b, left_key, right_key, member, least), ("_l", "_r"), strict=True)]
     mean = a.agg(F.count("*") / F.countDistinct(left_key)).first()[0]
     # a pair of the filter is sent, made one, and counted by its members
     filtered = first[0].join(first[1], member).agg(F.sum(F.col("_l").cast("double") * F.col("_r"))).first()[0] or 0
     if filtered * mean * 4 > size[0]:
-        return O.pairs(a, b, left_key, right_key, member, least, above, size)
+        return O.pairs(a, b, left_key, right_key, member, least, int(above), size)
     pairs = prefix_pairs(a, b, left_key, right_key, member, least, share)
     pairs = pairs.where(F.col(right_key) > F.col(left_key)) if above else pairs
     both = pairs.join(a, left_key).join(b, [right_key, member], "left_semi")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Meetings (a member of a left set in a right set) of a cell, of one left set in a cell, of a pass within a cell, and right sets of an index row.
 CELL, HOT, PASS, ROW = 1 << 22, 1 << 24, 1 << 20, 1024
+#: Numbers of a matrix of members by right sets, and its products in the time of a meeting.
+TABLE, FASTER = 1 << 22, 1000
 
 
 def _codes(parts: list[pa.ChunkedArray]) -> tuple[list[np.ndarray], pa.Array]:
@@ -25,14 +27,17 @@ def _codes(parts: list[pa.ChunkedArray]) -> tuple[list[np.ndarray], pa.Array]:
     return np.split(numbers, np.cumsum([len(p) for p in parts])[:-1]), each.dictionary.take(pa.array(order))
 
 
-def _passes(left: pa.Table, index: pa.Table, above: bool) -> tuple[pa.Array, pa.Array, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Left keys, right keys, and (left number, right number, common) of the pairs that share a member; a left set is in one pass."""
+def _passes(left: pa.Table, index: pa.Table, side: int) -> tuple[pa.Array, pa.Array, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Left keys, right keys, and (left number, right number, common) of the pairs that share a member; a left set is in one pass.
+
+    ``side`` 1 keeps greater right keys, -1 smaller ones, 0 all.
+    """
     lists = index.column("_rights").combine_chunks()
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     flat = pa.chunked_array([lists.flatten()])
     (members, listed), _ = _codes([left.column("_member"), index.column("_met")])
-    (lefts, rights), keys = _codes([left.column("_left"), flat]) if above else ([None, None], None)
-    if not above:
+    (lefts, rights), keys = _codes([left.column("_left"), flat]) if side else ([None, None], None)
+    if not side:
         (lefts,), left_keys = _codes([left.column("_left")])
         (rights,), right_keys = _codes([flat])
     else:
@@ -57,21 +62,39 @@ def _passes(left: pa.Table, index: pa.Table, above: bool) -> tuple[pa.Array, pa.
             at, n = upto, length[rows]
             place = np.repeat(begins[members[rows]] - np.cumsum(n) + n, n) + np.arange(n.sum())
             met, own = rights[place], np.repeat(lefts[rows], n)
-            if above:
-                met, own = met[met > own], own[met > own]
+            if side:
+                kept = (met - own) * side > 0
+                met, own = met[kept], own[kept]
             pairs = own * len(right_keys) + met
             pairs.sort()
             first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.empty(0, np.int64)
             yield pairs[first] // len(right_keys), pairs[first] % len(right_keys), np.diff(np.r_[first, len(pairs)])
 
-    return left_keys, right_keys, run()
-
-
-def _pairs(least: int, above: bool) -> Callable:
+    def dense() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        table = np.zeros((size, len(right_keys)), np.float32)
+        table[np.sort(owner), rights] = 1
+        step = max(1, PASS // max(size, len(right_keys)))
+        for at in range(0, len(heads), step):
+            rows = slice(heads[at], heads[at + step] if at + step < len(heads) else len(lefts))
+            own, row = np.unique(lefts[rows], return_inverse=True)
+            some = np.zeros((len(own), size), np.float32)
+            some[row, members[rows]] = 1
+            common = some @ table
+            a, b = np.nonzero(common)
+            n, a = common[a, b].astype(np.int64), own[a]
+            kept = (b - a) * side > 0 if side else slice(None)
+            yield a[kept], b[kept], n[kept]
+
+    # a product of matrices is less work where most members are in most sets
+    small = size * len(right_keys) <= TABLE and len(heads) * size * len(right_keys) < before[-1] * FASTER
+    return left_keys, right_keys, dense() if small else run()
+
+
+def _pairs(least: int, side: int) -> Callable:
     def run(left: pa.Table, index: pa.Table) -> pa.Table:
         if not left.num_rows or not index.num_rows:
             return pa.table({"_left": left.column("_left").slice(0, 0), "_right": index.column("_rights").combine_chunks().flatten().slice(0, 0), "common": pa.array([], pa.int64())})
-        left_keys, right_keys, passes = _passes(left, index, above)
+        left_keys, right_keys, passes = _passes(left, index, side)
         kept = [(a[n >= least], b[n >= least], n[n >= least]) for a, b, n in passes]
         a, b, n = (np.concatenate(c) for c in zip(*kept, strict=True))
         return pa.table({"_left": left_keys.take(pa.array(a)), "_right": right_keys.take(pa.array(b)), "common": pa.array(n, pa.int64())})
@@ -79,11 +102,18 @@ def _pairs(least: int, above: bool) -> Callable:
     return run
 
 
-def _best(left: pa.Table, index: pa.Table) -> pa.Table:
+def _best(side: int) -> Callable:
+    def run(left: pa.Table, index: pa.Table) -> pa.Table:
+        return _best_of(left, index, side)
+
+    return run
+
+
+def _best_of(left: pa.Table, index: pa.Table, side: int) -> pa.Table:
     if not left.num_rows or not index.num_rows:
         none = pa.array([], pa.int64())
         return pa.table({"_left": left.column("_left").slice(0, 0), "_right": index.column("_rights").combine_chunks().flatten().slice(0, 0), "common": none, "_n": none})
-    left_keys, right_keys, passes = _passes(left, index, False)
+    left_keys, right_keys, passes = _passes(left, index, side)
     out = []
     for a, b, n in passes:
         if len(a):
@@ -110,38 +140,45 @@ def meetings(a: DataFrame, b: DataFrame, left_key: str, member: str) -> tuple[in
     return found[0] or 0, found[1] or 0
 
 
-def counted(a: DataFrame, b: DataFrame, left_key: str, right_key: str, member: str, run: Callable, more: str, size: tuple[int, int]) -> DataFrame:
+def counted(a: DataFrame, b: DataFrame, left_key: str, right_key: str, member: str, run: Callable, more: str, size: tuple[int, int], unit: Callable | None = None) -> DataFrame:
     """``run`` over cells: left sets are dealt whole over shares, and a share gets its members' right sets as lists, each member once.
 
     So no pair is shuffled, only what a share looks up, and never more than the
     meetings. If one left set meets too many, right sets are dealt over slices too.
+    ``unit`` tells a left key's unit where members of one unit never are in sets of
+    another; a cell then holds one unit's sets only.
     """
     shares, slices = -(-size[0] // CELL) or 1, -(-size[1] // HOT) or 1
     dealt = a.select(F.col(left_key).alias("_left"), F.col(member).alias("_member"), F.pmod(F.xxhash64(left_key), F.lit(shares)).cast("int").alias("_share"))
+    dealt = dealt.withColumn("_unit", unit(F.col("_left")) if unit else F.lit(0))
     held = b.groupBy(member).agg(F.ceil(F.count("*") / ROW).cast("int").alias("_rows"))
     spread = F.pmod(F.xxhash64(right_key, F.lit(1)), F.col("_rows")).alias("_row")
     lists = b.join(held, member).select(F.col(member).alias("_member"), F.pmod(F.xxhash64(right_key), F.lit(slices)).cast("int").alias("_slice"), spread, F.col(right_key).alias("_right"))
     lists = lists.groupBy("_member", "_slice", "_row").agg(F.collect_list("_right").alias("_rights")).drop("_row")
-    index = dealt.select("_member", "_share").distinct().join(lists, "_member").select(F.col("_share").alias("_of"), F.col("_slice").alias("_part"), F.col("_member").alias("_met"), "_rights")
+    index = dealt.select("_member", "_share", "_unit").distinct().join(lists, "_member").select(F.col("_unit").alias("_in"), F.col("_share").alias("_of"), F.col("_slice").alias("_part"), F.col("_member").alias("_met"), "_rights")
     dealt = dealt.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     kinds = f"_left {a.schema[left_key].dataType.simpleString()}, _right {b.schema[right_key].dataType.simpleString()}, common long{more}"
-    return dealt.groupBy("_share", "_slice").cogroup(index.groupBy("_of", "_part")).applyInArrow(run, kinds)
+    return dealt.groupBy("_unit", "_share", "_slice").cogroup(index.groupBy("_in", "_of", "_part")).applyInArrow(run, kinds)
 
 
-def pairs(a: DataFrame, b: DataFrame, left_key: str, right_key: str, member: str, least: int, above: bool, size: tuple[int, int]) -> DataFrame:
-    """(left_key, right_key, common) of all pairs that share at least ``least`` members; with ``above`` only those whose right key is greater. A pair lies in one slice."""
-    return counted(a, b, left_key, right_key, member, _pairs(least, above), "", size).select(F.col("_left").alias(left_key), F.col("_right").alias(right_key), "common")
+def pairs(a: DataFrame, b: DataFrame, left_key: str, right_key: str, member: str, least: int, side: int, size: tuple[int, int], unit: Callable | None = None) -> DataFrame:
+    """(left_key, right_key, common) of all pairs that share at least ``least`` members; with ``side`` 1 only those whose right key is greater, with -1 smaller. A pair lies in one slice."""
+    return counted(a, b, left_key, right_key, member, _pairs(least, side), "", size, unit).select(F.col("_left").alias(left_key), F.col("_right").alias(right_key), "common")
 
 
-def best(left: DataFrame, right: DataFrame, left_key: str, right_key: str, member: str) -> DataFrame:
-    """(left_key, right_key, common): the right set that shares most with each left set that shares any; null on a tie.
+def firsts(a: DataFrame, b: DataFrame, left_key: str, right_key: str, member: str, side: int, unit: Callable | None = None) -> DataFrame:
+    """(_left, _top, _n, _right): how many members each left set shares at most, how many right sets share them, and the least of these.
 
-    A cell gives one row per left set, so that no pair leaves it.
+    Sides have (key, member) without repeats and nulls. A cell gives one row per left set, so that no pair leaves it.
     """
-    a, b = sets(left, left_key, member), sets(right, right_key, member)
-    found = counted(a, b, left_key, right_key, member, _best, ", _n long", meetings(a, b, left_key, member))
-    top = F.max("common").alias("_top")
-    every = F.collect_list(F.struct("common", "_n", "_right")).alias("_e")
-    each = found.groupBy("_left").agg(top, every).withColumn("_e", F.filter("_e", lambda x: x["common"] == F.col("_top")))
-    sole = (F.size("_e") == 1) & (F.col("_e")[0]["_n"] == 1)
-    return each.select(F.col("_left").alias(left_key), F.when(sole, F.col("_e")[0]["_right"]).alias(right_key), F.col("_top").alias("common"))
+    found = counted(a, b, left_key, right_key, member, _best(side), ", _n long", meetings(a, b, left_key, member), unit)
+    each = found.groupBy("_left").agg(F.max("common").alias("_top"), F.collect_list(F.struct("common", "_n", "_right")).alias("_e"))
+    at_top = F.filter("_e", lambda x: x["common"] == F.col("_top"))
+    n = F.aggregate(at_top, F.lit(0).cast("long"), lambda k, x: k + x["_n"])
+    return each.select("_left", "_top", n.alias("_n"), F.array_min(F.transform(at_top, lambda x: x["_right"])).alias("_right"))
+
+
+def best(left: DataFrame, right: DataFrame, left_key: str, right_key: str, member: str) -> DataFrame:
+    """(left_key, right_key, common): the right set that shares most with each left set that shares any; null on a tie."""
+    found = firsts(sets(left, left_key, member), sets(right, right_key, member), left_key, right_key, member, 0)
+    return found.select(F.col("_left").alias(left_key), F.when(F.col("_n") == 1, F.col("_right")).alias(right_key), F.col("_top").alias("common"))

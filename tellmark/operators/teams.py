@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tellmark.operators import overlaps as O
 from tellmark.operators.distributions import global_rank, most_frequent, null_dominant_max
-from tellmark.operators.matching import overlaps, prefix_pairs
+from tellmark.operators.matching import overlaps
 from tellmark.session import cut
 
 
@@ -20,20 +21,10 @@ def factions(observations: DataFrame, key: str) -> DataFrame:
     )
 
 
-def near_groups(sets: DataFrame, common: int) -> DataFrame:
-    """(later, earlier, n): pairs of groups of one unit that share at least ``common`` members.
-
-    ``sets`` has unit, place (in the order) and member, without repeats.
-    """
-    of = lambda name: sets.select(F.struct("unit", "place").alias(name), F.struct("unit", "member").alias("m"))
-    later, earlier = of("later"), of("earlier")
-    pairs = prefix_pairs(later, earlier, "later", "earlier", "m", common).where("earlier.place < later.place")
-    met = pairs.join(later, "later").join(earlier, ["earlier", "m"], "left_semi")
-    return met.groupBy("later", "earlier").agg(F.count("*").alias("n")).where(F.col("n") >= common)
-
-
 #: Groups of a unit that are clustered in one row; more are clustered in rounds. Both ways give the same clusters.
 FOLD = 512
+#: Bits of a group's place within its unit.
+PLACES = 40
 
 
 def cluster_in_order(groups: DataFrame, by: list[str], key: str, members: str, order: str, common: int) -> DataFrame:
@@ -74,33 +65,56 @@ def _folded(groups: DataFrame, by: list[str], key: str, members: str, order: str
 
 
 def _in_rounds(groups: DataFrame, by: list[str], key: str, members: str, order: str, common: int) -> DataFrame:
-    """The same clusters by rounds over pairs of near groups.
-
-    Groups meet those that share enough members through an index of members. A
-    group is first as soon as every earlier one near it is known to have joined
-    another, and joins as soon as one near it is first. In orders that have nothing
-    to do with the overlaps the rounds grow with the logarithm of the groups; they
-    are at most as many as the longest chain of groups near each other in order.
+    """The same clusters, without pairs of all groups: only first groups are compared with the others.
+
+    Groups come in batches, each as long as all before it. Those of a batch near a
+    first group of an earlier batch join; the others are paired among themselves. Of
+    these a group is first as soon as every earlier one near it is known to have
+    joined another, and joins as soon as one near it is first. At the end every group
+    that joins is compared with its unit's first groups. Groups of fewer than
+    ``common`` members are near none.
     """
     w = Window.partitionBy(*by).orderBy(order, key)
-    ranked = cut(groups.select(*by, key, members, F.struct(*by).alias("unit"), F.row_number().over(w).alias("place")))
-    sets = ranked.select("unit", "place", F.explode(members).alias("member")).where("member IS NOT NULL").distinct()
-    near = cut(near_groups(sets, common))
-    # is a group first? unknown while it isn't settled
-    waiting = near.select("later").distinct().select(F.col("later").alias("id"), F.lit(True).alias("_waits"))
-    state = ranked.select(F.struct("unit", "place").alias("id")).join(waiting, "id", "left").select("id", F.when(F.col("_waits").isNull(), True).alias("first"))
-    state = cut(state)
-    while not state.where("first IS NULL").isEmpty():
-        known = near.join(state.withColumnRenamed("id", "earlier"), "earlier")
-        told = known.groupBy(F.col("later").alias("id")).agg(F.coalesce(F.bool_or("first"), F.lit(False)).alias("_joins"), F.count_if(F.col("first").isNull()).alias("_open"))
-        settled = F.when(F.col("_joins"), False).when(F.col("_open") == 0, True)
-        state = cut(state.join(told, "id", "left").select("id", F.coalesce("first", settled).alias("first")))
-    heads = state.where("first").select(F.col("id").alias("earlier"))
-    taken = near.join(heads, "earlier").groupBy("later").agg(F.max_by("earlier.place", F.struct("n", (-F.col("earlier.place")).alias("p"))).alias("_of"))
-    joined = taken.join(state.where("NOT first").select(F.col("id").alias("later")), "later").select("later.unit", "later.place", "_of")
-    names = ranked.select(F.col("unit").alias("_unit"), F.col("place").alias("_place"), F.col(key).alias("cluster"))
-    out = ranked.join(joined, ["unit", "place"], "left").withColumn("_of", F.coalesce("_of", "place"))
-    return out.join(names, (F.col("unit") == F.col("_unit")) & (F.col("_of") == F.col("_place"))).select(*by, key, "cluster")
+    units = groups.select(*by).distinct().withColumn("_unit", F.row_number().over(Window.orderBy(*by)).cast("long")).withColumnsRenamed({c: f"_u_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_u_{c}")) for c in by]
+    numbered = groups.withColumn("_place", F.row_number().over(w)).join(F.broadcast(units), same)
+    ident = (F.shiftleft("_unit", PLACES) + F.col("_place")).alias("id")
+    ranked = cut(numbered.select(*by, key, ident, F.col("_place").alias("place"), F.array_distinct(F.filter(members, lambda m: m.isNotNull())).alias("_m")))
+    able = ranked.where(F.size("_m") >= max(common, 1))
+    sets = able.select("id", "place", F.explode("_m").alias("member"))
+    unit = lambda k: F.shiftright(k, PLACES)
+    # a member counts within its own unit only
+    m = F.concat_ws("\0", unit("id").cast("string"), F.col("member").cast("string")).alias("m")
+    left = lambda df: df.select(F.col("id").alias("later"), m)
+    right = lambda df: df.select(F.col("id").alias("earlier"), m)
+    last = able.agg(F.max("place")).first()[0] or 0
+    heads, low, high = None, 0, max(FOLD, 32)
+    while low < last:
+        batch = sets.where((F.col("place") > low) & (F.col("place") <= high))
+        if heads is not None:
+            near_old = O.firsts(left(batch), right(sets.join(heads, "id", "left_semi")), "later", "earlier", "m", -1, unit)
+            batch = batch.join(near_old.where(F.col("_top") >= common).select(F.col("_left").alias("id")), "id", "left_anti")
+        batch = cut(batch)
+        a, b = left(batch), right(batch)
+        near = cut(O.pairs(a, b, "later", "earlier", "m", common, -1, O.meetings(a, b, "later", "m"), unit))
+        # is a group first? unknown while it isn't settled
+        waiting = near.select(F.col("later").alias("id"), F.lit(True).alias("_waits")).distinct()
+        state = cut(batch.select("id").distinct().join(waiting, "id", "left").select("id", F.when(F.col("_waits").isNull(), True).alias("first")))
+        while not state.where("first IS NULL").isEmpty():
+            known = near.join(state.withColumnRenamed("id", "earlier"), "earlier")
+            told = known.groupBy(F.col("later").alias("id")).agg(F.coalesce(F.bool_or("first"), F.lit(False)).alias("_joins"), F.count_if(F.col("first").isNull()).alias("_open"))
+            settled = F.when(F.col("_joins"), False).when(F.col("_open") == 0, True)
+            state = cut(state.join(told, "id", "left").select("id", F.coalesce("first", settled).alias("first")))
+        fresh = state.where("first").select("id")
+        heads = cut(fresh if heads is None else heads.unionByName(fresh))
+        low, high = high, 2 * high
+    if heads is None:
+        return ranked.select(*by, key, F.col(key).alias("cluster"))
+    rest = left(sets.join(heads, "id", "left_anti"))
+    taken = O.firsts(rest, right(sets.join(heads, "id", "left_semi")), "later", "earlier", "m", -1, unit).select(F.col("_left").alias("id"), F.col("_right").alias("_of"))
+    names = ranked.select(F.col("id").alias("_of"), F.col(key).alias("cluster"))
+    out = ranked.join(taken, "id", "left").withColumn("_of", F.coalesce("_of", "id"))
+    return out.join(names, "_of").select(*by, key, "cluster")
 
 
 def standing_teams(observations: DataFrame, by: list[str], common: int) -> DataFrame:

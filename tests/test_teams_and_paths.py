@@ -117,3 +117,17 @@ def test_a_large_league_is_clustered(spark):
     )
     found = T.cluster_in_order(groups, ["league"], "key", "members", "seen", 4)
     assert found.count() == 30_000 and found.select("cluster").distinct().count() == 10_000
+
+
+def test_groups_of_a_crowded_league_are_not_paired_with_each_other(spark, monkeypatch):
+    from tellmark.operators import overlaps as O
+
+    paired = []
+    real = O.pairs
+    monkeypatch.setattr(O, "pairs", lambda a, b, *rest: paired.append(a.select("later").distinct().count()) or real(a, b, *rest))
+    monkeypatch.setattr(T, "FOLD", 32)
+    groups = spark.range(300).select(F.lit("one").alias("league"), F.col("id").alias("key"), F.col("id").alias("seen"), F.array(F.lit(1), F.lit(2), F.col("id") % 3 + 10).alias("members"))
+    found = T.cluster_in_order(groups, ["league"], "key", "members", "seen", 3)
+    assert {(r.cluster, r["count"]) for r in found.groupBy("cluster").count().collect()} == {(0, 100), (1, 100), (2, 100)}
+    # 32 of the first batch; all others are near a first group and meet no other group
+    assert sum(paired) == 32
