@@ -71,3 +71,21 @@ def test_rare_pairs_are_counted_in_cells_and_not_sent_each(spark, monkeypatch):
     # no join of pairs with their members: the only joined rows are lists of right sets
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" in plan and "LeftSemi" not in plan
+
+
+def test_best_set_is_found_in_the_cells_over_several_slices(spark, monkeypatch):
+    from tellmark.operators import overlaps as O
+
+    monkeypatch.setattr(O, "CELL", 500)
+    monkeypatch.setattr(O, "HOT", 60)
+    rng = random.Random(9)
+    sets = lambda n: {i: set(rng.sample(range(30), rng.randint(1, 10))) for i in range(n)}
+    left, right = sets(50), sets(40)
+    frame = lambda d, k: spark.createDataFrame([(i, m) for i, ms in d.items() for m in ms], f"{k} int, m int")
+    want = {}
+    for i, own in left.items():
+        top = max(len(own & s) for s in right.values())
+        at = [j for j, s in right.items() if len(own & s) == top]
+        want[i] = (at[0] if len(at) == 1 else None, top)
+    found = M.best_overlap(frame(left, "a"), frame(right, "b"), "a", "b", "m")
+    assert {r.a: (r.b, r.common) for r in found.collect()} == want
