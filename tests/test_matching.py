@@ -89,3 +89,11 @@ def test_best_set_is_found_in_the_cells_over_several_slices(spark, monkeypatch):
         want[i] = (at[0] if len(at) == 1 else None, top)
     found = M.best_overlap(frame(left, "a"), frame(right, "b"), "a", "b", "m")
     assert {r.a: (r.b, r.common) for r in found.collect()} == want
+
+
+def test_pairs_of_one_side_are_counted_once(spark):
+    rng = random.Random(10)
+    sets = {i: set(rng.sample(range(20), rng.randint(1, 8))) for i in range(40)}
+    df = spark.createDataFrame([(i, m) for i, ms in sets.items() for m in ms], "one int, m int")
+    found = M.overlaps_at_least(df, df.withColumnRenamed("one", "other"), "one", "other", "m", 2, above=True)
+    assert {tuple(r) for r in found.collect()} == {(i, j, len(sets[i] & sets[j])) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 2}
