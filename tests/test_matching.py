@@ -97,3 +97,23 @@ def test_pairs_of_one_side_are_counted_once(spark):
     df = spark.createDataFrame([(i, m) for i, ms in sets.items() for m in ms], "one int, m int")
     found = M.overlaps_at_least(df, df.withColumnRenamed("one", "other"), "one", "other", "m", 2, above=True)
     assert {tuple(r) for r in found.collect()} == {(i, j, len(sets[i] & sets[j])) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 2}
+
+
+def test_dense_sets_are_counted_by_products_and_give_the_same(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tellmark.operators import overlaps as O
+
+    rng = np.random.default_rng(11)
+    held = rng.random((70, 12)) < 0.7
+    a, m = np.nonzero(held)
+    left = pa.table({"_left": a, "_member": m})
+    index = pa.table({"_met": np.arange(12), "_rights": pa.array([np.flatnonzero(c).tolist() for c in held.T], pa.list_(pa.int64()))})
+    monkeypatch.setattr(O, "PASS", 400)
+    for side in (0, 1, -1):
+        found = []
+        for table in (0, 1 << 22):
+            monkeypatch.setattr(O, "TABLE", table)
+            found.append(O._pairs(3, side)(left, index).to_pylist())
+        assert found[0] == found[1] and found[0]
