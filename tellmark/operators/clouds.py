@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tellmark.functions.scalars import finite_point
 
 #: Points of a task, cells of a block, and numbers of a matrix of points by blocks.
-SHARD, BLOCK, MATRIX = 200_000, 32, 1 << 21
+SHARD, BLOCK, MATRIX = 20_000, 32, 1 << 18
 
 
 def _blocks(centres: np.ndarray) -> np.ndarray:
