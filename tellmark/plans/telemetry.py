@@ -43,11 +43,12 @@ def _throw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     g = g.select((k % UNITS).alias("unit"), (k * 8 + ln).alias("grenade_no"), p, s, "q", "f", "st", tick.alias("tick"), ln)
     number = lambda c: c.cast("double")
     names = [F.col("f").alias("grenade_type"), F.when(p % 23 != 0, s % 10).alias("thrower_id")]
-    thrown = g.select("unit", "grenade_no", F.lit(W.THROWN).alias("event_kind"), *names, "tick", number(p % 500).alias("x"), number(s * 7 % 500).alias("y"), number(ln * 40).alias("z"))
-    gone = g.where("st = 'F'").select(
-        "unit", "grenade_no", F.lit(W.DETONATED).alias("event_kind"), *names, (F.col("tick") + (F.col("q") * 10).cast("long")).alias("tick"),
-        F.when(p % 41 != 0, number(p * 3 % 700)).alias("x"), number(s * 11 % 700).alias("y"), number(p % 300).alias("z"),
-    )
+    # both events of a line come from one row, so that lines are grouped once for them
+    event = lambda kind, at, x, y, z: F.struct(F.lit(kind).alias("event_kind"), at.cast("long").alias("tick"), x.alias("x"), y.alias("y"), z.alias("z"))
+    thrown = event(W.THROWN, F.col("tick"), number(p % 500), number(s * 7 % 500), number(ln * 40))
+    gone = event(W.DETONATED, F.col("tick") + (F.col("q") * 10).cast("long"), F.when(p % 41 != 0, number(p * 3 % 700)), number(s * 11 % 700), number(p % 300))
+    each = F.explode(F.when(F.col("st") == "F", F.array(thrown, gone)).otherwise(F.array(thrown)))
+    endpoints = g.select("unit", "grenade_no", *names, each.alias("e")).select("unit", "grenade_no", "e.event_kind", "grenade_type", "thrower_id", "e.tick", "e.x", "e.y", "e.z")
     o = table(spark, sf_dir, "orders")
     r = F.col("o_orderkey") % 40
     windows = o.select((F.col("o_custkey") % UNITS).alias("unit"), r.alias("round_raw"), (r * 1000).alias("start_tick"), (r * 1000 + 799).alias("stop_tick")).distinct()
@@ -59,7 +60,7 @@ def _throw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     positions = g.where((p % 23 != 0) & (p % 7 != 0)).select("unit", "tick", (s % 10).alias("player_id"), area.alias("area"))
     k = F.col("p_partkey")
     cloud = table(spark, sf_dir, "part").where(k % UNITS != 3).select((k % UNITS).alias("unit"), (k * 13 % 20).alias("x"), (F.col("p_size") % 20).alias("y"), (k % 6).alias("z"), F.col("p_brand").alias("area"))
-    return {"endpoints": thrown.unionByName(gone), "windows": windows, "sides": sides, "lineups": lineups, "positions": positions, "cells": grid_cells(cloud, ["x", "y", "z"], 1, "area", ["unit"])}
+    return {"endpoints": endpoints, "windows": windows, "sides": sides, "lineups": lineups, "positions": positions, "cells": grid_cells(cloud, ["x", "y", "z"], 1, "area", ["unit"])}
 
 
 def _named(spark: SparkSession, sf_dir: str):

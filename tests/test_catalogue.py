@@ -44,3 +44,10 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_flagship(spark):
     assert registry.flagship(spark, SF).count() > 0
+
+
+def test_lines_are_scanned_once_for_both_events_of_a_throw(spark):
+    from tellmark.plans import telemetry
+
+    plan = telemetry._throw_tables(spark, SF)["endpoints"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Union" not in plan
