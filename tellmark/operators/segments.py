@@ -60,28 +60,28 @@ def number_rounds(segments: DataFrame, unit: list[str]) -> DataFrame:
     continue by one: its segments stay without a number), jump (no end, and a number
     is left out: a round was lost, nothing is guessed) or null outside of gaps.
     Before the first known number it is counted back, behind the last on; from 1
-    if none is known. All windows are within a unit.
+    if none is known. All windows are within a unit and in one order, so its rows are sorted once.
     """
     w = Window.partitionBy(*unit).orderBy("at")
-    whole = Window.partitionBy(*unit)
     known = F.col("round").isNotNull()
-    df = segments.withColumn("_k", F.row_number().over(w))
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    place = F.struct(F.col("round").alias("n"), F.col("_k").alias("k"))
+    # segments without a number that have an end, so far: a gap has one if these differ at its two sides
+    ends = F.sum((~known & F.col("end_tick").isNotNull()).cast("int")).over(back)
+    df = segments.withColumns({"_k": F.row_number().over(w), "_ends": ends})
+    place = F.struct(F.col("round").alias("n"), F.col("_k").alias("k"), F.col("_ends").alias("ends"))
     df = df.withColumn("_before", F.last(F.when(known, place), ignorenulls=True).over(back)).withColumn("_after", F.first(F.when(known, place), ignorenulls=True).over(ahead))
     inside = ~known & F.col("_before").isNotNull() & F.col("_after").isNotNull()
-    gap = Window.partitionBy(*unit, "_before")
-    ended = F.max(F.when(inside, F.col("end_tick").isNotNull())).over(gap)
+    ended = F.col("_after.ends") > F.col("_before.ends")
     continues = F.col("_after.n") == F.col("_before.n") + 1
     df = df.withColumn("gap", F.when(inside, F.when(ended, "resolved").when(continues, "restart").otherwise("jump")))
-    none = F.count("round").over(whole) == 0
+    none = F.col("_before").isNull() & F.col("_after").isNull()
     number = (
         F.when(known, F.col("round"))
         .when(none, F.col("_k"))
         .when(F.col("_before").isNull(), F.col("_after.n") - (F.col("_after.k") - F.col("_k")))
         .when(F.col("_after").isNull() | (F.col("gap") == "resolved"), F.col("_before.n") + (F.col("_k") - F.col("_before.k")))
     )
-    return df.withColumn("round_raw", number.cast("int")).drop("_k", "_before", "_after")
+    return df.withColumn("round_raw", number.cast("int")).drop("_k", "_ends", "_before", "_after")
 
 
 def round_gaps(numbered: DataFrame, unit: list[str]) -> DataFrame:
@@ -96,14 +96,14 @@ def round_gaps(numbered: DataFrame, unit: list[str]) -> DataFrame:
 
 def round_faults(numbered: DataFrame, unit: list[str], limit: int = MAX_RESTARTS) -> DataFrame:
     """(unit, fault, n, ticks): jumps, more restarts than ``limit``, and numbers that do not rise (a derived one collides)."""
-    gaps = round_gaps(numbered, unit)
-    jump = gaps.where("gap = 'jump'").select(*unit, F.lit("jump").alias("fault"), F.col("segments").alias("n"), "ticks")
-    restarts = gaps.where("gap = 'restart'").groupBy(*unit).agg(F.sum("segments").alias("n"), F.array_sort(F.flatten(F.collect_list("ticks"))).alias("ticks"))
-    many = restarts.where(F.col("n") > limit).select(*unit, F.lit("restarts").alias("fault"), "n", "ticks")
-    w = Window.partitionBy(*unit).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    falls = numbered.withColumn("_top", F.max("round_raw").over(w)).where("round_raw <= _top")
-    fall = falls.groupBy(*unit).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("at")).alias("ticks")).select(*unit, F.lit("order").alias("fault"), "n", "ticks")
-    return jump.unionByName(many).unionByName(fall)
+    w = Window.partitionBy(*unit).orderBy("at")
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = numbered.withColumns({"_top": F.max("round_raw").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_from": F.max(F.when(F.col("round").isNotNull(), F.col("at"))).over(back)})
+    # a segment of a jump or restart has no number, so none has two faults
+    fault = F.when(F.col("gap") == "jump", "jump").when(F.col("gap") == "restart", "restarts").when(F.col("round_raw") <= F.col("_top"), "order")
+    found = df.withColumn("fault", fault).where("fault IS NOT NULL").withColumn("_from", F.when(F.col("fault") == "jump", F.col("_from")))
+    each = found.groupBy(*unit, "fault", "_from").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("at")).alias("ticks"))
+    return each.where((F.col("fault") != "restarts") | (F.col("n") > limit)).select(*unit, "fault", "n", "ticks")
 
 
 def checked_rounds(numbered: DataFrame, unit: list[str], limit: int = MAX_RESTARTS) -> DataFrame:

@@ -14,7 +14,7 @@ from tellmark.operators import throws as W
 from tellmark.operators.matching import grid_cells
 from tellmark.plans.catalogue import query
 from tellmark.plans.game import _ROUNDS, _SEEN, rounds_of, seen_of
-from tellmark.session import shared_dir, table
+from tellmark.session import dealt, shared_dir, table
 from tellmark.sources import generations as B
 
 # -- throws of many units, each by its own cloud --------------------------------
@@ -259,6 +259,7 @@ _SEGMENTS = """e AS (SELECT user_id AS unit, event_id AS at_, event_type, row_nu
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("unit"), F.col("event_id").alias("at"), "event_type")
+    e = dealt(e, e.count(), "unit")
     w = Window.partitionBy("unit").orderBy("at")
     e = e.withColumn("k", F.row_number().over(w)).withColumn("known", F.col("event_type").isin("click", "view") | (F.col("k") % 5 == 1))
     number = F.sum(F.col("known").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.expr("k div 13")

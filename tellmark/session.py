@@ -28,6 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task where windows, joins and groups hold a whole partition.
+ROWS = 200_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, each: int = ROWS) -> DataFrame:
+    """``df`` hashed by ``keys`` over partitions of about ``each`` rows, ``rows`` in all, at least one for every core.
+
+    Sizes of compressed shuffles say little about what a task's sorts hold, so the
+    number of partitions follows the rows. Windows, groups and joins by ``keys`` or
+    more columns stay in these partitions.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, also set as checkpoint folder; a local one stands in only for a local master."""
     context = spark.sparkContext

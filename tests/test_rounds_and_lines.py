@@ -77,3 +77,9 @@ def test_named_events_and_what_they_lost(spark):
         ("a", 1, t): ("La", 1.0, "Yard", "observed"), ("a", 1, d): ("La", 17.0, "Pit", "point_cloud"), ("b", 1, t): ("Lb", 1.0, None, None), ("b", 1, d): ("Lb", 2.0, None, None),
     }
     assert seen.get == {"without_thrower": 1, "outside_rounds": 1, "unknown_side": 1, "unknown_type": 1, "throwers_without_row": 1, "detonating_after_round": 1, "events": 4}
+
+
+def test_round_faults_sort_a_unit_once(spark, capsys):
+    S.round_faults(numbers(spark, 1, None, 2), ["unit"]).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
