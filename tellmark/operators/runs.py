@@ -83,8 +83,9 @@ def clamped_counter(
     placed = blocks.withColumn("_f", function).withColumn("_before", F.collect_list("_f").over(earlier))
     at = placed.withColumn("_at", F.expr(f"aggregate(_before, {start}L, (v, f) -> greatest(f.lo, least(f.hi, v + f.shift)))"))
     values = at.withColumn("_values", F.expr(f"aggregate(_rows, array(_at), (a, x) -> concat(a, array({clamp('element_at(a, -1) + x._s')})))"))
-    each = values.select(F.explode(F.expr("zip_with(_rows, slice(_values, 1, size(_rows)), (r, v) -> struct(r._row AS row, CAST(v AS INT) AS v))")).alias("e"))
-    return each.select("e.row.*", "e.v").toDF(*df.columns, name)
+    each = values.select(*by, F.explode(F.expr("zip_with(_rows, slice(_values, 1, size(_rows)), (r, v) -> struct(r._row AS row, CAST(v AS INT) AS v))")).alias("e"))
+    # the group's own columns, so that what follows by them needs no other shuffle
+    return each.select(*(F.col(c) if c in by else F.col(f"e.row.{n}").alias(c) for c, n in zip(df.columns, names, strict=True)), F.col("e.v").alias(name))
 
 
 def without_repeats(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

@@ -18,7 +18,7 @@ from tellmark.operators import segments as T
 from tellmark.operators import spatial as X
 from tellmark.operators import teams as K
 from tellmark.plans.catalogue import events, query
-from tellmark.session import table
+from tellmark.session import dealt, table
 
 UNIT = ["map_demo_id", "round_no"]
 LEAF = Q.LEVELS
@@ -37,9 +37,11 @@ _ROUNDS = """o AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDE
 def rounds_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     price, state = F.col("o_totalprice"), F.col("o_orderstatus")
-    o = table(spark, sf_dir, "orders").withColumn("round_no", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
+    o = table(spark, sf_dir, "orders")
+    o = dealt(o.withColumn("map_demo_id", c.cast("string")), o.count(), "map_demo_id")
+    o = o.withColumn("round_no", F.row_number().over(Window.partitionBy("map_demo_id").orderBy("o_orderdate", "o_orderkey")))
     return o.select(
-        c.cast("string").alias("map_demo_id"), "round_no", "o_orderkey", F.when(F.col("round_no") <= 6, "T").otherwise("CT").alias("side"),
+        "map_demo_id", "round_no", "o_orderkey", F.when(F.col("round_no") <= 6, "T").otherwise("CT").alias("side"),
         F.when(state == "F", True).when(state == "O", False).alias("won"), F.when(k % 19 != 0, (k * 37 % 20000).cast("int")).alias("money_buy_end"),
         F.floor(price / 20).cast("int").alias("equip_buy_end"), F.floor(price / 60).cast("int").alias("equip_round_start"),
         F.when(k % 11 != 0, 5).alias("players_buy_end"), (k % 6).cast("int").alias("players_armed_buy_end"),

@@ -120,3 +120,15 @@ def test_contracts(spark):
             C.conform(bad, C.CLOUD)
     keys = spark.createDataFrame([(1, 1), (1, 1), (2, None)], "a int, b int")
     assert {tuple(r) for r in C.duplicate_keys(keys, ["a", "b"]).collect()} == {(1, 1, 2), (2, None, 1)}
+
+
+def test_rounds_of_orders_are_classified_in_one_shuffle_whose_partitions_follow_the_rows(spark, capsys, monkeypatch):
+    from tellmark import session
+    from tellmark.plans import game
+
+    game.classified_rounds(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1
+    rows = spark.range(1000)
+    assert session.dealt(rows, 1000, "id", each=10).rdd.getNumPartitions() == 100
+    assert session.dealt(rows, 1000, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
