@@ -208,7 +208,8 @@ _THROWS = _ROUNDS + """, g AS (SELECT l_orderkey, l_linenumber, min(l_returnflag
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+    li = table(spark, sf_dir, "lineitem")
+    g = dealt(li, li.count(), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"), F.min("l_quantity").alias("q"), F.min("l_suppkey").alias("k"), F.min("l_partkey").alias("pk")
     )
     return g.join(rounds_of(spark, sf_dir).select(*UNIT, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -217,17 +218,23 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def throws_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Throws, and detonations of those of an F line."""
     g = _lines(spark, sf_dir).withColumn("grenade_no", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    g = dealt(g, table(spark, sf_dir, "lineitem").count(), "map_demo_id", "grenade_no")
     row = lambda kind, letter, n: [*UNIT, "grenade_no", F.lit(kind).alias("event_kind"), F.col("f").alias("grenade_type"), F.concat(F.lit(letter), (F.col("k") % n).cast("string")).alias("area"), F.col("q").alias("t_s")]
     return g.select(*row("grenade_thrown", "A", 4)).unionByName(g.where("s = 'F'").select(*row("grenade_detonate", "T", 3)))
 
 
+def rounds_of_throws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds in as many partitions as their throws need, so that a join by round sends the throws to these."""
+    return dealt(rounds_of(spark, sf_dir), table(spark, sf_dir, "lineitem").count(), *UNIT)
+
+
 _BUCKET = "CASE WHEN t_s < 10 THEN '0-10' WHEN t_s < 30 THEN '10-30' ELSE '30+' END"
 _USES = _THROWS + f""", us AS (SELECT map_name, side, round_type, grenade_type, from_area, target, {_BUCKET} AS bucket, count(DISTINCT (map_demo_id, round_no)) AS n, count(*) AS throws FROM th WHERE round_type IS NOT NULL GROUP BY ALL)"""
 
 
 @query(f"WITH {_USES} SELECT map_name, side, round_type, grenade_type, from_area, target, bucket, CAST(n AS BIGINT) AS n, CAST(throws AS BIGINT) AS throws FROM us")
 def utility_uses(spark, sf_dir):
-    return Q.utility(throws_of(spark, sf_dir), rounds_of(spark, sf_dir), [10, 30])
+    return Q.utility(throws_of(spark, sf_dir), rounds_of_throws(spark, sf_dir), [10, 30])
 
 
 @query(f"""WITH {_USES}, lf AS (SELECT map_name, side, round_type, count(*) AS m FROM r WHERE round_type IS NOT NULL GROUP BY 1, 2, 3), x AS (SELECT us.*, m FROM us JOIN lf USING (map_name, side, round_type) WHERE target IS NOT NULL AND n >= greatest(1, least(2, m))),
@@ -235,7 +242,7 @@ def utility_uses(spark, sf_dir):
  SELECT map_name, side, round_type, target, from_area, bucket, grenade_type, CAST(n AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY map_name, side, round_type, grenade_type ORDER BY n DESC, target, from_area, bucket) AS INTEGER) AS line
  FROM (SELECT x.* FROM x JOIN k USING (map_name, side, round_type, target) WHERE rk <= 2)""")
 def utility_target_lines(spark, sf_dir):
-    rounds = rounds_of(spark, sf_dir)
+    rounds = rounds_of_throws(spark, sf_dir)
     m = rounds.where("round_type IS NOT NULL").groupBy(*LEAF).agg(F.count("*").alias("m"))
     uses = Q.utility(throws_of(spark, sf_dir), rounds, [10, 30]).join(m, LEAF)
     lines = V.target_lines(uses, LEAF, 2, 2)
@@ -251,14 +258,14 @@ _COUNTS = _THROWS + """, lf AS (SELECT map_name, side, round_type, map_demo_id,
 
 @query(f"WITH {_COUNTS} SELECT map_name, side, round_type, grenade_type, CAST(throws AS BIGINT) AS throws, CAST(n AS BIGINT) AS n FROM ct")
 def throws_histogram(spark, sf_dir):
-    return Q.throws_per_round(throws_of(spark, sf_dir), rounds_of(spark, sf_dir))
+    return Q.throws_per_round(throws_of(spark, sf_dir), rounds_of_throws(spark, sf_dir))
 
 
 @query(f"""WITH {_COUNTS}, y AS (SELECT *, sum(n) OVER (PARTITION BY map_name, side, round_type, grenade_type) AS m FROM ct)
  SELECT map_name, side, round_type, grenade_type, CAST(throws AS BIGINT) AS throws, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m,
  CAST(row_number() OVER (PARTITION BY map_name, side, round_type ORDER BY CASE grenade_type WHEN 'R' THEN 1 WHEN 'N' THEN 2 ELSE 3 END, throws DESC, grenade_type) AS INTEGER) AS line FROM y WHERE throws > 0 AND n >= greatest(1, least(3, m))""")
 def utility_count_lines(spark, sf_dir):
-    bars = Q.throws_per_round(throws_of(spark, sf_dir), rounds_of(spark, sf_dir))
+    bars = Q.throws_per_round(throws_of(spark, sf_dir), rounds_of_throws(spark, sf_dir))
     bars = bars.withColumn("m", F.sum("n").over(Window.partitionBy(*LEAF, "grenade_type")))
     return V.count_lines(bars, LEAF, ["R", "N"], 3)
 

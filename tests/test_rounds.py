@@ -132,3 +132,15 @@ def test_rounds_of_orders_are_classified_in_one_shuffle_whose_partitions_follow_
     rows = spark.range(1000)
     assert session.dealt(rows, 1000, "id", each=10).rdd.getNumPartitions() == 100
     assert session.dealt(rows, 1000, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_throws_meet_their_rounds_in_partitions_that_follow_the_throws(spark, capsys, monkeypatch):
+    import re
+    from functools import partial
+
+    from tellmark.plans import game
+
+    monkeypatch.setattr(game, "dealt", partial(game.dealt, each=100))
+    game.utility_uses(spark, "/root/testdata/sf0.001").explain()
+    by_round = re.findall(r"Exchange hashpartitioning\(map_demo_id#\d+, round_no#\d+, (\d+)\)", capsys.readouterr().out)
+    assert by_round and all(int(n) >= 50 for n in by_round)
