@@ -157,6 +157,9 @@ def counted(a: DataFrame, b: DataFrame, left_key: str, right_key: str, member: s
     lists = lists.groupBy("_member", "_slice", "_row").agg(F.collect_list("_right").alias("_rights")).drop("_row")
     index = dealt.select("_member", "_share", "_unit").distinct().join(lists, "_member").select(F.col("_unit").alias("_in"), F.col("_share").alias("_of"), F.col("_slice").alias("_part"), F.col("_member").alias("_met"), "_rights")
     dealt = dealt.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    # so many partitions that one sorts a few cells only
+    n = max(a.sparkSession.sparkContext.defaultParallelism, -(-shares * slices // 4))
+    dealt, index = dealt.repartition(n, "_unit", "_share", "_slice"), index.repartition(n, "_in", "_of", "_part")
     kinds = f"_left {a.schema[left_key].dataType.simpleString()}, _right {b.schema[right_key].dataType.simpleString()}, common long{more}"
     return dealt.groupBy("_unit", "_share", "_slice").cogroup(index.groupBy("_in", "_of", "_part")).applyInArrow(run, kinds)
 

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 from tellmark.operators import matching as M
 
@@ -117,3 +118,14 @@ def test_dense_sets_are_counted_by_products_and_give_the_same(monkeypatch):
             monkeypatch.setattr(O, "TABLE", table)
             found.append(O._pairs(3, side)(left, index).to_pylist())
         assert found[0] == found[1] and found[0]
+
+
+def test_cells_are_dealt_by_their_number(spark, capsys, monkeypatch):
+    from tellmark.operators import overlaps as O
+
+    monkeypatch.setattr(O, "CELL", 16)
+    df = spark.createDataFrame([(k, m) for k in range(60) for m in range(k % 7, k % 7 + 4)], "a int, m int")
+    found = M.best_overlap(df, df.withColumnRenamed("a", "b"), "a", "b", "m")
+    found.explain()
+    cells = re.findall(r"Exchange hashpartitioning\([^()]*_share#\d+[^()]*, (\d+)\), REPARTITION_BY_NUM", capsys.readouterr().out)
+    assert cells and max(map(int, cells)) > 10 and found.count() == 60
