@@ -39,6 +39,8 @@ BAND_ROWS, BANDS = 5, 32
 #: MinHash values compared at a time, and the posterior below which a pair goes.
 STEP, TOLERANCE = 32, 1e-6
 BLOCK = 256
+#: Blocks of texts that one block of signatures stands for.
+WIDE = 4
 _BASE = 0x9E6C63D0876A9A35
 
 
@@ -253,9 +255,9 @@ def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(t2), pa.array(sets, pa.binary())], ["t", "t2", "shingles"])
 
 
-def in_blocks(members: DataFrame) -> DataFrame:
-    """Rows (key, t, n) once for every pair of blocks that theirs is in; n is the number of rows of the key."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+def in_blocks(members: DataFrame, size: int | None = None) -> DataFrame:
+    """Rows (key, t, n) once for every pair of blocks of about ``size`` rows (``BLOCK``) that theirs is in; n is the number of rows of the key."""
+    blocks = F.ceil(F.col("n") / (size or BLOCK)).cast("int")
     return (
         members.withColumn("side", F.pmod(F.xxhash64("t"), blocks).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -299,7 +301,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .agg(F.min("key").alias("key"))
         .select("key", "n")
     )
-    candidates = in_blocks(bands.join(buckets, "key")).join(sketches, "t")
+    # signatures are short, and a group of near copies meets in every band: wide blocks send each of them less often
+    candidates = in_blocks(bands.join(buckets, "key"), WIDE * BLOCK).join(sketches, "t")
     edges = _dealt(candidates).mapInArrow(_edges_out, "u long, v long")
     groups = components(edges).select(F.col("node").alias("t"), F.col("label").alias("key"))
     members = cut(groups.join(groups.groupBy("key").agg(F.count("*").alias("n")), "key"))

@@ -116,3 +116,10 @@ def test_query_equals_its_sql(spark):
     names = ["doc_id", "class_id", "n_copies", "n_links"]
     want = con.sql(N.ORACLES["op7_ngram_jaccard_join"]).select(*names).fetchall()
     assert sorted(map(tuple, N.op7_ngram_jaccard_join(spark, "/root/testdata/sf0.01").select(*names).collect())) == sorted(want)
+
+
+def test_signatures_of_a_large_group_are_sent_less_often_than_shingles(spark):
+    members = spark.range(2000).selectExpr("1 AS key", "id AS t", "2000L AS n")
+    wide = N.in_blocks(members, N.WIDE * N.BLOCK)
+    assert N.in_blocks(members).count() == 8 * 2000 and wide.count() == 2 * 2000
+    assert {(r.low, r.high) for r in wide.collect()} == {(0, 0), (0, 1), (1, 1)}
