@@ -268,7 +268,8 @@ def in_blocks(members: DataFrame, size: int | None = None) -> DataFrame:
 
 
 def _dealt(df: DataFrame) -> DataFrame:
-    return df.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    """Rows of a pair of blocks together, by t, so that the trees of all blocks of a group hang on few roots."""
+    return df.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "t")
 
 
 def _key(id_col: Column, text: Column) -> list[Column]:

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import Row
 
+from tellmark.llm import components as C
 from tellmark.llm import near_copies as N
 from tellmark.llm.components import components
 
@@ -123,3 +124,17 @@ def test_signatures_of_a_large_group_are_sent_less_often_than_shingles(spark):
     wide = N.in_blocks(members, N.WIDE * N.BLOCK)
     assert N.in_blocks(members).count() == 8 * 2000 and wide.count() == 2 * 2000
     assert {(r.low, r.high) for r in wide.collect()} == {(0, 0), (0, 1), (1, 1)}
+
+
+def test_stars_take_no_round_and_a_round_few_shuffles(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(C, "cut", lambda df: cuts.append(df) or N.cut(df))
+    stars = spark.range(1, 500).selectExpr("id % 7 AS u", "id + 10 AS v")
+    found = {r.node: r.label for r in components(stars).collect()}
+    assert found == {i + 10: i % 7 for i in range(1, 500)} | {i: i for i in range(7)}
+    assert len(cuts) == 1
+    path = N.cut(spark.range(1, 500).selectExpr("id AS u", "id - 1 AS v"))
+    turn = C._star(C._star(path, True), False)
+    turn.collect()
+    final = turn._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(set(re.findall(r"(?<!Reused)Exchange hashpartitioning.*plan_id=(\d+)", final))) <= 9
