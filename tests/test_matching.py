@@ -129,3 +129,34 @@ def test_cells_are_dealt_by_their_number(spark, capsys, monkeypatch):
     found.explain()
     cells = re.findall(r"Exchange hashpartitioning\([^()]*_share#\d+[^()]*, (\d+)\), REPARTITION_BY_NUM", capsys.readouterr().out)
     assert cells and max(map(int, cells)) > 10 and found.count() == 60
+
+
+def test_interval_pairs_are_those_of_assign_interval(spark):
+    rng = random.Random(11)
+    points = [(rng.choice(["a", "b", None]), i // 2, rng.choice([None, rng.randint(0, 400)])) for i in range(300)]
+    points += [("a", 900, 100)] * 3 + [("b", i, 77) for i in range(60)]
+    windows = [(rng.choice(["a", "b", None]), s := rng.randint(0, 400), s + rng.randint(-5, 90), rng.choice([None, f"w{i}"])) for i in range(120)]
+    windows += [("b", 77, 77, None)] * 2 + [("a", None, 50, "x"), ("a", 50, None, "y")] + [("b", 70, 80, f"v{i}") for i in range(40)]
+    p = spark.createDataFrame(points, "k string, i int, t int")
+    w = spark.createDataFrame(windows, "k string, s int, e int, w string")
+    want = sorted(map(repr, ((k, i, t, s, e, n) for k, i, t in points for j, s, e, n in windows if None not in (k, t, s, e) and k == j and s <= t <= e)))
+    for each in (1024, 7):
+        found = M.interval_pairs(p, w, ["k"], "t", "s", "e", 32, each)
+        assert found.columns == M.assign_interval(p, w, ["k"], "t", "s", "e", 32).columns
+        assert sorted(repr(tuple(r)) for r in found.collect()) == want
+    bare = M.interval_pairs(p.drop("k"), w.select("s", "e"), [], "t", "s", "e", 32)
+    assert bare.count() == M.assign_interval(p.drop("k"), w.select("s", "e"), [], "t", "s", "e", 32).count() > 0
+    assert M.interval_pairs(p.limit(0), w, ["k"], "t", "s", "e", 32).count() == 0
+
+
+def test_files_of_interval_assign_take_few_bytes_a_row(spark, tmp_path):
+    import __spark_entry__
+    from pyspark.sql import functions as F
+
+    ts = F.timestamp_seconds(1704067200 + F.pmod(F.xxhash64("event_id"), F.lit(144_000)))
+    spark.range(3000).select(F.col("id").alias("event_id"), ts.alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(300_000).select(F.col("id").alias("p_partkey"), F.pmod(F.xxhash64("id"), F.lit(50)).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    __spark_entry__.queries()["interval_assign"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    rows, size = spark.read.parquet(f"{tmp_path}/out").count(), sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    print(rows, size)
+    assert rows > 4_000_000 and size < 0.5 * rows
