@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellmark.operators import overlaps as O
@@ -36,12 +36,13 @@ def cluster_in_order(groups: DataFrame, by: list[str], key: str, members: str, o
     folded in one row each; larger ones are clustered in rounds, and so never are
     in one row or task.
     """
-    sized = cut(groups.select(*by, key, members, order).withColumn("_n", F.count("*").over(Window.partitionBy(*by))))
+    ranks = {"_n": F.count("*").over(Window.partitionBy(*by)), "_place": F.row_number().over(Window.partitionBy(*by).orderBy(order, key))}
+    sized = cut(groups.select(*by, key, members, order).withColumns(ranks))
     small = _folded(sized.where(F.col("_n") <= FOLD), by, key, members, order, common)
     large = sized.where(F.col("_n") > FOLD)
     if large.isEmpty():
         return small
-    return small.unionByName(_in_rounds(large, by, key, members, order, common))
+    return small.unionByName(_in_rounds(large, by, key, members, common))
 
 
 def _folded(groups: DataFrame, by: list[str], key: str, members: str, order: str, common: int) -> DataFrame:
@@ -64,8 +65,8 @@ def _folded(groups: DataFrame, by: list[str], key: str, members: str, order: str
     return folded.select(*by, F.explode(F.aggregate("_g", zero, step, lambda a: a["out"])).alias("x")).select(*by, F.col("x.k").alias(key), F.col("x.c").alias("cluster"))
 
 
-def _in_rounds(groups: DataFrame, by: list[str], key: str, members: str, order: str, common: int) -> DataFrame:
-    """The same clusters, without pairs of all groups: only first groups are compared with the others.
+def _in_rounds(groups: DataFrame, by: list[str], key: str, members: str, common: int) -> DataFrame:
+    """The same clusters of groups with their ``_place``, without pairs of all groups: only first groups are compared with the others.
 
     Groups come in batches, each as long as all before it. Those of a batch near a
     first group of an earlier batch join; the others are paired among themselves. Of
@@ -74,29 +75,27 @@ def _in_rounds(groups: DataFrame, by: list[str], key: str, members: str, order:
     that joins is compared with its unit's first groups. Groups of fewer than
     ``common`` members are near none.
     """
-    w = Window.partitionBy(*by).orderBy(order, key)
     units = groups.select(*by).distinct().withColumn("_unit", F.row_number().over(Window.orderBy(*by)).cast("long")).withColumnsRenamed({c: f"_u_{c}" for c in by})
     same = [F.col(c).eqNullSafe(F.col(f"_u_{c}")) for c in by]
-    numbered = groups.withColumn("_place", F.row_number().over(w)).join(F.broadcast(units), same)
     ident = (F.shiftleft("_unit", PLACES) + F.col("_place")).alias("id")
-    ranked = cut(numbered.select(*by, key, ident, F.col("_place").alias("place"), F.array_distinct(F.filter(members, lambda m: m.isNotNull())).alias("_m")))
-    able = ranked.where(F.size("_m") >= max(common, 1))
-    sets = able.select("id", "place", F.explode("_m").alias("member"))
+    ranked = groups.join(F.broadcast(cut(units)), same).select(*by, key, ident, F.col("_place").alias("place"), F.array_distinct(F.filter(members, lambda m: m.isNotNull())).alias("_m"))
+    able = ranked.where(F.size("_m") >= max(common, 1)).select("id", "place", "_m")
     unit = lambda k: F.shiftright(k, PLACES)
-    # a member counts within its own unit only
+    # a member counts within its own unit only; sets are cut and joined as arrays
     m = F.concat_ws("\0", unit("id").cast("string"), F.col("member").cast("string")).alias("m")
-    left = lambda df: df.select(F.col("id").alias("later"), m)
-    right = lambda df: df.select(F.col("id").alias("earlier"), m)
+    named = lambda df, name: df.select("id", F.explode("_m").alias("member")).select(F.col("id").alias(name), m)
+    left = lambda df: named(df, "later")
+    right = lambda df: named(df, "earlier")
     last = able.agg(F.max("place")).first()[0] or 0
     heads, low, high = None, 0, max(FOLD, 32)
     while low < last:
-        batch = sets.where((F.col("place") > low) & (F.col("place") <= high))
+        batch = able.where((F.col("place") > low) & (F.col("place") <= high))
         if heads is not None:
-            near_old = O.firsts(left(batch), right(sets.join(heads, "id", "left_semi")), "later", "earlier", "m", -1, unit)
+            near_old = O.firsts(left(batch), right(able.where(F.col("place") <= low).join(heads, "id", "left_semi")), "later", "earlier", "m", -1, unit)
             batch = batch.join(near_old.where(F.col("_top") >= common).select(F.col("_left").alias("id")), "id", "left_anti")
         batch = cut(batch)
         a, b = left(batch), right(batch)
-        near = cut(O.pairs(a, b, "later", "earlier", "m", common, -1, O.meetings(a, b, "later", "m"), unit))
+        near = cut(O.pairs(a, b, "later", "earlier", "m", common, -1, None, unit))
         # is a group first? unknown while it isn't settled
         waiting = near.select(F.col("later").alias("id"), F.lit(True).alias("_waits")).distinct()
         state = cut(batch.select("id").distinct().join(waiting, "id", "left").select("id", F.when(F.col("_waits").isNull(), True).alias("first")))
@@ -110,8 +109,8 @@ def _in_rounds(groups: DataFrame, by: list[str], key: str, members: str, order:
         low, high = high, 2 * high
     if heads is None:
         return ranked.select(*by, key, F.col(key).alias("cluster"))
-    rest = left(sets.join(heads, "id", "left_anti"))
-    taken = O.firsts(rest, right(sets.join(heads, "id", "left_semi")), "later", "earlier", "m", -1, unit).select(F.col("_left").alias("id"), F.col("_right").alias("_of"))
+    rest = left(able.join(heads, "id", "left_anti"))
+    taken = O.firsts(rest, right(able.join(heads, "id", "left_semi")), "later", "earlier", "m", -1, unit).select(F.col("_left").alias("id"), F.col("_right").alias("_of"))
     names = ranked.select(F.col("id").alias("_of"), F.col(key).alias("cluster"))
     out = ranked.join(taken, "id", "left").withColumn("_of", F.coalesce("_of", "id"))
     return out.join(names, "_of").select(*by, key, "cluster")
@@ -128,23 +127,22 @@ def standing_teams(observations: DataFrame, by: list[str], common: int) -> DataF
     and nicknames are the most frequent, ties by lower case, then as they stand.
     """
     moment = F.struct(F.col("observed_at").isNull().alias("late"), F.col("observed_at").alias("at"), F.col("match_id").alias("match_id"), F.col("faction_id").alias("faction_id"))
-    flat = observations.withColumn("_moment", moment)
-    single = flat.select(*by, "faction_id", "_moment", F.explode_outer("members").alias("_m"))
-    sets = single.groupBy(*by, "faction_id").agg(F.min("_moment").alias("_first"), F.array_sort(F.collect_set("_m.player_id")).alias("_members"))
+    met = observations.withColumn("_moment", moment)
+    players = F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list("members.player_id")), lambda p: p.isNotNull())))
+    sets = met.groupBy(*by, "faction_id").agg(F.min("_moment").alias("_first"), players.alias("_members"))
     clusters = cluster_in_order(sets, by, "faction_id", "_members", "_first", common)
     team = [*by, "team_key"]
-    named = flat.join(clusters.withColumnRenamed("cluster", "team_key"), [*by, "faction_id"])
-
-    def votes(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-        """The most frequent value and the others, in lower-case order."""
-        n = rows.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-        best = F.min(F.struct((-F.col("_n")).alias("n"), F.lower(value).alias("low"), F.col(value).alias("v")))
-        every = F.array_sort(F.collect_list(F.struct(F.lower(value).alias("low"), F.col(value).alias("v"))))
-        out = n.groupBy(*keys).agg(best.alias("_b"), every.alias("_e"))
-        return out.select(*keys, F.col("_b.v").alias(name), F.transform(F.filter("_e", lambda x: x["v"] != F.col("_b.v")), lambda x: x["v"]).alias(f"other_{name}s"))
-
-    people = named.select(*team, "observed_at", F.explode("members").alias("_m")).select(*team, "observed_at", "_m.*")
-    last = people.groupBy(*team, "player_id").agg(null_dominant_max("observed_at").alias("_last"))
+    keys = cut(clusters.withColumnRenamed("cluster", "team_key"))
+    # a team's rows are brought together once for its players and once for all else; what is grouped by more stays there
+    whole = lambda *columns: met.select(*by, "faction_id", *columns).join(keys, [*by, "faction_id"]).repartition(*team)
+
+    def voted(value: str) -> Column:
+        """How a value with ``_n`` votes stands, null for none: the least is the most frequent."""
+        return F.when(F.col(value) != "", F.struct((-F.col("_n")).alias("n"), F.lower(value).alias("low"), F.col(value).alias("v")))
+
+    people = whole("observed_at", "members").select(*team, "observed_at", F.explode("members").alias("_m")).select(*team, "observed_at", "_m.*")
+    named = people.groupBy(*team, "player_id", "nickname").agg(null_dominant_max("observed_at").alias("_last"), F.count("*").alias("_n"))
+    last = named.groupBy(*team, "player_id").agg(null_dominant_max("_last").alias("_last"), F.min(voted("nickname"))["v"].alias("nickname"))
     w = Window.partitionBy(*by, "player_id")
     newest = F.max("_last").over(w)
     last = last.withColumns({"_teams": F.count("*").over(w), "_unknown": F.count_if(F.col("_last").isNull()).over(w), "_newest": newest})
@@ -153,20 +151,26 @@ def standing_teams(observations: DataFrame, by: list[str], common: int) -> DataF
         F.when(F.col("_teams") == 1, "own").when(F.col("_unknown") > 0, "shared").when(F.col("_last") < F.col("_newest"), "released")
         .when(F.col("_top") == 1, "own").otherwise("shared")
     )
+    # a null player has no name
     member = F.struct(F.col("nickname").isNull().alias("nameless"), "nickname", "player_id")
-    full = last.withColumn("_verdict", verdict).join(votes(people, [*team, "player_id"], "nickname", "nickname"), [*team, "player_id"], "left")
+    full = last.withColumns({"_verdict": verdict, "nickname": F.when(F.col("player_id").isNotNull(), F.col("nickname"))})
     bare = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: F.struct(x["player_id"].alias("player_id"), x["nickname"].alias("nickname")))
     rosters = full.groupBy(*team).agg(
         bare(F.when(F.col("_verdict") != "released", member)).alias("roster"), bare(F.when(F.col("_verdict") == "released", member)).alias("released"),
         F.array_sort(F.collect_list(F.when(F.col("_verdict") == "shared", F.col("player_id")))).alias("shared_players"),
     )
-    # a match stands where its first observation does
-    per_match = named.groupBy(*team, "match_id").agg(F.min("_moment").alias("_o"), F.max(F.coalesce("played", F.lit(False))).alias("_p"))
-    ordered = lambda c, v: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["o"][v])
-    key = F.struct(F.col("_o").alias("o"))
-    matches = per_match.groupBy(*team).agg(ordered(key, "match_id").alias("match_ids"), ordered(F.when(F.col("_p"), key), "match_id").alias("played_match_ids"))
-    parts = named.groupBy(*team, "faction_id").agg(F.min("_moment").alias("_o")).groupBy(*team).agg(ordered(key, "faction_id").alias("faction_ids"))
-    return parts.join(matches, team).join(rosters, team, "left").join(votes(named, team, "name", "name"), team, "left")
+    # matches and factions stand where their first observation does
+    seen = F.struct(F.col("_moment").alias("o"), F.coalesce("played", F.lit(False)).alias("p"))
+    per_name = whole("_moment", "played", "name").groupBy(*team, "name").agg(F.collect_list(seen).alias("_o"), F.count("*").alias("_n"))
+    own = per_name.groupBy(*team).agg(F.array_sort(F.flatten(F.collect_list("_o"))).alias("_o"), F.array_sort(F.collect_list(voted("name"))).alias("_names"))
+    ids = lambda rows, c: F.array_distinct(F.transform(rows, lambda x: x["o"][c]))
+    best = F.array_min("_names")["v"]
+    others = F.array_sort(F.transform(F.filter("_names", lambda x: x["v"] != best), lambda x: F.struct(x["low"].alias("low"), x["v"].alias("v"))))
+    parts = own.select(
+        *team, ids("_o", "faction_id").alias("faction_ids"), ids("_o", "match_id").alias("match_ids"), F.array_intersect(ids("_o", "match_id"), ids(F.filter("_o", lambda x: x["p"]), "match_id")).alias("played_match_ids"),
+        best.alias("name"), F.when(best.isNotNull(), F.transform(others, lambda x: x["v"])).alias("other_names"),
+    )
+    return parts.join(rosters, team, "left").select(*team, "faction_ids", "match_ids", "played_match_ids", "roster", "released", "shared_players", "name", "other_names")
 
 
 def select_by_roster(candidates: DataFrame, roster: list[str], full: int, least: int) -> DataFrame:

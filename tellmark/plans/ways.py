@@ -139,14 +139,18 @@ _OBSERVED = """ob AS (SELECT c_nationkey, o_orderkey AS match_id, o_custkey AS f
 @query(f"WITH RECURSIVE {_OBSERVED} SELECT c_nationkey, team_key, faction_ids, match_ids, played, name, coalesce(other_names, -1) AS other_names, roster, released, shared FROM ft JOIN mt USING (c_nationkey, team_key) LEFT JOIN ro USING (c_nationkey, team_key) LEFT JOIN tb USING (c_nationkey, team_key)")
 def standing_rosters(spark, sf_dir):
     k, s = F.col("l_partkey") % 60, F.col("l_suppkey")
-    player = F.struct(k.cast("string").alias("player_id"), F.when(s % 4 != 0, F.concat(F.when(s % 2 == 0, "P").otherwise("p"), k.cast("string"))).alias("nickname"))
-    members = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("match_id")).agg(F.collect_set(player).alias("members"))
+    # a player and the kind of nickname (0 for none) travel as one number
+    kind = F.when(F.coalesce(s % 4 == 0, F.lit(True)), 0).when(s % 2 == 0, 1).otherwise(2)
+    codes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("match_id")).agg(F.collect_set((k * 4 + kind).cast("short")).alias("codes"))
+    name_of = lambda k, kind: F.when(kind > 0, F.concat(F.when(kind == 1, "P").otherwise("p"), k))
+    player = lambda c: F.struct((k := F.floor(c / 4).cast("string")).alias("player_id"), name_of(k, F.pmod(c, F.lit(4))).alias("nickname"))
+    members = F.transform("codes", player).alias("members")
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     key, c = F.col("o_orderkey"), F.col("o_custkey")
     seen = o.select(
         "c_nationkey", key.alias("match_id"), c.alias("faction_id"), F.when(key % 5 != 0, F.concat(F.when(key % 2 == 0, "N").otherwise("n"), (c % 40).cast("string"))).alias("name"), (F.col("o_orderstatus") == "F").alias("played"),
         F.when(key % 41 != 0, F.col("o_orderdate")).alias("observed_at"),
-    ).join(members, "match_id", "left")
+    ).join(codes, "match_id", "left").select("c_nationkey", "match_id", "faction_id", "name", "played", "observed_at", members)
     t = K.standing_teams(seen, ["c_nationkey"], 22)
     ids = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     roster = F.array_join(F.transform("roster", lambda m: F.concat(m["player_id"], F.lit(":"), F.coalesce(m["nickname"], F.lit("")))), ",")

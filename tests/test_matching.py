@@ -131,6 +131,34 @@ def test_cells_are_dealt_by_their_number(spark, capsys, monkeypatch):
     assert cells and max(map(int, cells)) > 10 and found.count() == 60
 
 
+def test_dense_sets_of_a_unit_lie_in_few_cells(spark, capsys, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tellmark.operators import overlaps as O
+
+    monkeypatch.setattr(O, "CELL", 64)
+    monkeypatch.setattr(O, "WIDE", 1000, raising=False)
+    rng = random.Random(12)
+    sets = {u * 1000 + i: set(rng.sample(range(12), rng.randint(4, 10))) for u in range(2) for i in range(80)}
+    df = spark.createDataFrame([(k, f"{k // 1000} {m}") for k, ms in sets.items() for m in ms], "a long, m string")
+    other = df.withColumnRenamed("a", "b")
+    unit = lambda k: F.floor(k / 1000)
+    want, pairs = {}, set()
+    for k, own in sets.items():
+        shared = {j: len(own & s) for j, s in sets.items() if j // 1000 == k // 1000 and j < k and own & s}
+        pairs |= {(k, j, n) for j, n in shared.items() if n >= 6}
+        if shared:
+            at = [j for j, n in shared.items() if n == max(shared.values())]
+            want[k] = (max(shared.values()), len(at), min(at))
+    found = O.firsts(df, other, "a", "b", "m", -1, unit)
+    assert {r["_left"]: (r["_top"], r["_n"], r["_right"]) for r in found.collect()} == want
+    assert {tuple(r) for r in O.pairs(df, other, "a", "b", "m", 6, -1, O.meetings(df, other, "a", "m"), unit).collect()} == pairs
+    # by meetings these were over a thousand cells, each with nearly all right sets
+    found.explain()
+    cells = re.findall(r"Exchange hashpartitioning\([^()]*_share#\d+[^()]*, (\d+)\), REPARTITION_BY_NUM", capsys.readouterr().out)
+    assert cells and max(map(int, cells)) <= 8
+
+
 def test_interval_pairs_are_those_of_assign_interval(spark):
     rng = random.Random(11)
     points = [(rng.choice(["a", "b", None]), i // 2, rng.choice([None, rng.randint(0, 400)])) for i in range(300)]
