@@ -95,13 +95,25 @@ def nearest_cell(
     smaller label. ``key`` names a point within its unit. Points with a coordinate
     that is null or not finite, with a null in their unit, and all points of a unit
     without cells come back with nulls; cells without a label count for nothing.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    unit = list(unit)
+    names = [*unit, *keys]
+    out = points.select(*names)
+    found = nearest_found(points, cells, keys, grid, z_weight, z_tolerance, unit, label)
+    renamed = {c: f"_f_{c}" for c in names}
+    back = out.join(found.withColumnsRenamed(renamed), [F.col(c) == F.col(n) for c, n in renamed.items()], "left")
+    return back.select(*names, F.when(F.col("distance") <= limit, F.col("_label")).alias(label), "distance")
+
+
+def nearest_found(points: DataFrame, cells: DataFrame, keys: list[str], grid: float, z_weight: float, z_tolerance: float, unit: Sequence[str] = (), label: str = "area") -> DataFrame:
+    """unit, key, distance and _label of the points of ``nearest_cell`` that have a nearest cell, however far.
 
     A task holds the cells of one unit (their number is bounded by the places of
     a map, not by the points) and at most about ``SHARD`` of its points, however
     many points a unit has; both sides are shuffled once. Cells lie in blocks,
     and only blocks that can hold the nearest cell are compared, point by point.
     """
-    keys = [key] if isinstance(key, str) else list(key)
     unit = list(unit)
     out = points.select(*unit, *keys)
     centre = [((F.col(f"cell_{a}") + 0.5) * grid).alias(f"_{a}") for a in "xyz"]
@@ -121,7 +133,4 @@ def nearest_cell(
     copies = copies.select(*(F.col(c).alias(f"_c_{c}") for c in unit), F.col("_of").alias("_c_shard"), "_x", "_y", "_z", "_label")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     names = [*unit, *keys]
-    found = dealt.groupBy(*unit, "_shard").cogroup(copies.groupBy(*(f"_c_{c}" for c in unit), "_c_shard")).applyInArrow(_nearest(names, z_weight, z_tolerance), f"{kinds}, distance double, _label string")
-    renamed = {c: f"_f_{c}" for c in names}
-    back = out.join(found.withColumnsRenamed(renamed), [F.col(c) == F.col(n) for c, n in renamed.items()], "left")
-    return back.select(*names, F.when(F.col("distance") <= limit, F.col("_label")).alias(label), "distance")
+    return dealt.groupBy(*unit, "_shard").cogroup(copies.groupBy(*(f"_c_{c}" for c in unit), "_c_shard")).applyInArrow(_nearest(names, z_weight, z_tolerance), f"{kinds}, distance double, _label string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tellmark.operators.clouds import nearest_cell
+from tellmark.operators.clouds import nearest_found
 from tellmark.operators.matching import assign_interval
 
 THROWN, DETONATED = "grenade_thrown", "grenade_detonate"
@@ -37,15 +37,20 @@ def named_events(
     observed = Observation()
     throw = F.col("event_kind") == THROWN
     owned = F.col("thrower_id").isNotNull()
-    thrown = endpoints.where(throw & owned).groupBy(*unit, "grenade_no").agg(F.min("tick").alias("_tick"))
-    placed = assign_interval(thrown, windows, unit, "_tick", "start_tick", "stop_tick", width)
-    of_round = placed.groupBy(*unit, "grenade_no").agg(F.min(F.struct("round_raw", "start_tick", "stop_tick")).alias("_w"))
+    stood = positions.groupBy(*unit, "tick", F.col("player_id").alias("thrower_id")).agg(F.min("area").alias("_own"))
+    # a throw's place and round are looked up with few columns and come back to it: its events meet all they need by one key
+    place = F.when(F.col("_there"), F.struct("tick", "thrower_id", "_own"))
+    found = endpoints.where(throw).select(*unit, "grenade_no", "tick", "thrower_id").join(stood.withColumn("_there", F.lit(True)), [*unit, "tick", "thrower_id"], "left")
+    found = found.groupBy(*unit, "grenade_no").agg(F.min(F.when(owned, F.col("tick"))).alias("_tick"), F.collect_set(place).alias("_stood"))
+    placed = assign_interval(found, windows, unit, "_tick", "start_tick", "stop_tick", width, "left")
+    round_ = F.when(F.col("start_tick").isNotNull(), F.struct("round_raw", "start_tick", "stop_tick"))
+    of_throw = placed.groupBy(*unit, "grenade_no").agg(F.min(round_).alias("_w"), F.first("_stood").alias("_stood"))
     of_player = sides.where("side IS NOT NULL").groupBy(*unit, F.col("round_raw").alias("_round"), F.col("player_id").alias("thrower_id")).agg(F.min("side").alias("side"))
     of_side = lineups.groupBy(*unit, F.col("round_raw").alias("_round"), "side").agg(F.min("lineup_key").alias("lineup_key"))
-    stood = positions.groupBy(*unit, "tick", F.col("player_id").alias("thrower_id")).agg(F.min("area").alias("_own"), F.lit(True).alias("_seen"))
-    rows = endpoints.join(of_round, [*unit, "grenade_no"], "left").withColumn("_round", F.col("_w.round_raw"))
+    rows = endpoints.join(of_throw, [*unit, "grenade_no"], "left").withColumn("_round", F.col("_w.round_raw"))
     rows = rows.join(of_player, [*unit, "_round", "thrower_id"], "left").join(of_side, [*unit, "_round", "side"], "left")
-    rows = rows.join(stood, [*unit, "tick", "thrower_id"], "left")
+    here = F.filter("_stood", lambda x: (x["tick"] == F.col("tick")) & (x["thrower_id"] == F.col("thrower_id")))
+    rows = rows.withColumn("_here", F.get(here, F.lit(0))).withColumns({"_own": F.col("_here._own"), "_seen": F.when(F.col("_here").isNotNull(), True)}).drop("_stood", "_here")
     inside, sided = F.col("_w").isNotNull(), F.col("side").isNotNull()
     kept = owned & inside & sided
     known = F.coalesce(F.col("grenade_type").isin(*types), F.lit(False))
@@ -59,9 +64,9 @@ def named_events(
     rows = rows.where(kept)
     # only what stands in a kept round is searched; a throw has at most one detonation place
     ends = endpoints.where(~throw).groupBy(*unit, "grenade_no").agg(F.min(F.struct("x", "y", "z")).alias("p")).select(*unit, "grenade_no", "p.*")
-    near = nearest_cell(ends, cells, "grenade_no", grid, "area", z_weight, z_tolerance, limit, unit)
-    near = near.select(*unit, "grenade_no", F.col("area").alias("_near"), F.col("distance").alias("_far"), F.lit(False).alias("_throw"))
-    rows = rows.withColumn("_throw", throw).join(near, [*unit, "grenade_no", "_throw"], "left")
+    near = nearest_found(ends, cells, ["grenade_no"], grid, z_weight, z_tolerance, unit).where(F.col("distance") <= limit)
+    near = near.select(*unit, "grenade_no", F.col("_label").alias("_near"), F.col("distance").alias("_far"))
+    rows = rows.join(near, [*unit, "grenade_no"], "left")
     area = F.when(throw, F.col("_own")).otherwise(F.col("_near"))
     out = rows.select(
         *unit, F.col("_round").alias("round_raw"), "event_kind", "grenade_no", "grenade_type", "thrower_id", "lineup_key", "side",

@@ -35,12 +35,14 @@ _KEPT_ROWS = f"""WITH {_THROW_ROWS}, rd AS (SELECT ep.unit, grenade_no, round_ra
 
 
 def _throw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+    p, s, k, ln = (F.col(c) for c in ("p", "s", "l_orderkey", "l_linenumber"))
+    ident = [(k % UNITS).alias("unit"), (k * 8 + ln).alias("grenade_no")]
+    # lines are dealt by the throw's key, so that what is grouped or joined by it stays where it is
+    g = table(spark, sf_dir, "lineitem").repartition(k % UNITS, k * 8 + ln).select("*", *ident).groupBy("unit", "grenade_no", "l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("st")
     )
-    p, s, k, ln = (F.col(c) for c in ("p", "s", "l_orderkey", "l_linenumber"))
     tick = (k * 977 + ln * 131) % 40000
-    g = g.select((k % UNITS).alias("unit"), (k * 8 + ln).alias("grenade_no"), p, s, "q", "f", "st", tick.alias("tick"), ln)
+    g = g.select("unit", "grenade_no", p, s, "q", "f", "st", tick.alias("tick"), ln)
     number = lambda c: c.cast("double")
     names = [F.col("f").alias("grenade_type"), F.when(p % 23 != 0, s % 10).alias("thrower_id")]
     # both events of a line come from one row, so that lines are grouped once for them
@@ -60,6 +62,8 @@ def _throw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     positions = g.where((p % 23 != 0) & (p % 7 != 0)).select("unit", "tick", (s % 10).alias("player_id"), area.alias("area"))
     k = F.col("p_partkey")
     cloud = table(spark, sf_dir, "part").where(k % UNITS != 3).select((k % UNITS).alias("unit"), (k * 13 % 20).alias("x"), (F.col("p_size") % 20).alias("y"), (k % 6).alias("z"), F.col("p_brand").alias("area"))
+    # at most 40 rounds of each of UNITS, however large the tables are
+    windows, sides, lineups = (F.broadcast(d) for d in (windows, sides, lineups))
     return {"endpoints": endpoints, "windows": windows, "sides": sides, "lineups": lineups, "positions": positions, "cells": grid_cells(cloud, ["x", "y", "z"], 1, "area", ["unit"])}
 
 

@@ -83,3 +83,16 @@ def test_round_faults_sort_a_unit_once(spark, capsys):
     S.round_faults(numbers(spark, 1, None, 2), ["unit"]).explain()
     plan = capsys.readouterr().out
     assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_events_of_throws_go_by_the_throw_only(spark):
+    import __spark_entry__
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = __spark_entry__.queries()["named_throws"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line.split("hashpartitioning")[1] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # events are not sent to rounds, sides or lineups, nor lines to a group of theirs and then to their throw
+    assert dealt and not any(c in keys for keys in dealt for c in ("_round#", "_throw#", "l_orderkey#", "l_linenumber#") if "% 20" not in keys)
