@@ -153,6 +153,16 @@ def prefix_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return a.join(b, [member, "_share"]).select(left_key, right_key).distinct()
 
 
+def _shape(a: DataFrame, b: DataFrame, left_key: str, right_key: str, member: str) -> dict[str, int]:
+    """Meetings in all and of the left set with most, left sets that meet any and their members, right sets, and most left and right sets of a member; runs a job."""
+    left, right = a.groupBy(member).agg(F.count("*").alias("_l")), b.groupBy(member).agg(F.count("*").alias("_r"))
+    each = a.join(right, member).groupBy(left_key).agg(F.sum("_r").alias("_m"), F.count("*").alias("_k"))
+    met = each.agg(F.sum("_m").alias("met"), F.max("_m").alias("most"), F.count("*").alias("lefts"), F.sum("_k").alias("rows"))
+    held = left.join(right, member).agg(F.max("_l").alias("held_l"), F.max("_r").alias("held_r"))
+    found = met.crossJoin(held).crossJoin(b.groupBy(right_key).agg(F.count("*")).agg(F.count("*").alias("rights"))).first()
+    return {k: v or 0 for k, v in found.asDict().items()}
+
+
 #: Meetings up to which pairs are counted without asking whether the prefix filter would save some.
 FEW = 1 << 26
 
@@ -168,8 +178,13 @@ def overlaps_at_least(left: DataFrame, right: DataFrame, left_key: str, right_ke
     if least < 1:
         raise ValueError("pairs share at least one member")
     a, b = O.sets(left, left_key, member), O.sets(right, right_key, member)
-    size = O.meetings(a, b, left_key, member)
-    if least == 1 or size[0] <= FEW:
+    if least == 1:
+        return O.pairs(a, b, left_key, right_key, member, least, int(above), O.meetings(a, b, left_key, member))
+    shape = _shape(a, b, left_key, right_key, member)
+    size = shape["met"], shape["most"]
+    # a set leaves out least - 1 members, each met by no more sets than its commonest: where too much is left, both sides need not be ranked to tell
+    kept = size[0] - (least - 1) * (shape["lefts"] * shape["held_r"] + shape["rights"] * shape["held_l"])
+    if size[0] <= FEW or kept * shape["rows"] * 4 > size[0] * shape["lefts"]:
         return O.pairs(a, b, left_key, right_key, member, least, int(above), size)
     first = [f.groupBy(member).agg(F.count("*").alias(n)) for f, n in zip(_firsts(a, b, left_key, right_key, member, least), ("_l", "_r"), strict=True)]
     mean = a.agg(F.count("*") / F.countDistinct(left_key)).first()[0]

@@ -131,6 +131,22 @@ def test_cells_are_dealt_by_their_number(spark, capsys, monkeypatch):
     assert cells and max(map(int, cells)) > 10 and found.count() == 60
 
 
+def test_sets_without_common_members_are_not_ranked_for_the_filter(spark, monkeypatch):
+    from tellmark.operators import matching
+
+    ranked, real = [], matching._firsts
+    monkeypatch.setattr(matching, "FEW", 0)
+    monkeypatch.setattr(matching, "_firsts", lambda *args: ranked.append(1) or real(*args))
+    rng = random.Random(13)
+    rare = {i: set(rng.sample(range(100), 30)) for i in range(20)}
+    common = {i: {0, 1, *rng.sample(range(2, 500), 3)} for i in range(60)}
+    for sets, asked in ((rare, False), (common, True)):
+        df = spark.createDataFrame([(i, m) for i, ms in sets.items() for m in ms], "a int, m int")
+        found = M.overlaps_at_least(df, df.withColumnRenamed("a", "b"), "a", "b", "m", 3)
+        assert {tuple(r) for r in found.collect()} == {(i, j, len(sets[i] & sets[j])) for i in sets for j in sets if len(sets[i] & sets[j]) >= 3}
+        assert bool(ranked) == asked
+
+
 def test_dense_sets_of_a_unit_lie_in_few_cells(spark, capsys, monkeypatch):
     from pyspark.sql import functions as F
 
